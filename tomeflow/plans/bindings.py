@@ -207,3 +207,28 @@ def sql_stem(w: str) -> str:
         f"WHEN regexp_matches({w}, '(sses|shes|ches|xes|zes|ses)$') THEN left({w}, length({w}) - 2) "
         f"WHEN {w} LIKE '%s' AND {w} NOT LIKE '%ss' THEN left({w}, length({w}) - 1) ELSE {w} END"
     )
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_re(col: str, pattern: str) -> str:
+    return f"regexp_matches({col}, {sql_str(pattern)})"
+
+
+def sql_any(col: str, phrases: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({col}, {sql_str(p)})" for p in phrases) + ")"
+
+
+def sql_case(rules: list[tuple[str, str]], default: str) -> str:
+    """CASE over (value expression, condition) pairs."""
+    return "(CASE " + " ".join(f"WHEN {c} THEN {v}" for v, c in rules) + f" ELSE {default} END)"
+
+
+def sql_map(mapping: dict[str, str], key: str, default: str = "NULL") -> str:
+    return sql_case([(sql_str(v), f"{key} = {sql_str(k)}") for k, v in mapping.items()], default)
+
+
+def sql_key(tokens: str) -> str:
+    return f"array_to_string(list_sort(list_distinct({tokens})), ' ')"
