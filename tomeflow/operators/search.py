@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
@@ -26,40 +26,28 @@ def field_tokens(docs: DataFrame) -> DataFrame:
     return rows.withColumn("term", text.plural_stem(F.col("term")))
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """Term counts by field with the field lengths of the document beside them.
-
-    With ``terms`` (a table of distinct terms) other tokens are pooled under a null term before the
-    shuffle, so only matched terms and one length row per document move.
+def term_counts(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(concept_id, term, tf per field). With ``terms`` (bounded, distinct) all other tokens of a document are
+    pooled under a null term before the shuffle, so only matched terms and one length row per document move.
     """
     toks = field_tokens(docs)
     if terms is not None:
-        wanted = broadcast_if_small(terms.select(F.col("term").alias("wanted")))
+        wanted = F.broadcast(terms.select(F.col("term").alias("wanted")))
         toks = toks.join(wanted, F.col("term") == F.col("wanted"), "left").select("concept_id", "field", F.col("wanted").alias("term"))
-    counts = toks.groupBy("concept_id", "term").agg(
-        *[F.count_if(F.col("field") == f).alias(f"tf_{f}") for f in FIELDS]
-    )
-    lengths = toks.groupBy("concept_id").agg(*[F.count_if(F.col("field") == f).alias(f"len_{f}") for f in FIELDS])
-    # Both sides end up spread by document, and so does everything computed from them.
-    return counts.join(lengths, "concept_id").where(F.col("term").isNotNull())
+    return toks.groupBy("concept_id", "term").agg(*[F.count_if(F.col("field") == f).alias(f"tf_{f}") for f in FIELDS])
 
 
-def length_stats(docs: DataFrame) -> DataFrame:
+def length_stats(docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One row: document count and average field lengths, empty documents included."""
-    toks = field_tokens(docs)
-    totals = toks.agg(*[F.count_if(F.col("field") == f).alias(f"total_{f}") for f in FIELDS])
+    if counts is None:
+        counts = term_counts(docs)
+    totals = counts.agg(*[F.coalesce(F.sum(f"tf_{f}"), F.lit(0)).alias(f"total_{f}") for f in FIELDS])
     n = docs.agg(F.count("*").alias("n_docs"))
     return n.join(F.broadcast(totals)).select(
         "n_docs", *[(F.col(f"total_{f}") / F.col("n_docs")).alias(f"avg_{f}") for f in FIELDS]
     )
 
 
-def term_stats(posts: DataFrame, n_docs: Column) -> DataFrame:
-    """(term, df, idf) of a postings table."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-
-
 def corpus_statistics(docs: DataFrame) -> DataFrame:
     """(term, df, idf) over the union of fields of every document."""
     pairs = field_tokens(docs).select("concept_id", "term").distinct()
@@ -78,10 +66,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, queries: DataFrame, max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
-    """(query_id, concept_id, bm25, boost, score) for every document sharing a term with the query."""
+    """(query_id, concept_id, bm25, boost, score) for every document sharing a term with the query.
+
+    The text is split into tokens once: counts, lengths and document frequencies all read the same shuffled
+    (document, term) counts. Scores are then added up where the document's rows already are.
+    """
     qt = query_terms(queries)
-    posts = postings(docs, qt.select("term").distinct())
-    stats = F.broadcast(length_stats(docs))
+    small = fits(qt, max_rows)
+    counts = term_counts(docs, qt.select("term").distinct() if small else None)
+    # Every column is used below, so Spark sees one shuffle and reuses it.
+    any_tf = F.col("tf_name") + F.col("tf_alias") + F.col("tf_definition") + F.col("tf_example") > 0
+    stats = F.broadcast(length_stats(docs, counts))
+    df = counts.where("term IS NOT NULL").groupBy("term").agg(F.count_if(any_tf).alias("df"))
+    whole = Window.partitionBy("concept_id")
+    posts = counts.select("*", *[F.sum(f"tf_{f}").over(whole).alias(f"len_{f}") for f in FIELDS]).where("term IS NOT NULL")
     weighted = F.lit(0.0)
     for f, w in vocab.FIELD_WEIGHTS.items():
         avg = F.when(F.col(f"avg_{f}") == 0, 1.0).otherwise(F.col(f"avg_{f}"))
@@ -91,14 +89,12 @@ def score(docs: DataFrame, queries: DataFrame, max_rows: int = BROADCAST_ROWS, s
     p = posts.join(stats).withColumn("wtf", weighted)
     p = p.select("concept_id", "term", "n_docs", (F.col("tf_name") > 0).cast("int").alias("in_name"),
                  (F.col("wtf") * (k1 + 1) / (k1 + F.col("wtf"))).alias("sat"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    qt = qt.join(broadcast_if_small(df, max_rows), "term")
-    if fits(qt, max_rows):
-        hits = p.join(F.broadcast(qt), "term")
+    if small:
+        hits = p.join(F.broadcast(qt.join(df, "term")), "term")
     else:
         # A common term may hold most postings: spread it by document, repeat the query side.
         hits = p.withColumn("_salt", F.pmod(F.xxhash64("concept_id"), F.lit(salts)).cast("int")).join(
-            qt.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["term", "_salt"])
+            qt.join(df, "term").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["term", "_salt"])
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = hits.groupBy("concept_id", "query_id", "query_key", "n_terms").agg(
         F.sum(idf * F.col("sat")).alias("bm25"), F.sum("in_name").alias("in_name")

@@ -26,8 +26,7 @@ def embedding_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("concept_id").alias("id"), F.array_join(F.filter(parts, lambda x: x != ""), "\n").alias("text"))
 
 
-def hashed_weights(texts: DataFrame, dim: int = DIMENSION) -> DataFrame:
-    """(id, bucket, weight): signed token counts, unit length; all JVM-side."""
+def _signed_sums(texts: DataFrame, dim: int) -> DataFrame:
     toks = texts.select("id", F.explode(text.words(F.col("text"))).alias("tok")).where("tok <> ''")
     counts = toks.groupBy("id", "tok").agg(F.count("*").alias("n"))
     digest = F.sha1("tok")
@@ -36,9 +35,20 @@ def hashed_weights(texts: DataFrame, dim: int = DIMENSION) -> DataFrame:
         (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("bucket"),
         F.when(F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1, F.col("n")).otherwise(-F.col("n")).alias("s"),
     )
-    sums = signed.groupBy("id", "bucket").agg(F.sum("s").alias("s")).where("s <> 0")
-    norms = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    return sums.join(norms, "id").select("id", "bucket", (F.col("s") / F.col("norm")).alias("weight"))
+    return signed.groupBy("id", "bucket").agg(F.sum("s").cast("double").alias("s")).where("s <> 0")
+
+
+def _unit_cells(texts: DataFrame, dim: int) -> DataFrame:
+    """(id, c): at most ``dim`` (bucket, weight) cells per text, unit length."""
+    rows = _signed_sums(texts, dim).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "s"))).alias("c"))
+    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x["s"] * x["s"]))
+    rows = rows.withColumn("norm", norm)
+    return rows.select("id", F.transform("c", lambda x: F.struct(x["bucket"].alias("bucket"), (x["s"] / F.col("norm")).alias("weight"))).alias("c"))
+
+
+def hashed_weights(texts: DataFrame, dim: int = DIMENSION) -> DataFrame:
+    """(id, bucket, weight): signed token counts, unit length; all JVM-side."""
+    return _unit_cells(texts, dim).select("id", F.inline("c"))
 
 
 def _dense(dim: int) -> Callable:
@@ -58,8 +68,7 @@ def _dense(dim: int) -> Callable:
 
 def hashing_vectors(texts: DataFrame, dim: int = DIMENSION) -> DataFrame:
     """(id, vector): the hashing embedding of each text. A text without tokens gives the zero vector."""
-    cells = hashed_weights(texts, dim).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("c"))
-    rows = texts.select("id").join(cells, "id", "left")
+    rows = texts.select("id").join(_unit_cells(texts, dim), "id", "left")
     return rows.select("id", _dense(dim)(F.col("c.bucket"), F.col("c.weight")).alias("vector"))
 
 
