@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
-from ..plans.scale import BROADCAST_ROWS, SALTS, broadcast_if_small, fits, top_k
+from ..plans.scale import BROADCAST_ROWS, SALTS, broadcast_if_small, cut_lineage, fits, top_k
 
 FIELDS = list(vocab.FIELD_WEIGHTS)
 
@@ -68,16 +68,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def score(docs: DataFrame, queries: DataFrame, max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """(query_id, concept_id, bm25, boost, score) for every document sharing a term with the query.
 
-    The text is split into tokens once: counts, lengths and document frequencies all read the same shuffled
-    (document, term) counts. Scores are then added up where the document's rows already are.
+    The text is split into tokens once: lengths, averages and document frequencies all read the compact
+    (document, term) counts, which are written to the checkpoint folder. Scores are then added up where the
+    document's rows already are.
     """
     qt = query_terms(queries)
     small = fits(qt, max_rows)
-    counts = term_counts(docs, qt.select("term").distinct() if small else None)
-    # Every column is used below, so Spark sees one shuffle and reuses it.
-    any_tf = F.col("tf_name") + F.col("tf_alias") + F.col("tf_definition") + F.col("tf_example") > 0
+    counts = cut_lineage(term_counts(docs, qt.select("term").distinct() if small else None))
     stats = F.broadcast(length_stats(docs, counts))
-    df = counts.where("term IS NOT NULL").groupBy("term").agg(F.count_if(any_tf).alias("df"))
+    df = counts.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     whole = Window.partitionBy("concept_id")
     posts = counts.select("*", *[F.sum(f"tf_{f}").over(whole).alias(f"len_{f}") for f in FIELDS]).where("term IS NOT NULL")
     weighted = F.lit(0.0)
