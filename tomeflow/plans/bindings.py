@@ -6,9 +6,13 @@ Every line of every document stays whole: a head is a row of its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scale import cut_lineage
+
 # Query openings, by id modulo 12. Index 11 has none.
 QUERY_CUES = [
     "what is ", "explain ", "difference between energy and ", "prove that ", "formula for ", "solve 2 + 3 for ",
@@ -37,6 +41,9 @@ def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(text, r"\s+"), 1, n), " ")
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
     """Readers for one data folder."""
 
@@ -52,6 +59,13 @@ class Tables:
             raise AttributeError(name)
         return self.read(name)
 
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A stage table: written once to the checkpoint folder, then read by every query of the session."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STAGED:
+            _STAGED[key] = cut_lineage(build())
+        return _STAGED[key]
+
     # --- text ---------------------------------------------------------------
     def lines(self) -> DataFrame:
         """(doc_id, lang, source, pos, line): every line of every document."""
