@@ -167,7 +167,7 @@ def _(t):
 
 # Request log: an event is a request; its key is the event type, so keys are hot.
 def _requests(t):
-    return t.events.select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("key"))
+    return t.events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"))
 
 
 @query("rate_window_counts", "W13", """SELECT event_id AS id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_window FROM events""")
