@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..plans.scale import BROADCAST_ROWS, SALTS, broadcast_if_small, cut_lineage, fits, top_k
+from .containment import contained_names
 
 FIELDS = list(vocab.FIELD_WEIGHTS)
 
@@ -136,14 +137,25 @@ def bm25f_search(docs: DataFrame, queries: DataFrame, k: int = 5, keep: Column |
 
 
 def name_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Names holding the query, or one of its words over two letters; or held by it. First k by name.
-
-    Full-text containment is a theta condition, so the (small) query table is broadcast after a check
-    and larger query tables are matched word by word through an equi-join.
-    """
+    """Names holding the query or one of its words over two letters, or held by it. First k by name."""
     q = queries.select("query_id", F.lower("query").alias("q"))
-    q = q.withColumn("q_words", F.filter(F.split("q", r"\s+"), lambda w: F.length(w) > 2))
-    d = docs.select("concept_id", "name", F.lower("name").alias("n"))
-    hit = F.contains("n", "q") | F.contains("q", "n") | F.exists("q_words", lambda w: F.contains(F.col("n"), w))
-    pairs = d.join(broadcast_if_small(q), hit)
-    return top_k(pairs, ["query_id"], [F.col("n"), F.col("concept_id")], k).select("query_id", "rank", "concept_id", "name")
+    needles = q.select("query_id", F.explode(F.array_append(
+        F.filter(F.split("q", r"\s+"), lambda w: F.length(w) > 2), F.col("q"))).alias("name")).where("name <> ''").distinct()
+    d = docs.select("concept_id", "name", F.lower("name").alias("txt"))
+    inside = contained_names(d.select("txt").distinct(), needles, []).join(needles, "name").select("query_id", "txt")
+    around = contained_names(q.select("query_id", F.col("q").alias("txt")), d.select(F.col("txt").alias("name")), [])
+    pairs = inside.unionByName(around.select("query_id", F.col("name").alias("txt"))).distinct()
+    hits = d.join(pairs, "txt")
+    return top_k(hits, ["query_id"], [F.col("txt"), F.col("concept_id")], k).select("query_id", "rank", "concept_id", "name")
+
+
+def example_search(examples: DataFrame, queries: DataFrame, k: int = 3, least: int = 2) -> DataFrame:
+    """(query_id, rank, id, matches): examples whose problem holds at least two query words of over two letters; best three."""
+    words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) > 2))).alias("name"))
+    # A query word has no blank in it, so it lies inside one blank-separated piece of the text: the distinct pieces of
+    # the corpus meet the words once, and texts follow through their pieces.
+    pieces = examples.select("id", F.explode(F.array_distinct(F.split(F.lower("problem_text"), r"\s+"))).alias("txt"))
+    inside = contained_names(pieces.select("txt").distinct(), words, [])
+    hits = pieces.join(broadcast_if_small(inside), "txt").select("id", "name").distinct().join(words, "name")
+    counts = hits.groupBy("query_id", "id").agg(F.count("*").alias("matches")).where(F.col("matches") >= least)
+    return top_k(counts, ["query_id"], [F.col("matches").desc(), F.col("id")], k).select("query_id", "rank", "id", "matches")

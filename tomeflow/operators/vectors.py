@@ -158,3 +158,15 @@ def dense_search(docs: DataFrame, queries: DataFrame, k: int = 5, keep: Column |
     asked = queries.where(text.has_content(F.col("query"))).select(F.col("query_id").alias("id"), F.col("query").alias("text"))
     asked = hashing_vectors(asked, dim).withColumnRenamed("id", "query_id")
     return vector_topk(stored, asked, k).withColumnRenamed("id", "concept_id")
+
+
+def split_reusable(new: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose stored vector still matches, rows to embed again) by id and checksum."""
+    keys = ["id", "checksum"]
+    known = stored.select(*keys)
+    return new.join(known, keys, "left_semi"), new.join(known, keys, "left_anti")
+
+
+def hydrate(vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """Vectors with the payload columns of their documents; vectors without a document are dropped."""
+    return vectors.join(docs, "id")
