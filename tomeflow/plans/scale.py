@@ -90,12 +90,11 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int |
     return ranked.where(F.col(rank) <= k)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise one step of a loop in the shared checkpoint folder, so lost executors cost one step.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that every executor sees: the session's ``spark.checkpoint.dir``.
 
-    The folder comes from the session. Only where none is set (tests on one machine) is a fresh one made.
+    Only where none is set, and only on one machine (tests), is a fresh one made.
     """
-    spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -104,4 +103,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise one step in the shared checkpoint folder, so that lost executors cost one step."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
