@@ -42,6 +42,9 @@ def first_words(text: Column, n: int) -> Column:
 
 
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_SCAN_TASKS: dict[tuple[str, str, str], int] = {}
+# Tables whose rows are heavy to work on, with the key that spreads them.
+SPREAD_BY = {"documents": "doc_id", "conversations": "conv_id"}
 
 
 class Tables:
@@ -52,7 +55,17 @@ class Tables:
         self.folder = folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        key = SPREAD_BY.get(name)
+        if key is None:
+            return df
+        # A small table in one file is read by one task. Only then are its rows spread over the cores; a large
+        # table has tasks enough and is never shuffled here.
+        cores = self.spark.sparkContext.defaultParallelism
+        at = (self.spark.sparkContext.applicationId, self.folder, name)
+        if at not in _SCAN_TASKS:
+            _SCAN_TASKS[at] = df.rdd.getNumPartitions()
+        return df.repartition(cores, key) if _SCAN_TASKS[at] < cores else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
