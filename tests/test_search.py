@@ -1,8 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
-
 from tomeflow.operators import evaluation as ev
 from tomeflow.operators import fusion, search, vectors
 
@@ -31,7 +29,7 @@ def test_exact_name_wins(spark):
 
 def test_alias_boost_and_tie_order(spark):
     boosts = {r.concept_id: r.boost for r in search.score(docs(spark, FIELDS), ask(spark, "e-field")).collect()}
-    assert boosts == {"1": 100.0, "2": 1000.0, "3": 100.0} or boosts["2"] >= 500
+    assert boosts["2"] == 500.0 and boosts["1"] == 100.0
     d = docs(spark, [("z", "Charge Z", [], [], []), ("a", "Charge A", [], [], []), ("m", "Charge M", [], [], [])])
     hits = search.bm25f_search(d, ask(spark, "charge")).orderBy("rank").collect()
     assert [h.concept_id for h in hits] == ["a", "m", "z"]
@@ -42,7 +40,6 @@ def test_bm25_value(spark):
     d = docs(spark, FIELDS)
     got = {r.concept_id: r.bm25 for r in search.score(d, ask(spark, "shell")).collect()}
     idf = math.log(1 + (3 - 1 + 0.5) / 1.5)
-    avg_name, avg_def = (3 + 2 + 4) / 3, None
     # names: electric field line / electric field / field due charged shell; definitions: line field / field force per charge / field shell
     avg_name, avg_def = (3 + 2 + 4) / 3, (2 + 4 + 2) / 3
     wtf = 3.0 / (0.25 + 0.75 * 4 / avg_name) + 1.0 / (0.25 + 0.75 * 2 / avg_def)
@@ -131,4 +128,3 @@ def test_gate(spark):
     base = spark.createDataFrame([("a", "m", 0.6, "ok"), ("a", "n", 0.9, "ok"), ("b", "m", 1.0, "ok")], cols)
     got = {(r.subject, r.metric): r.problem for r in ev.regression_gate(cur, base).collect()}
     assert got == {("a", "m"): "regression", ("b", "m"): "status failed"}
-    assert F is not None

@@ -132,16 +132,7 @@ def _replaces(col, pairs):
     return col
 
 
-# Symbols stand alone in this data, so a plain look around them for letters is made with an equal-width trick:
-# RE2 has no look-around, hence two passes over (start or non-word) symbol (end or non-word).
-def _symbols(col):
-    for sign, word in formulas.SYMBOL_WORDS:
-        pattern = rf"(^|[^\p{{L}}\p{{N}}_]){sign}($|[^\p{{L}}\p{{N}}_])"
-        one = f"regexp_replace({{c}}, {sql_str(pattern)}, {sql_str(chr(92) + '1' + word + chr(92) + '2')}, 'g')"
-        col = f"(CASE WHEN contains({col}, {sql_str(sign)}) THEN {one.format(c=one.format(c=col))} ELSE {col} END)"
-    return col
-
-
+# RE2 has no look-around: each symbol is replaced between a start or non-word and an end or non-word, in two passes.
 def _symbol_stages(src):
     """One CTE per few symbols keeps the text of the query short."""
     out, prev = [], src
