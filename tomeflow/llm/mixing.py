@@ -2,11 +2,12 @@
 
 Native only. Every document gets an exponential key -ln(u) / weight, where u comes from a hash of its id, so reruns agree.
 A source's target is met by complete epochs over all its documents first; the rest is filled by its documents in key order
-up to the token budget, a prefix sum over blocks of keys, so that a source holding a third of all rows is still split.
+up to the token budget, a prefix sum over blocks of keys, so that a source holding a third of all rows is still split. What
+that leaves is one cut-off per source: each row then decides for itself, and texts are never shuffled.
 
 Defined cases: null sources form one source, last in order; a null text has size 0; a null id hashes like the word null;
-non-positive or null weights count as the smallest weight; equal rows are documents of their own with the same key, in
-order of size; a source of size 0 has target 0; an empty table gives no rows; other columns of the input pass through unless they clash.
+non-positive or null weights count as the smallest weight; rows with equal id and
+size are taken or left together in the fractional part; a source of size 0 has target 0; an empty table gives no rows; other columns of the input pass through unless they clash.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scale import running
-from .storage import written
+from .storage import cut_lineage, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -25,6 +26,7 @@ SHARE = 1.5
 MOST_EPOCHS = 2
 LEAST_WEIGHT = 1e-3
 BLOCK_ROWS = 50_000
+BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -69,30 +71,52 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return fixed.select("source_key", "source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_fixed") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def mix(df: DataFrame, size: Column, weight: Column, key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE,
-        most: float = MOST_EPOCHS, carry: Sequence[str] = ()) -> DataFrame:
-    """(key, source, *carry, size, source_size, target, taken): ``taken`` is the words that the mix takes of the row.
+def _drawn(df: DataFrame, size: Column, weight: Column, key: str, source: str) -> DataFrame:
+    """``df`` with its size, source key and exponential key."""
+    w = F.greatest(F.coalesce(weight, F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
+    return df.select(
+        *[F.col(f"`{c}`") for c in df.columns], F.coalesce(size, F.lit(0)).cast("long").alias("_size"),
+        F.concat(F.when(F.col(source).isNull(), "n").otherwise("s"), F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("_source_key"),
+        (-F.log(uniform(F.col(key))) / w).alias("_draw"),
+    )
 
-    A source's target holds ``floor(target / source_size)`` complete epochs; the rest takes rows in key order while more
-    than half of the row fits. A source's words miss its target by at most half of one row.
-    """
-    held = [key, source, *[c for c in carry if c not in (key, source)]]
-    drawn = written(df.select(
-        *[F.col(f"`{c}`") for c in held], F.coalesce(size, F.lit(0)).cast("long").alias("size"),
-        F.concat(F.when(F.col(source).isNull(), "n").otherwise("s"), F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("source_key"),
-        (-F.log(uniform(F.col(key))) / F.greatest(F.coalesce(weight, F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))).alias("_draw"),
-    ), "draws")
-    per_source = drawn.groupBy("source_key").agg(F.first(source).alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    # Sources are few (one row each); the plan keeps them to one small table.
-    wanted = targets(per_source.select("source_key", F.col("source").cast("string").alias("source"), "source_size"), weights, share, most)
-    wanted = wanted.select("source_key", "source_size", "target").join(per_source.select("source_key", "_rows"), "source_key")
-    rows = drawn.join(wanted, "source_key")
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rows = rows.withColumn("_epochs", epochs.cast("long")).withColumn("_left", F.col("target") - F.col("_epochs") * F.col("source_size"))
+
+def cut_offs(drawn: DataFrame, key: str, source: str, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """(_source_key, source_size, target, _epochs, _cut) per source; ``_cut`` is the first row, in key order, of which less
+    than half fits into what complete epochs leave of the target, or null when all rows fit."""
+    rows = drawn.select("_source_key", F.col(source).cast("string").alias("source"), F.col(key).alias("_key"), F.col("_size"), F.col("_draw"))
+    per_source = rows.groupBy("_source_key").agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    wanted = targets(per_source.withColumnRenamed("_source_key", "source_key"), weights, share, most).withColumnRenamed("source_key", "_source_key")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    wanted = wanted.join(per_source.select("_source_key", "_rows"), "_source_key").select("_source_key", "source_size", "target", "_rows", epochs.alias("_epochs"))
+    wanted = cut_lineage(wanted)
+    left = F.col("target") - F.col("_epochs") * F.col("source_size")
+    joined = rows.join(wanted, "_source_key").withColumn("_left", left)
     # Blocks that follow key order. Whatever the weights, a unit of the draw's logarithm holds at most 1/e of the rows,
     # so no block is expected to hold more than BLOCK_ROWS.
     block = F.floor(F.log("_draw") * F.ceil(F.col("_rows") / BLOCK_ROWS))
-    summed = running(rows, ["source_key"], ["_draw", key, "size"], {"_before": F.col("size")}, block, inclusive=False)
-    picked = F.col("_before") + F.col("size") / 2 <= F.col("_left")
-    taken = F.col("size") * (F.col("_epochs") + F.when(picked, 1).otherwise(0))
-    return summed.select(*held, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    summed = running(joined, ["_source_key"], ["_draw", "_key", "_size"], {"_before": F.col("_size")}, block, inclusive=False)
+    over = F.when(F.col("_before") + F.col("_size") / 2 > F.col("_left"), F.struct("_draw", "_key", "_size"))
+    cuts = summed.groupBy("_source_key").agg(F.min(over).alias("_cut"))
+    return cut_lineage(wanted.join(cuts, "_source_key", "left").drop("_rows"))
+
+
+def mix(df: DataFrame, size: Column, weight: Column, key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE,
+        most: float = MOST_EPOCHS, wide: bool = False) -> DataFrame:
+    """The rows with ``size``, ``source_size``, ``target`` and ``taken``, the words that the mix takes of the row.
+
+    A source's target holds ``floor(target / source_size)`` complete epochs; the rest takes rows in key order until less
+    than half of the next one fits, so a source's words miss its target by at most half of one row. With ``wide`` all
+    other columns stay (clashing ones are replaced); else the key and the source only.
+    """
+    made = _drawn(df.select(key, source, *([F.col(f"`{c}`") for c in df.columns if c not in (key, source)])), size, weight, key, source)
+    narrow = written(made.select(key, source, "_size", "_source_key", "_draw"), "draws")
+    cuts = cut_offs(narrow, key, source, weights, share, most)
+    # One row per source: sent to the tasks if few.
+    few = cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    rows = (made if wide else narrow).join(F.broadcast(cuts) if few else cuts, "_source_key")
+    picked = F.col("_cut").isNull() | (F.struct(F.col("_draw"), F.col(key).alias("_key"), F.col("_size")) < F.col("_cut"))
+    taken = F.col("_size") * (F.col("_epochs") + F.when(picked, 1).otherwise(0))
+    names = ["size", "source_size", "target", "taken"]
+    kept = [c for c in (df.columns if wide else [key, source]) if c not in names]
+    return rows.select(*[F.col(f"`{c}`") for c in kept], F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))

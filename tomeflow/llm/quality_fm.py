@@ -194,3 +194,20 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), tex
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = rows.drop("_text", "_length").withColumn("score", F.lit(0.0)).schema
     return rows.mapInArrow(_score(shared, list(keep)), schema)
+
+
+def _good(shared, threshold: float, text: str, length: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            lengths = np.maximum(batch.column(length).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False), 0)
+            parts = [np.full(n, model["constant"]) if "constant" in model else logistic(raw_scores(model, off, number, value.astype(np.float32)).astype(float))
+                     for n, off, number, value in features(batch.column(text), lengths)]
+            yield batch.filter(pa.array(np.concatenate(parts) >= threshold if parts else np.zeros(0, bool)))
+
+    return run
+
+
+def keep_good(docs: DataFrame, model: dict, threshold: float, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns. Nothing is shuffled."""
+    return docs.mapInArrow(_good(docs.sparkSession.sparkContext.broadcast(model), threshold, text, length), docs.schema)

@@ -223,7 +223,8 @@ r AS (
          coalesce(sum(size) OVER (PARTITION BY draws.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM draws JOIN targets ON draws.source IS NOT DISTINCT FROM targets.source)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (epochs + CASE WHEN before + size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
+       CAST(size * (epochs + CASE WHEN bool_or(before + size / 2.0 > target - epochs * source_size)
+                                  OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) THEN 0 ELSE 1 END) AS BIGINT) AS taken FROM r"""
 
 
 @query(OP10_SQL)
