@@ -152,7 +152,7 @@ def follow_up(query: Column, active: Column) -> Column:
     A concept named in the turn wins over the active one.
     """
     q = F.lower(F.trim(query))
-    named = F.trim(F.regexp_extract(q, cues.EXPLICIT_CONCEPT, 4))
+    named = F.trim(F.regexp_extract(q, cues.EXPLICIT_CONCEPT, 1))
     usable = (named != "") & ~F.split(named, r"\s+")[0].isin(cues.NOT_A_CONCEPT)
     concept = F.when(usable, named).otherwise(F.coalesce(active, F.lit("that concept")))
     pair = lambda r, t: F.struct(F.lit(r).alias("rule"), t.alias("rewritten"))
@@ -226,7 +226,7 @@ def named_entity(txt: Column) -> Column:
     """struct(name, cue) of a concept named inside prose, null without one."""
     line = F.trim(F.split(txt, "\n")[0])
     called = F.trim(F.regexp_extract(line, cues.CALLED_IF, 1))
-    defined = F.trim(F.regexp_replace(F.regexp_extract(line, cues.DEFINED_IF, 2), cues.DEFINED_IF_SUFFIX, ""))
+    defined = F.trim(F.regexp_replace(F.regexp_extract(line, cues.DEFINED_IF, 1), cues.DEFINED_IF_SUFFIX, ""))
     law = F.replace(F.trim(F.regexp_extract(line, cues.NAMED_LAW, 1)), F.lit("’"), F.lit("'"))
     pair = lambda n, c: F.struct(n.alias("name"), F.lit(c).alias("cue"))
     return (

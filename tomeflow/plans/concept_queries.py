@@ -205,7 +205,7 @@ def _(t):
 
 
 _WORDS = "list_filter(regexp_split_to_array(name, '\\s+'), lambda w: w <> '')"
-GRADED_SQL = f"""{COUNTED_SQL}, gr AS (SELECT concept_id, name, CASE WHEN {sql_re("name", cp.JUNK_NAME)} OR len({_WORDS}) = 0 THEN 0 ELSE round(greatest(0, least(1,
+GRADED_SQL = f"""{COUNTED_SQL}, gr AS (SELECT concept_id, name, CASE WHEN ({" OR ".join(sql_re("name", p) for p in cp.JUNK_NAMES)}) OR len({_WORDS}) = 0 THEN 0 ELSE round(greatest(0, least(1,
    CASE WHEN len({_WORDS}) > 6 THEN -0.5 ELSE 0 END + CASE WHEN length(regexp_replace(name, '[\\p{{L}}\\p{{N}}_\\s]', '', 'g')) > 3 OR (length(regexp_replace(name, '[\\p{{L}}\\p{{N}}_\\s]', '', 'g')) > 1 AND len({_WORDS}) <= 2) THEN -0.5 ELSE 0 END
    + CASE WHEN len(list_filter({_WORDS}, lambda w: lower(w) IN ({_in(vocab.NAME_STOP_WORDS)}))) / len({_WORDS}) >= 0.5 THEN -0.4 ELSE 0 END
    + CASE WHEN lower(name[1]) = name[1] AND upper(name[1]) <> name[1] AND len({_WORDS}) > 2 THEN -0.2 ELSE 0 END + 0.6

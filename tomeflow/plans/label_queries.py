@@ -153,7 +153,7 @@ _MATRIX_SIZE = (f"CAST(len(string_split(trim(regexp_extract(w, {sql_str(formulas
 @query("formulas_to_words", "P13", f"""WITH {FORMULA_LINES_SQL},
   s1 AS (SELECT *, {sql_case([(sql_str(o), sql_re("query", p)) for p, o in formulas.DETERMINANT_NOTATIONS]
                             + [("'matrix cofactors and minors'", sql_re("query", formulas.COFACTOR_NOTATION) + " AND " + sql_any("lower(query)", ["cofactor", "minor"]))], "query")} AS w
-         FROM fl WHERE {sql_re("query", formulas.FORMULA_PRESENT)}),
+         FROM fl WHERE ({" OR ".join(sql_re("query", p) for p in formulas.FORMULA_PRESENT)})),
   s2 AS (SELECT doc_id, pos, query, {sql_case([(_MATRIX_SIZE, sql_re("w", formulas.MATRIX_LITERAL))] + [(sql_str(o), sql_re("w", p)) for p, o in formulas.MATRIX_NOTATIONS], "w")} AS w FROM s1),
   s3 AS (SELECT doc_id, pos, query, {_stage("w", formulas.CALCULUS_NOTATIONS)} AS w FROM s2),
   s4 AS (SELECT doc_id, pos, query, {_replaces("w", formulas.CHEMICAL_NAMES + formulas.REACTION_SIGNS + formulas.PHYSICS_FORMULAS)} AS w FROM s3),
@@ -189,7 +189,7 @@ def _rewrite_sql():
     return sql_case(rules, "query")
 
 
-@query("math_query_rewrites", "P14", f"WITH {FORMULA_LINES_SQL} SELECT doc_id, pos, {sql_re('query', formulas.FORMULA_PRESENT)} AS has_formula, {_rewrite_sql()} AS rewritten FROM fl")
+@query("math_query_rewrites", "P14", f"WITH {FORMULA_LINES_SQL} SELECT doc_id, pos, ({' OR '.join(sql_re('query', p) for p in formulas.FORMULA_PRESENT)}) AS has_formula, {_rewrite_sql()} AS rewritten FROM fl")
 def _(t):
     q = F.col("query")
     return _formula_lines(t).select("doc_id", "pos", formulas.has_formula(q).alias("has_formula"), formulas.rewrite(q).alias("rewritten"))
@@ -230,7 +230,7 @@ def _(t):
 
 @query("named_entities", "P17", f"""WITH {DEFINITION_LINES_SQL},
   x AS (SELECT doc_id, pos, trim(regexp_extract(txt, {sql_str(cues.CALLED_IF)}, 1)) AS called,
-               trim(regexp_replace(regexp_extract(txt, {sql_str(cues.DEFINED_IF)}, 2), {sql_str(cues.DEFINED_IF_SUFFIX)}, '', 'g')) AS defined,
+               trim(regexp_replace(regexp_extract(txt, {sql_str(cues.DEFINED_IF)}, 1), {sql_str(cues.DEFINED_IF_SUFFIX)}, '', 'g')) AS defined,
                replace(trim(regexp_extract(txt, {sql_str(cues.NAMED_LAW)}, 1)), '’', '''') AS law FROM dl)
   SELECT doc_id, pos, CASE WHEN called <> '' THEN called WHEN defined <> '' THEN defined ELSE law END AS name,
          CASE WHEN called <> '' THEN 'called_if' WHEN defined <> '' THEN 'defined_if' ELSE 'named_law' END AS cue
@@ -285,7 +285,7 @@ def _turns(t):
 TURNS_SQL = f"""turns AS (SELECT conv_id, turn, role, {case("(conv_id + turn) % 16", TURN_CUES)}
   || CASE WHEN (conv_id + turn) % 16 >= 13 THEN '' ELSE text END AS said FROM conversations)"""
 
-_NAMED = f"trim(regexp_extract(lower(trim(said)), {sql_str(cues.EXPLICIT_CONCEPT)}, 4))"
+_NAMED = f"trim(regexp_extract(lower(trim(said)), {sql_str(cues.EXPLICIT_CONCEPT)}, 1))"
 
 
 def _follow_sql(active):

@@ -138,7 +138,7 @@ _Q = f"list_distinct({sql_tokens('query', vocab.SEARCH_STOP_WORDS)})"
      + CASE WHEN contains(tn, qn) AND tn <> qn THEN 0.5 ELSE 0 END
      + CASE WHEN (teaching_goal = 'introduce_concept' AND nd > 0) OR (teaching_goal = 'learning_path' AND np > 0) OR (teaching_goal = 'solve_problem' AND ne > 0) OR (teaching_goal IN ('formula_reference', 'revise') AND nf > 0) THEN 0.75 ELSE 0 END
      + CASE WHEN intent = 'definition' AND nd > 0 THEN least(5.0, nd * 0.5) WHEN intent = 'definition' AND nd = 0 AND ne > 0 THEN -10 ELSE 0 END + CASE WHEN chapter <> '' AND contains(qn, {_FLAT.format(c="chapter")}) THEN 0.2 ELSE 0 END
-     + CASE WHEN regexp_matches(query, {sql_str(rr.CLASSIFICATION_QUERY)}) AND regexp_extract(query, {sql_str(rr.CLASSIFIED_WORD)}, 2) <> '' AND list_contains(t, lower(regexp_extract(query, {sql_str(rr.CLASSIFIED_WORD)}, 2))) THEN 1 ELSE 0 END AS boost FROM k)
+     + CASE WHEN regexp_matches(query, {sql_str(rr.CLASSIFICATION_QUERY)}) AND regexp_extract(query, {sql_str(rr.CLASSIFIED_WORD)}, 1) <> '' AND list_contains(t, lower(regexp_extract(query, {sql_str(rr.CLASSIFIED_WORD)}, 1))) THEN 1 ELSE 0 END AS boost FROM k)
   SELECT query_id, concept_id, CAST(round(round(base + boost, 4), 3) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(base + boost, 4) DESC, rank0) AS rank FROM b""")
 def _(t):
     out = rr.rerank(_hits(t), _rich(t), labels.profile(t.queries()))
@@ -394,8 +394,8 @@ def _(t):
 
 
 @query("example_cards", "V12", f"""WITH {_CARD}, e AS (SELECT concept_id, unnest(range(len(example_texts))) AS pos, unnest(list_transform(example_texts, lambda x: trim(head || x))) AS t FROM cd), f AS (SELECT * FROM e WHERE length(t) >= 50 AND NOT regexp_matches(t, '^(Reprint|©|ISBN)')),
-  x AS (SELECT concept_id, pos, t, trim(regexp_extract(t, {sql_str(cards.EXAMPLE_PROBLEM)}, 1)) AS p1, left(trim(regexp_extract(t, {sql_str(cards.SOLUTION)}, 2)), 500) AS s1, trim(regexp_extract(t, {sql_str(cards.TASK_PROBLEM)}, 1)) AS p2,
-     left(trim(regexp_extract(substr(t, length(regexp_extract(t, {sql_str(cards.TASK_PROBLEM)})) + 1), {sql_str(cards.SOLUTION)}, 2)), 500) AS s2 FROM f),
+  x AS (SELECT concept_id, pos, t, trim(regexp_extract(t, {sql_str(cards.EXAMPLE_PROBLEM)}, 1)) AS p1, left(trim(regexp_extract(t, {sql_str(cards.SOLUTION)}, 1)), 500) AS s1, trim(regexp_extract(t, {sql_str(cards.TASK_PROBLEM)}, 1)) AS p2,
+     left(trim(regexp_extract(substr(t, length(regexp_extract(t, {sql_str(cards.TASK_PROBLEM)})) + 1), {sql_str(cards.SOLUTION)}, 1)), 500) AS s2 FROM f),
   y AS (SELECT concept_id, pos, CASE WHEN length(p1) > 10 AND length(s1) > 10 THEN p1 WHEN length(p2) > 10 AND length(s2) > 10 THEN p2 END AS p, CASE WHEN length(p1) > 10 AND length(s1) > 10 THEN s1 ELSE s2 END AS s FROM x),
   z AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY pos) AS rn FROM y WHERE p IS NOT NULL) SELECT concept_id, pos, 'Solve: ' || p AS question, s AS answer FROM z WHERE rn <= 2""")
 def _(t):
