@@ -86,7 +86,8 @@ class Tables:
         return d.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
     def search_docs(self) -> DataFrame:
-        """One row per document: first line's opening words name it, odd lines define, even lines give examples."""
+        """One row per document: its first line's opening words name it. Every line is in a field: odd lines define, even
+        lines, the first one too, give examples."""
         lines = F.split("text", "\n")
         return self.read("documents").select(
             F.col("doc_id").alias("concept_id"),
@@ -95,14 +96,14 @@ class Tables:
             F.col("lang").alias("subject"),
             F.col("source").alias("chapter"),
             F.filter(lines, lambda x, i: i % 2 == 1).alias("definition_texts"),
-            F.filter(lines, lambda x, i: (i > 0) & (i % 2 == 0)).alias("example_texts"),
+            F.filter(lines, lambda x, i: i % 2 == 0).alias("example_texts"),
         )
 
     def queries(self) -> DataFrame:
-        """(query_id, query): benchmark items behind a cue."""
+        """(query_id, query): whole benchmark items behind a cue."""
         cue = pick(F.col("item_id") % 12, QUERY_CUES)
         return self.read("benchmark").select(
-            F.col("item_id").alias("query_id"), F.concat(cue, first_words(F.col("text"), 8)).alias("query")
+            F.col("item_id").alias("query_id"), F.concat(cue, F.col("text")).alias("query")
         )
 
     def name_queries(self) -> DataFrame:
@@ -178,11 +179,11 @@ LINES_SQL = """lines AS (
 SEARCH_DOCS_SQL = f"""search_docs AS (
   SELECT doc_id AS concept_id, {sql_words("a[1]", 6)} AS name, lang AS subject, source AS chapter,
          list_filter(a, lambda x, i: i % 2 = 0) AS definition_texts,
-         list_filter(a, lambda x, i: i > 1 AND i % 2 = 1) AS example_texts
+         list_filter(a, lambda x, i: i % 2 = 1) AS example_texts
   FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS a FROM documents))"""
 
 QUERIES_SQL = f"""queries AS (
-  SELECT item_id AS query_id, {case("item_id % 12", QUERY_CUES)} || {sql_words("text", 8)} AS query FROM benchmark)"""
+  SELECT item_id AS query_id, {case("item_id % 12", QUERY_CUES)} || text AS query FROM benchmark)"""
 
 NAME_QUERIES_SQL = f"""queries AS (
   SELECT doc_id AS query_id,

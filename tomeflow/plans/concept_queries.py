@@ -61,16 +61,16 @@ def accepts_sql(chapter: str | None = None) -> str:
     return out
 
 
-# Raw names: the opening words of every line behind and before the noise that headings carry, by (doc_id + pos) modulo 12.
+# Raw names: every whole line behind and before the noise that headings carry, by (doc_id + pos) modulo 12.
 NAME_HEADS = ["7.2 ", "Chapter 3 ", "IV. ", "", "e lectric c harge ", "13.5.1 ", "COULOMB ''S LAW OF ", "• State that ", "Unit 4 ", "The the ", "If ", ""]
 NAME_TAILS = ["", " (continued)", "", " 226", "", " (Contd.)", "", ".", " 12.5 ;", "", " is being known where it can follow on", ""]
-RAW_SQL = f"""{LINES_SQL}, raws AS (SELECT doc_id, source, pos, {case("(doc_id + pos) % 12", NAME_HEADS)} || {sql_words("line", 4)} || {case("(doc_id + pos) % 12", NAME_TAILS)} AS raw FROM lines)"""
+RAW_SQL = f"""{LINES_SQL}, raws AS (SELECT doc_id, source, pos, {case("(doc_id + pos) % 12", NAME_HEADS)} || line || {case("(doc_id + pos) % 12", NAME_TAILS)} AS raw FROM lines)"""
 
 
 def _raws(t):
     c = (F.col("doc_id") + F.col("pos")) % 12
     heads = [h.replace("''", "'") for h in NAME_HEADS]
-    return t.lines().select("doc_id", "source", "pos", F.concat(pick(c, heads), first_words(F.col("line"), 4), pick(c, NAME_TAILS)).alias("raw"))
+    return t.lines().select("doc_id", "source", "pos", F.concat(pick(c, heads), F.col("line"), pick(c, NAME_TAILS)).alias("raw"))
 
 
 @query("canonical_names", "P5", f"WITH {RAW_SQL}, {name_ctes('raws')} SELECT doc_id, pos, norm FROM named")

@@ -268,7 +268,7 @@ def _(t):
 
 
 # --- turns ----------------------------------------------------------------------------------------------------
-# Openings of turns, by (conv_id + turn) modulo 16; the later ones stand alone.
+# Openings of turns, by (conv_id + turn) modulo 16. The last three are turns of their own, put before the given one.
 TURN_CUES = [
     "give me another example ", "explain that again ", "tell me more ", "what''s next ", "what does it mean ", "test me ",
     "show the solution ", "recap ", "calculate 2 ", "more examples of vectors. ", "who is the president of this ", "this concept and that part ", "",
@@ -278,12 +278,15 @@ TURN_CUES = [
 
 def _turns(t):
     c = (F.col("conv_id") + F.col("turn")) % 16
-    said = F.concat(pick(c, [x.replace("''", "'") for x in TURN_CUES]), F.when(c >= 13, "").otherwise(F.col("text")))
-    return t.conversations.select("conv_id", "turn", "role", said.alias("said"))
+    cue = pick(c, [x.replace("''", "'") for x in TURN_CUES])
+    given = F.struct((F.col("turn") * 2 + 1).alias("turn"), F.when(c >= 13, F.col("text")).otherwise(F.concat(cue, F.col("text"))).alias("said"))
+    alone = F.struct((F.col("turn") * 2).alias("turn"), cue.alias("said"))
+    return t.conversations.select("conv_id", "role", F.explode(F.when(c >= 13, F.array(alone, given)).otherwise(F.array(given))).alias("t")).select("conv_id", "t.turn", "role", "t.said")
 
 
-TURNS_SQL = f"""turns AS (SELECT conv_id, turn, role, {case("(conv_id + turn) % 16", TURN_CUES)}
-  || CASE WHEN (conv_id + turn) % 16 >= 13 THEN '' ELSE text END AS said FROM conversations)"""
+TURNS_SQL = f"""cued AS (SELECT *, (conv_id + turn) % 16 AS c, {case("(conv_id + turn) % 16", TURN_CUES)} AS cue FROM conversations),
+turns AS (SELECT conv_id, turn * 2 + 1 AS turn, role, CASE WHEN c >= 13 THEN text ELSE cue || text END AS said FROM cued
+  UNION ALL SELECT conv_id, turn * 2, role, cue FROM cued WHERE c >= 13)"""
 
 _NAMED = f"trim(regexp_extract(lower(trim(said)), {sql_str(cues.EXPLICIT_CONCEPT)}, 1))"
 

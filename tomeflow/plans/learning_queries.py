@@ -152,7 +152,7 @@ def _ws(c):
 
 
 @query("answer_overlap", "V11", f"""WITH p AS (SELECT conv_id, turn, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS src, role FROM conversations),
-  a AS (SELECT *, {_ws("answer")} AS aw, {_ws("coalesce(src, '')")} AS sw, {sql_any("lower(answer)", cues.REFUSALS)} AS refusal, CASE WHEN src IS NULL THEN '' ELSE src[1:12] END AS nm FROM p WHERE role = 'assistant')
+  a AS (SELECT *, {_ws("answer")} AS aw, {_ws("coalesce(src, '')")} AS sw, {sql_any("lower(answer)", cues.REFUSALS)} AS refusal, coalesce(src, '') AS nm FROM p WHERE role = 'assistant')
   SELECT conv_id, turn, round(CASE WHEN len(aw) > 0 AND len(sw) > 0 THEN len(list_intersect(aw, sw)) / len(aw) ELSE 0 END, 4) AS overlap, refusal,
    src IS NOT NULL AND NOT refusal AND (CASE WHEN len(aw) > 0 AND len(sw) > 0 THEN len(list_intersect(aw, sw)) / len(aw) ELSE 0 END > 0.05 OR (nm <> '' AND contains(lower(answer), lower(nm)))) AS grounded FROM a""")
 def _(t):
@@ -161,7 +161,7 @@ def _(t):
     a = c.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left")
     none = F.array().cast("array<string>")
     a = a.select("conv_id", "turn", F.col("text").alias("answer"), F.when(F.col("src").isNotNull(), F.array("src")).otherwise(none).alias("sources"),
-                 F.when(F.col("src").isNotNull(), F.array(F.substring("src", 1, 12))).otherwise(none).alias("source_names"))
+                 F.when(F.col("src").isNotNull(), F.array("src")).otherwise(none).alias("source_names"))
     return ln.answer_overlap(a, vocab.ANSWER_COMMON_WORDS).select("conv_id", "turn", F.round("overlap", 4).alias("overlap"), "refusal", "grounded")
 
 

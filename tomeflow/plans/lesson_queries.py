@@ -373,7 +373,7 @@ def _card_docs(t):
     heads = pick(F.col("concept_id") % 8, CARD_HEADS)
     put = lambda c: F.transform(c, lambda x: F.concat(heads, x))
     d = t.search_docs()
-    return d.select("concept_id", "name", put(F.col("definition_texts")).alias("definition_texts"), put(F.col("example_texts")).alias("example_texts"), F.transform("definition_texts", lambda x: F.substring(x, 1, 9)).alias("formula_latex"))
+    return d.select("concept_id", "name", put(F.col("definition_texts")).alias("definition_texts"), put(F.col("example_texts")).alias("example_texts"), F.col("definition_texts").alias("formula_latex"))
 
 
 _CARD = f"""{SEARCH_DOCS_SQL}, cd AS (SELECT concept_id, name, {case("concept_id % 8", CARD_HEADS)} AS head, definition_texts, example_texts FROM search_docs)"""
@@ -388,7 +388,7 @@ def _(t):
     return cards.definition_cards(_card_docs(t))
 
 
-@query("formula_cards", "V12", f"""WITH {SEARCH_DOCS_SQL}, f AS (SELECT concept_id, unnest(range(len(definition_texts))) AS pos, trim(left(unnest(definition_texts), 9)) AS answer FROM search_docs) SELECT concept_id, pos, answer FROM f WHERE length(answer) >= 5""")
+@query("formula_cards", "V12", f"""WITH {SEARCH_DOCS_SQL}, f AS (SELECT concept_id, unnest(range(len(definition_texts))) AS pos, trim(unnest(definition_texts)) AS answer FROM search_docs) SELECT concept_id, pos, answer FROM f WHERE length(answer) >= 5""")
 def _(t):
     return cards.formula_cards(_card_docs(t))
 

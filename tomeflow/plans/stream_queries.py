@@ -11,7 +11,8 @@ from ..functions import labels, text
 from ..operators import vectors
 from ..sources import io
 from ..streaming import streams as st
-from .bindings import LEARNING_EVENTS_SQL, SEARCH_DOCS_SQL, Tables
+from .bindings import LEARNING_EVENTS_SQL, Tables
+from .learning_queries import REPLAY_SQL
 from .registry import query
 from .scale import shared_folder
 
@@ -97,9 +98,18 @@ def _(t):
 
 
 # --- streams -------------------------------------------------------------------------------------------------------
+END = "2200-01-01"
+
+
 def _stream_events(t) -> DataFrame:
-    """The events file as a stream, in the shape of the learning events."""
-    src = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    """The events file as a stream. A last row far ahead, under a key of its own, ends the input: the watermark passes all
+    other rows, and the row itself is never due."""
+    end = _folder(t)
+    last = t.events.limit(1).select(*[F.lit(v).cast(f.dataType).alias(f.name) for f in t.events.schema for v in [
+        {"event_id": -1, "ts": END, "user_id": -1, "event_type": "end", "props": '{"k": -1}'}.get(f.name)]])
+    last.write.parquet(end)
+    read = t.spark.readStream.schema(t.events.schema)
+    src = read.option("pathGlobFilter", "events.parquet").parquet(t.folder).unionByName(t.spark.readStream.schema(t.events.schema).parquet(end))
     return src.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -119,53 +129,65 @@ def _drain(t, df: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def _ts_requests(events: DataFrame) -> DataFrame:
-    return events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"))
+    return events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("key"))
 
 
 _SEC = "CAST(epoch(ts) AS BIGINT)"
 
 
-@query("session_windows", "ST2", f"""WITH {LEARNING_EVENTS_SQL}, g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY student ORDER BY ts, seq) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY student ORDER BY ts, seq) IS NULL THEN 1 ELSE 0 END AS new FROM learning_events),
+_SESSIONS_SQL = f"""WITH {LEARNING_EVENTS_SQL}, g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY student ORDER BY ts, seq) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY student ORDER BY ts, seq) IS NULL THEN 1 ELSE 0 END AS new FROM learning_events),
   s AS (SELECT *, sum(new) OVER (PARTITION BY student ORDER BY ts, seq) AS sid FROM g)
-  SELECT student, min(ts) AS started, count(*) AS n_events, count(*) FILTER (type IN ('exercise_correct', 'exercise_incorrect')) AS attempted, count(*) FILTER (type = 'exercise_correct') AS correct FROM s GROUP BY student, sid""")
+  SELECT student, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n_events, count(*) FILTER (type IN ('exercise_correct', 'exercise_incorrect')) AS attempted,
+    count(*) FILTER (type = 'exercise_correct') AS correct, count(DISTINCT concept_id) AS concepts FROM s GROUP BY student, sid"""
+
+
+@query("session_windows", "ST2", _SESSIONS_SQL)
 def _(t):
     e = t.learning_events().withColumn("ts", F.col("ts").cast("timestamp"))
-    return st.session_rollup(e).select("student", "started", "n_events", "attempted", "correct")
+    return st.session_rollup(e)
 
 
-@query("tumbling_request_counts", "ST5", "SELECT event_type AS key, time_bucket(INTERVAL 1 MINUTE, ts) AS started, count(*) AS n FROM events GROUP BY 1, 2")
+@query("tumbling_request_counts", "ST5", "SELECT CAST(user_id AS VARCHAR) AS key, time_bucket(INTERVAL 1 MINUTE, ts) AS started, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
     return st.request_counts(_ts_requests(t.events)).select("key", "started", "n")
 
 
-@query("sliding_request_counts", "ST5", """SELECT event_type AS key, time_bucket(INTERVAL 10 SECOND, ts) - to_seconds(10 * i) AS started, count(*) AS n FROM events, range(6) r(i) GROUP BY 1, 2""")
+@query("sliding_request_counts", "ST5", """SELECT CAST(user_id AS VARCHAR) AS key, time_bucket(INTERVAL 10 SECOND, ts) - to_seconds(10 * i) AS started, count(*) AS n FROM events, range(6) r(i) GROUP BY 1, 2""")
 def _(t):
     return st.request_counts(_ts_requests(t.events), "60 seconds", "10 seconds").select("key", "started", "n")
 
 
-@query("streamed_request_counts", "ST5")
+@query("streamed_request_counts", "ST5", "SELECT CAST(user_id AS VARCHAR) AS key, time_bucket(INTERVAL 1 MINUTE, ts) AS started, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS ended, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
     return _drain(t, st.request_counts(_ts_requests(_stream_events(t))))
 
 
-@query("streamed_session_windows", "ST2")
+@query("streamed_session_windows", "ST2", _SESSIONS_SQL)
 def _(t):
     e = _StreamTables(t.spark, t.folder).learning_events()
     return _drain(t, st.session_rollup(e))
 
 
-@query("streamed_first_in_ttl", "ST3")
+# One recursion step per request of a key.
+_IN_ORDER = """o AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"""
+
+
+@query("streamed_first_in_ttl", "ST3", f"""WITH RECURSIVE {_IN_ORDER},
+  r AS (SELECT key, id, us, i, us AS last FROM o WHERE i = 1
+    UNION ALL SELECT o.key, o.id, o.us, o.i, CASE WHEN o.us >= r.last + 600000000 THEN o.us ELSE r.last END FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
+  SELECT key, id, us, 'miss' AS verdict FROM r WHERE last = us AND (i = 1 OR NOT EXISTS (SELECT 1 FROM r p WHERE p.key = r.key AND p.i = r.i - 1 AND p.last = r.last))""")
 def _(t):
-    return _drain(t, st.first_in_ttl(_ts_requests(_stream_events(t))))
+    st.use_state_store(t.spark)
+    return _drain(t, st.first_in_ttl(_ts_requests(_stream_events(t)), 600))
 
 
-@query("streamed_mastery", "ST1")
+@query("streamed_mastery", "ST1", f"WITH {REPLAY_SQL} SELECT student, concept_id, round(mastery, 4) AS mastery, round(confidence, 4) AS confidence, state, revisions::BIGINT AS revisions FROM final")
 def _(t):
     st.use_state_store(t.spark)
     e = _StreamTables(t.spark, t.folder).learning_events()
     rows = _drain_updates(t, st.mastery_stream(e))
     last = rows.where("late = 0").groupBy("student", "concept_id").agg(F.max_by(F.struct("mastery", "confidence", "state", "revisions"), "us").alias("s"))
-    return last.select("student", "concept_id", "s.*")
+    return last.select("student", "concept_id", F.round("s.mastery", 4).alias("mastery"), F.round("s.confidence", 4).alias("confidence"), "s.state", "s.revisions")
 
 
 def _drain_updates(t, df: DataFrame) -> DataFrame:
@@ -180,7 +202,11 @@ def _drain_updates(t, df: DataFrame) -> DataFrame:
     return t.spark.read.schema(df.schema).parquet(out)
 
 
-@query("streamed_rate_limit", "ST4")
+@query("streamed_rate_limit", "ST4", f"""WITH RECURSIVE {_IN_ORDER},
+  r AS (SELECT key, id, us, i, [us] AS times, 'accepted' AS verdict FROM o WHERE i = 1
+    UNION ALL SELECT key, id, us, i, CASE WHEN len(kept) < 3 THEN list_append(kept, us) ELSE kept END, CASE WHEN len(kept) < 3 THEN 'accepted' ELSE 'rejected' END FROM (
+      SELECT o.*, list_filter(r.times, lambda x: x > o.us - 3600000000) AS kept FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1))
+  SELECT key, id, us, verdict FROM r""")
 def _(t):
     st.use_state_store(t.spark)
     return _drain(t, st.rate_limit_stream(_ts_requests(_stream_events(t)), limit=3, seconds=3600))
@@ -190,7 +216,7 @@ def _(t):
 def _(t):
     s = Tables(t.spark, t.folder)
     src = t.spark.readStream.schema(s.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
-    queries = src.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("what is "), F.array_join(F.slice(F.split(F.split("text", "\n")[0], r"\s+"), 1, 6), " ")).alias("query"))
+    queries = src.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("what is "), F.split("text", "\n")[0]).alias("query"))
     d = s.search_docs()
     names = d.select("concept_id", "name", text.set_key(text.lookup_tokens(F.col("name"))).alias("key")).where("key <> ''")
     names = names.groupBy("key").agg(F.min_by("name", "concept_id").alias("matched_concept"))
@@ -199,7 +225,7 @@ def _(t):
     return _drain(t, out.select("query_id", "intent", "question_type", "goal", "chosen_strategy", "fired_rule"))
 
 
-@query("streamed_embedding_refresh", "ST7")
+@query("streamed_embedding_refresh", "ST7", "SELECT doc_id AS id, md5(text) AS checksum, 256 AS dim FROM documents")
 def _(t):
     root = _folder(t)
     src = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
@@ -210,7 +236,9 @@ def _(t):
     return t.spark.read.parquet(root).select("id", "checksum", F.size("vector").alias("dim"))
 
 
-@query("streamed_session_expiry", "ST8")
+@query("streamed_session_expiry", "ST8", """WITH turns AS (SELECT conv_id, role, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 60) AS ts FROM conversations)
+  SELECT conv_id, max(ts) + INTERVAL 24 HOUR AS expired_at, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user FROM turns GROUP BY 1
+  HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM turns) - INTERVAL 1 MINUTE""")
 def _(t):
     src = t.spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", "conversations.parquet").parquet(t.folder)
     turns = src.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60))

@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 from ..functions import labels
 from ..operators.learning import EFFECTS, MASTERED_FLOOR, TRANSITIONS
 
-TIMER_US = 60_000_000  # one timer per key and minute that has events
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -22,56 +21,80 @@ def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class _Buffered(StatefulProcessor):
-    """Keeps events of a key until the watermark has passed them, then hands them over in (ts, seq) order.
+class _Ordered(StatefulProcessor):
+    """Keeps the rows of a key until the watermark has passed them, then hands them over in (time, id) order.
 
-    State holds no more than the watermark's delay of events. The first timer that fires takes everything the
-    watermark has passed, so the ones after it find little left. Events behind the watermark are counted as late
-    and not applied.
+    State holds no more than the watermark's delay of rows. A key has one timer, set for its earliest waiting row; when it
+    fires, all rows that the watermark has passed are handed over at once. Rows behind the watermark are told apart.
     """
 
+    row_schema = "x int"
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getMapState("buffer", "ts long, seq long", "type string, session string")
-        self.state = handle.getValueState("state", self.state_schema)
+        self.waiting = handle.getMapState("waiting", "us long, id long", self.row_schema)
+        self.armed = handle.getValueState("armed", "ms long")
+
+    def row(self, r) -> tuple:
+        return (1,)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        late = 0
-        timers = set()
+        late, first = [], None
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 us = int(r.us)
                 if mark > 0 and us // 1000 < mark:
-                    late += 1
+                    late.append((us, int(r.id)))
                     continue
-                self.buffer.updateValue((us, int(r.seq)), (r.type, r.session_id))
-                timers.add((us // TIMER_US + 1) * TIMER_US // 1000)
-        for t in timers:
-            self.handle.registerTimer(t)
+                self.waiting.updateValue((us, int(r.id)), self.row(r))
+                first = us if first is None else min(first, us)
+        self._arm(first)
         if late:
-            yield self.late_row(key, late)
+            yield self.late(key, late)
+
+    def _arm(self, us: int | None) -> None:
+        if us is None:
+            return
+        at = us // 1000 + 1
+        old = self.armed.get()[0] if self.armed.exists() else None
+        if old is None or at < old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+            self.armed.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.armed.clear()
         upto = timerValues.getCurrentWatermarkInMs()
-        due = sorted(k for k in self.buffer.keys() if k[0] // 1000 < upto)
+        keys = sorted((int(k[0]), int(k[1])) for k in self.waiting.keys())
+        due = [k for k in keys if k[0] // 1000 < upto]
+        if len(due) < len(keys):
+            self._arm(keys[len(due)][0])
         if due:
-            events = [(k, self.buffer.getValue(k)) for k in due]
+            rows = [(k, self.waiting.getValue(k)) for k in due]
             for k in due:
-                self.buffer.removeKey(k)
-            yield self.apply(key, events)
+                self.waiting.removeKey(k)
+            yield self.apply(key, rows)
 
     def close(self) -> None:
         pass
 
 
-class MasteryProcessor(_Buffered):
+class MasteryProcessor(_Ordered):
     """Learning state per (student, concept). Deltas add up over a session and are clamped once, when it ends."""
 
-    state_schema = "mastery double, confidence double, state string, revisions long, session string, dm double, dc double, forced boolean"
+    row_schema = "type string, session string"
 
-    def late_row(self, key, late: int) -> pd.DataFrame:
-        return pd.DataFrame([[key[0], key[1], None, None, None, None, None, late]], columns=MASTERY_COLUMNS)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("state", "mastery double, confidence double, state string, revisions long, session string, dm double, dc double, forced boolean")
+
+    def row(self, r) -> tuple:
+        return (r.type, r.session_id)
+
+    def late(self, key, rows) -> pd.DataFrame:
+        return pd.DataFrame([[key[0], key[1], None, None, None, None, None, len(rows)]], columns=MASTERY_COLUMNS)
 
     def apply(self, key, events) -> pd.DataFrame:
         old = self.state.get() if self.state.exists() else (0.0, 0.0, "unseen", 0, "", 0.0, 0.0, False)
@@ -107,60 +130,60 @@ def settle(mastery: float, confidence: float, dm: float, dc: float, forced: bool
 def mastery_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """State updates of every (student, concept); the last row by ``us`` per key is its state."""
     e = events.where("concept_id IS NOT NULL").withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    e = e.select("student", "concept_id", "session_id", "seq", "ts", "us", "type")
+    e = e.select("student", "concept_id", "session_id", F.col("seq").alias("id"), "ts", "us", "type")
     return e.groupBy("student", "concept_id").transformWithStateInPandas(
         statefulProcessor=MasteryProcessor(), outputStructType=MASTERY_SCHEMA, outputMode="Update", timeMode="EventTime")
 
 
-class RateLimitProcessor(StatefulProcessor):
-    """Accepts at most ``limit`` requests of a key in any trailing window; refused ones leave no trace.
-
-    Requests wait for the watermark, so that they are judged in time order. State: the waiting requests and
-    the times accepted within the last window.
-    """
+class RateLimitProcessor(_Ordered):
+    """Accepts at most ``limit`` requests of a key in any trailing window; refused ones leave no trace."""
 
     def __init__(self, limit: int, seconds: int):
         self.limit, self.window = limit, seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us long, id long", "x int")
+        super().init(handle)
         self.accepted = handle.getListState("accepted", "us long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        late, timers = [], set()
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if mark > 0 and int(r.us) // 1000 < mark:
-                    late.append([key[0], int(r.id), int(r.us), "late"])
-                else:
-                    self.waiting.updateValue((int(r.us), int(r.id)), (1,))
-                    timers.add((int(r.us) // TIMER_US + 1) * TIMER_US // 1000)
-        for t in timers:
-            self.handle.registerTimer(t)
-        if late:
-            yield pd.DataFrame(late, columns=RATE_COLUMNS)
+    def late(self, key, rows) -> pd.DataFrame:
+        return pd.DataFrame([[key[0], id_, us, "late"] for us, id_ in rows], columns=RATE_COLUMNS)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = timerValues.getCurrentWatermarkInMs()
-        due = sorted(k for k in self.waiting.keys() if k[0] // 1000 < upto)
-        if not due:
-            return
+    def apply(self, key, rows) -> pd.DataFrame:
         times = sorted(int(t[0]) for t in self.accepted.get()) if self.accepted.exists() else []
         out = []
-        for us, id_ in due:
-            self.waiting.removeKey((us, id_))
+        for (us, id_), _ in rows:
             times = [t for t in times if t > us - self.window]
             ok = len(times) < self.limit
             if ok:
                 times.append(us)
             out.append([key[0], id_, us, "accepted" if ok else "rejected"])
         self.accepted.put([(t,) for t in times])
-        yield pd.DataFrame(out, columns=RATE_COLUMNS)
+        return pd.DataFrame(out, columns=RATE_COLUMNS)
 
-    def close(self) -> None:
-        pass
+
+class TtlProcessor(_Ordered):
+    """Lets a request through when its key was not let through within the life before it; hits do not prolong the life."""
+
+    def __init__(self, seconds: float):
+        self.life = int(seconds * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.missed = handle.getValueState("missed", "us long")
+
+    def late(self, key, rows) -> pd.DataFrame:
+        return pd.DataFrame([[key[0], id_, us, "late"] for us, id_ in rows], columns=RATE_COLUMNS)
+
+    def apply(self, key, rows) -> pd.DataFrame:
+        last = int(self.missed.get()[0]) if self.missed.exists() else None
+        out = []
+        for (us, id_), _ in rows:
+            if last is None or us >= last + self.life:
+                last = us
+                out.append([key[0], id_, us, "miss"])
+        if out:
+            self.missed.update((last,))
+        return pd.DataFrame(out, columns=RATE_COLUMNS)
 
 
 RATE_COLUMNS = ["key", "id", "us", "verdict"]
@@ -175,17 +198,21 @@ def rate_limit_stream(requests: DataFrame, limit: int = 30, seconds: int = 60, d
 
 
 def session_rollup(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Sessions by inactivity gap: counters per student and session window. Works on batch and stream alike."""
+    """Sessions by inactivity gap: counters per student and session window. Works on batch and stream alike.
+
+    ``concepts`` is exact: a session's distinct concepts are its state, and a stream takes no distinct count."""
     t = F.col("type")
     return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "student").agg(
         F.count("*").alias("n_events"), F.count_if(t.isin("exercise_attempted", "exercise_correct", "exercise_incorrect")).alias("attempted"),
-        F.count_if(t == "exercise_correct").alias("correct"), F.approx_count_distinct("concept_id").alias("concepts"),
+        F.count_if(t == "exercise_correct").alias("correct"), F.size(F.collect_set("concept_id")).alias("concepts"),
     ).select("student", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_events", "attempted", "correct", "concepts")
 
 
-def first_in_ttl(requests: DataFrame, ttl: str = "10 minutes") -> DataFrame:
-    """Requests without those whose key was let through within the watermark; state goes with the watermark."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
+def first_in_ttl(requests: DataFrame, seconds: float = 600, delay: str = "1 minute") -> DataFrame:
+    """(key, id, us, verdict) of the requests (key, id, ts) that find nothing alive for their key, in time order."""
+    r = requests.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")).select("key", "id", "us", "ts")
+    return r.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=TtlProcessor(seconds), outputStructType=RATE_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
 def request_counts(requests: DataFrame, size: str = "60 seconds", slide: str | None = None, delay: str = "1 minute") -> DataFrame:
