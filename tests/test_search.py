@@ -85,8 +85,12 @@ def test_hashing_bucket_and_vector_search(spark):
     v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id int, vector array<double>")
     q = v.where("id < 9").selectExpr("id AS query_id", "vector")
     a = vectors.vector_topk(v, q, 4).orderBy("query_id", "rank").collect()
-    b = vectors.vector_topk(v, q, 4, max_queries=2, max_vectors=11).orderBy("query_id", "rank").collect()
-    assert a == b and len(a) == 36
+    b = vectors.vector_topk(v, q, 4, max_query_bytes=2 * 24, max_vector_bytes=11 * 24, tile_bytes=24 * 7).orderBy("query_id", "rank").collect()
+    c = vectors.vector_topk(v, q, 4, tile_bytes=24 * 7).orderBy("query_id", "rank").collect()
+    assert a == b == c and len(a) == 36
+    for n, m, size in [(10_000, 20_000, 48 << 20), (5, 3, 24), (1, 1, 1), (10**6, 10**6, 10_000)]:
+        rows, cols = vectors.tile_shape(n, m, size)
+        assert rows >= 1 and cols >= 1 and rows * cols * 24 <= max(size, 24)
     assert vectors.vector_topk(v, q, 0).count() == 0
     zero = vectors.hashing_vectors(spark.createDataFrame([(1, "")], "id int, text string")).first()
     assert set(zero.vector) == {0.0}

@@ -122,6 +122,27 @@ def exact_boost() -> Column:
     )
 
 
+def exact_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, concept_id, boost) of the pairs with a boost, found by keys alone; nothing is scored.
+
+    Whole names and aliases meet queries by equal keys. A query whose words are all in a name is met through the one of
+    its words that fewest names hold, and compared as a whole then.
+    """
+    names = _names(docs).select("concept_id", "name_key", "alias_keys", F.array_distinct(F.split("name_key", " ")).alias("name_terms"))
+    q = query_terms(queries)
+    keys = q.select("query_id", "query_key").distinct()
+    whole = names.select("concept_id", F.col("name_key").alias("query_key"), F.lit(vocab.EXACT_NAME_BOOST).cast("double").alias("boost"))
+    other = names.select("concept_id", F.explode("alias_keys").alias("query_key"), F.lit(vocab.EXACT_ALIAS_BOOST).cast("double").alias("boost"))
+    by_key = keys.join(whole.unionByName(other), "query_key").select("query_id", "concept_id", "boost")
+    terms = names.select("concept_id", "name_terms", F.explode("name_terms").alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    anchors = q.join(df, "term", "left").groupBy("query_id").agg(
+        F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"), F.collect_set("term").alias("words"))
+    inside = anchors.join(terms, "term").where(F.size(F.array_except("words", "name_terms")) == 0).select(
+        "query_id", "concept_id", F.lit(vocab.NAME_SUPERSET_BOOST).cast("double").alias("boost"))
+    return by_key.unionByName(inside).groupBy("query_id", "concept_id").agg(F.max("boost").alias("boost"))
+
+
 def bm25f_search(docs: DataFrame, queries: DataFrame, k: int = 5, keep: Column | None = None,
                  max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """Top ``k`` documents per query by field-weighted BM25 plus exact-name boost.

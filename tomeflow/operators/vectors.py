@@ -15,8 +15,9 @@ from ..functions import text
 from ..plans.scale import top_k
 
 DIMENSION = 256
-QUERY_ROWS = 20_000  # query vectors held by one task
-VECTOR_ROWS = 100_000  # stored vectors in one cell of the replicated form
+QUERY_BYTES = 32 << 20
+VECTOR_BYTES = 64 << 20
+TILE_BYTES = 48 << 20
 
 
 def embedding_text(docs: DataFrame) -> DataFrame:
@@ -84,63 +85,95 @@ def provider_vectors(texts: DataFrame, load: Callable[[], Callable[[list[str]],
     return texts.select("id", embed("text").alias("vector"))
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, qids: np.ndarray, qmatrix: np.ndarray, k: int) -> pd.DataFrame:
-    """Best k rows of ``matrix`` for every query row, ties by id. Scores are rounded before they are compared."""
-    qn = np.linalg.norm(qmatrix, axis=1)
-    vn = np.linalg.norm(matrix, axis=1)
-    denominator = np.outer(vn, qn)
-    scores = matrix @ qmatrix.T
-    scores = np.round(np.divide(scores, denominator, out=np.zeros_like(scores), where=denominator > 0), 6) + 0.0
-    n = len(ids)
-    parts = []
-    for j in range(len(qids)):
-        col = scores[:, j]
-        cand = np.arange(n)
-        if n > k:
-            cand = np.flatnonzero(col >= np.partition(col, n - k)[n - k])
-        order = cand[np.lexsort((ids[cand], -col[cand]))[:k]]
-        parts.append(pd.DataFrame({"query_id": qids[j], "id": ids[order], "score": col[order]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": qids[:0], "id": ids[:0], "score": np.zeros(0)})
-
-
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, max_queries: int = QUERY_ROWS,
-                max_vectors: int = VECTOR_ROWS) -> DataFrame:
+def tile_shape(n_vectors: int, n_queries: int, tile_bytes: int) -> tuple[int, int]:
+    """Rows of vectors and of queries per tile. A tile's scores, norms' products and ranks are three float matrices."""
+    cells = max(1, tile_bytes // 24)
+    q = max(1, min(n_queries, 1024, cells))
+    return max(1, min(n_vectors, cells // q)), q
+
+
+class _Running:
+    """The best ``k`` vectors of every query over all that a task has seen, scored tile by tile. Scores are rounded
+    before they are compared; ties go by id."""
+
+    def __init__(self, qids: np.ndarray, qmatrix: np.ndarray, k: int, tile_bytes: int):
+        self.qids, self.q, self.k, self.tile_bytes = qids, qmatrix, k, tile_bytes
+        self.qn = np.linalg.norm(qmatrix, axis=1) if len(qids) else np.zeros(0)
+        self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(qids)
+
+    def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        rows, cols = tile_shape(len(ids), len(self.qids), self.tile_bytes)
+        vn = np.linalg.norm(matrix, axis=1)
+        for a in range(0, len(ids), rows):
+            part, pn, pid = matrix[a:a + rows], vn[a:a + rows], ids[a:a + rows]
+            for b in range(0, len(self.qids), cols):
+                denominator = np.outer(pn, self.qn[b:b + cols])
+                scores = part @ self.q[b:b + cols].T
+                scores = np.round(np.divide(scores, denominator, out=np.zeros_like(scores), where=denominator > 0), 6) + 0.0
+                for j in range(scores.shape[1]):
+                    self._merge(b + j, pid, scores[:, j])
+
+    def _merge(self, j: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        n, k = len(ids), self.k
+        at = np.flatnonzero(scores >= np.partition(scores, n - k)[n - k]) if n > k else np.arange(n)
+        ids, scores = ids[at], scores[at]
+        if self.best[j] is not None:
+            ids, scores = np.concatenate([self.best[j][0], ids]), np.concatenate([self.best[j][1], scores])
+        order = np.lexsort((ids, -scores))[:k]
+        self.best[j] = (ids[order], scores[order])
+
+    def frame(self) -> Iterator[pd.DataFrame]:
+        found = [(q, *b) for q, b in zip(self.qids, self.best) if b is not None]
+        if found:
+            yield pd.DataFrame({"query_id": np.repeat(np.array([q for q, _, _ in found]), [len(i) for _, i, _ in found]),
+                                "id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, max_query_bytes: int = QUERY_BYTES,
+                max_vector_bytes: int = VECTOR_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Exact cosine top ``k``: (query_id, rank, id, score). Filter ``vectors`` first for payload conditions.
 
-    Up to ``max_queries`` query vectors ride along with every scan task. Beyond that, queries and vectors are
-    cut into bounded cells by a hash of their ids and each pair of cells meets in one task.
-    Each task keeps only k rows per query, so the final shuffle is small either way.
+    Query vectors of up to ``max_query_bytes`` ride along with every scan task. Beyond that, queries and vectors are cut
+    into cells of bounded bytes by a hash of their ids, and each pair of cells meets in one task. Either way products are
+    made in tiles of ``tile_bytes``, and a task hands on k rows per query for all it has seen.
     """
     id_type = dict(vectors.dtypes)["id"]
     qid_type = dict(queries.dtypes)["query_id"]
     schema = f"query_id {qid_type}, id {id_type}, score double"
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], f"query_id {qid_type}, rank int, id {id_type}, score double")
-    held = queries.select("query_id", "vector").limit(max_queries + 1).toPandas()
-    if len(held) <= max_queries:
+    asked = queries.select("query_id", "vector")
+    one = asked.first()
+    width = 8 * max(1, len(one["vector"])) if one is not None else 8
+    most = max(1, max_query_bytes // width)
+    held = asked.limit(most + 1).toPandas()  # at most max_query_bytes and one row
+    if len(held) <= most:
         shared = vectors.sparkSession.sparkContext.broadcast(
             (held["query_id"].to_numpy(), np.array(held["vector"].tolist(), dtype=float)))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, qmatrix = shared.value
+            running = _Running(*shared.value, k, tile_bytes)
             for b in batches:
-                if len(b) and len(qids):
-                    yield _best(b["id"].to_numpy(), np.array(b["vector"].tolist(), dtype=float), qids, qmatrix, k)
+                if len(b) and len(running.qids):
+                    running.add(b["id"].to_numpy(), np.array(b["vector"].tolist(), dtype=float))
+            yield from running.frame()
 
         local = vectors.select("id", "vector").mapInPandas(scan, schema)
     else:
-        nv = max(1, math.ceil(vectors.count() / max_vectors))
-        nq = max(1, math.ceil(queries.count() / max_queries))
+        nv = max(1, math.ceil(vectors.count() * width / max_vector_bytes))
+        nq = max(1, math.ceil(queries.count() * width / max_query_bytes))
         cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         v = vectors.select("id", "vector", cell("id", nv).alias("vc")).withColumn("qc", all_of(nq))
         q = queries.select("query_id", "vector", cell("query_id", nq).alias("qc")).withColumn("vc", all_of(nv))
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({"query_id": right["query_id"][:0], "id": left["id"][:0], "score": np.zeros(0)})
             if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": right["query_id"][:0], "id": left["id"][:0], "score": np.zeros(0)})
-            return _best(left["id"].to_numpy(), np.array(left["vector"].tolist(), dtype=float),
-                         right["query_id"].to_numpy(), np.array(right["vector"].tolist(), dtype=float), k)
+                return none
+            running = _Running(right["query_id"].to_numpy(), np.array(right["vector"].tolist(), dtype=float), k, tile_bytes)
+            running.add(left["id"].to_numpy(), np.array(left["vector"].tolist(), dtype=float))
+            return next(running.frame(), none)
 
         local = v.groupBy("vc", "qc").cogroup(q.groupBy("vc", "qc")).applyInPandas(meet, schema)
     return top_k(local, ["query_id"], [F.col("score").desc(), F.col("id")], k).select("query_id", "rank", "id", "score")

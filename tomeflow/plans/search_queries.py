@@ -55,7 +55,7 @@ def _(t):
 def _(t):
     docs = t.search_docs()
     queries = docs.select(F.col("concept_id").alias("query_id"), F.col("name").alias("query"))
-    return search.score(docs, queries).where("boost > 0").select("query_id", "concept_id", "boost")
+    return search.exact_hits(docs, queries)
 
 
 @query("bm25f_batch_search", "R3", f"""WITH {RANKED_SQL.replace(QUERIES_SQL, '''queries AS (
