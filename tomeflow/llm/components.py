@@ -19,10 +19,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
+        down = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         lows = down.groupBy("u").agg(F.min("v").alias("low"))
-        small = down.join(lows, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v").unionByName(lows.select("u", F.col("low").alias("v"))).distinct()
+        small = down.join(lows, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(lows.select("u", F.col("low").alias("v"))).distinct()
         edges = cut_lineage(small)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == now:

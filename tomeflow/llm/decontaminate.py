@@ -48,7 +48,7 @@ class SuffixArray:
         alive = np.ones(len(tokens), bool)
         for j in range(self.pack):
             t = np.zeros(len(tokens), np.int64)
-            t[:len(tokens) - j] = tokens[j:]
+            t[:max(0, len(tokens) - j)] = tokens[j:]
             alive &= t > 0
             key = (key << self.bits) | np.where(alive, t, 0)
         return key

@@ -7,16 +7,21 @@ the band below if a partner can be there.
 
 Round 1, segment subsets: with at most H differences, one of any H + 1 segments has none, so a set indexes its first H + 1
 non-empty segments by a hash of the subset, and linked sets share one of them. A segment subset that more than
-``COLD`` sets share is costly: no pairs are made from it.
+``COLD`` sets share is costly: no pairs are made from it, its sets are only compared with the smallest of them. That joins
+large groups of near copies, and a costly subset whose sets are then one component is settled. Two linked sets that are not
+joined yet both hold a costly subset of several components.
 
-Round 2, one-deletion neighbourhoods: two linked sets that only share costly subsets both hold one of those. Such sets are
-few. They index all segments, and each segment's one-deletions, which stand one difference each: a segment of two or more
+Allocation by cost: such sets are indexed again by their first H + 1 segments that are not costly. The argument holds for any
+order of the subsets that is the same for all sets, so this settles all but sets with too few cheap segments, and those that
+meet a subset which only now shows itself as costly.
+
+Round 2, one-deletion neighbourhoods: the sets left are few. They index all segments, and each segment's one-deletions, which stand one difference each: a segment of two or more
 elements then pays for two differences, one whose subset is costly pays for none, one with a costly deletion pays for one.
 A set is settled when its cheap segments pay for more than H.
 
-Round 3, blocks: what is left is mostly made of widely shared shingles: large groups of near copies, mainly. Such sets are
-linked to the smallest set of each costly subset first; then only blocks of sets of different components that share a
-costly subset are compared, by counting through an inverted list of the block's shingles.
+Round 3, blocks: what is left is mostly made of widely shared shingles: stragglers of large groups of near copies, mainly.
+Only blocks of sets of different components that share a costly subset are compared, by counting through an inverted list
+of the block's shingles.
 
 Every candidate is verified exactly on the whole sets of 64-bit shingle hashes. Equal sets are one node from the start, so
 copies cost nothing. Nothing is capped: each round hands what it cannot settle to the next, and the last one settles all.
@@ -40,11 +45,12 @@ from . import kernels as K
 from .components import components
 from .storage import written
 
-COLD = 32
+COLD = 8
 BUCKET_BYTES = 8 << 20
 BLOCK = 1000
 BROADCAST_SETS = 2_000_000
-FLUSH_SIGNATURES = 1 << 20
+FLUSH_SIGNATURES = 1 << 19
+_SHORT = 1 << 62
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -67,11 +73,21 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(sid, mask=n == 0), pa.array(short)], names=["doc_id", "n_shingles", "sid", "short"])
 
 
-def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, sets, off, sid in _sets(batch):
-            full = np.flatnonzero(np.diff(off) > 0)
-            yield pa.record_batch([pa.array(sid[full]), pa.array(np.diff(off)[full]), pa.array([sets[off[d]:off[d + 1]].tobytes() for d in full], pa.binary())], names=["sid", "n", "set"])
+def _sketch(x: np.ndarray) -> bytes:
+    """Distinct low 16 bits of the half of a set with lower hashes. Two sketches differ no more than their sets do."""
+    return np.unique((x[:np.searchsorted(x, np.uint64(1 << 63))] & np.uint64(0xFFFF)).astype(np.uint16)).tobytes()
+
+
+def _packed(with_set: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, sets, off, sid in _sets(batch):
+                full = np.flatnonzero(np.diff(off) > 0)
+                each = [sets[off[d]:off[d + 1]] for d in full]
+                held = pa.array([x.tobytes() if with_set else _sketch(x) for x in each], pa.binary())
+                yield pa.record_batch([pa.array(sid[full]), pa.array(np.diff(off)[full]), held], names=["sid", "n", "set" if with_set else "sketch"])
+
+    return run
 
 
 # --- signatures ------------------------------------------------------------------------------------------------------
@@ -103,26 +119,46 @@ def _signature(sums: np.ndarray, band: np.ndarray, segment: np.ndarray) -> np.nd
     return K.mix(sums + K.mix((band.astype(np.uint64) << np.uint64(40)) + segment + np.uint64(1)))
 
 
-def _first_round(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, row of each, rows with too few segments) of the first H + 1 non-empty segments."""
+def _first_round(sets: np.ndarray, off: np.ndarray, costly: np.ndarray | None = None, buckets: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, row of each, rows with too few segments) of the first H + 1 non-empty segments.
+
+    With the sorted names of ``costly`` subsets, only of sets that hold one of them there or are short of segments, and of
+    their first H + 1 segments that are not costly."""
     sigs, rows_out, short = [], [], []
     for rows, band, most in _options(np.diff(off)):
         if len(rows) == 0:
             continue
         at, owner, start, segment = _segments(sets, off, rows, band)
         who = owner[start]
-        sums = np.add.reduceat(K.mix(sets[at]), start)
+        found = _signature(np.add.reduceat(K.mix(sets[at]), start), band[who], segment)
         first = np.searchsorted(who, np.arange(len(rows)))
-        rank = np.arange(len(start)) - first[who]
-        keep = rank <= most[who]
-        sigs.append(_signature(sums[keep], band[who[keep]], segment[keep]))
+        keep = np.arange(len(start)) - first[who] <= most[who]
+        few = np.bincount(who, minlength=len(rows)) <= most
+        if costly is not None:
+            name = _name(found, buckets)
+            hot = costly[np.minimum(np.searchsorted(costly, name), len(costly) - 1)] == name if len(costly) else np.zeros(len(name), bool)
+            again = few | (np.bincount(who, keep & hot, minlength=len(rows)) > 0)
+            cheap = np.cumsum(~hot)
+            rank = cheap - (cheap - ~hot)[first][who]
+            keep = ~hot & (rank <= most[who] + 1) & again[who]
+            few = again & (np.bincount(who, ~hot, minlength=len(rows)) <= most)
+        sigs.append(found[keep])
         rows_out.append(rows[who[keep]])
-        short.append(rows[np.bincount(who, minlength=len(rows)) <= most])
+        short.append(rows[few])
     if not sigs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(sigs), np.concatenate(rows_out), np.concatenate(short)
 
 
+def _bucket(sig: np.ndarray, buckets: int) -> np.ndarray:
+    return ((sig >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
+
+
+def _name(sig: np.ndarray, buckets: int) -> np.ndarray:
+    """What a signature is called once its bucket and its low 48 bits are all that is left of it."""
+    return K.mix((sig & np.uint64(0xFFFFFFFFFFFF)) + (_bucket(sig, buckets).astype(np.uint64) << np.uint64(48))).view(np.int64)
+
+
 def _second_round(sets: np.ndarray, off: np.ndarray):
     """(signatures, row, tag) of all segments and their one-deletions, and (row, option, slack) per set.
 
@@ -171,7 +207,7 @@ class _Packer:
             return
         sigs, sid, tag = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
-        bucket = ((sigs >> np.uint64(48)) * np.uint64(self.buckets) >> np.uint64(16)).astype(np.int32)
+        bucket = _bucket(sigs, self.buckets)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         sigs, sid, tag = sigs[order], sid[order], tag[order] if len(tag) else tag
@@ -184,13 +220,19 @@ class _Packer:
 _PACKED = "bucket int, high binary, low binary, sid binary, tag binary"
 
 
-def _index_texts(buckets: int):
+def _index_texts(buckets: int, costly=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(buckets)
         for batch in batches:
             for _, _, sets, off, sid in _sets(batch):
-                sigs, rows, _ = _first_round(sets, off)
-                yield from packer.add(sigs, sid[rows], None)
+                sigs, rows, short = _first_round(sets, off, None if costly is None else costly.value, buckets)
+                if costly is None:
+                    yield from packer.add(sigs, sid[rows], None)
+                else:
+                    # A set short of cheap segments says so under a signature of its own, which _meet hands on.
+                    short = np.unique(short)
+                    yield from packer.add(np.concatenate([sigs, K.mix(sid[short].view(np.uint64))]), np.concatenate([sid[rows], sid[short]]),
+                                          np.concatenate([np.zeros(len(rows), np.int64), np.full(len(short), _SHORT)]))
         yield from packer.flush()
 
     return run
@@ -233,12 +275,16 @@ _FOUND_ARROW = pa.schema([("hot", pa.bool_()), ("a", pa.int64()), ("b", pa.int64
 
 
 def _meet(cold: int):
-    """Sets of one bucket that share a signature: pairs of cheap ones, members of costly ones."""
+    """Sets of one bucket that share a signature: pairs of cheap ones with the number of those, members of costly ones."""
 
     def run(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
         sig = (read("high", np.uint32).astype(np.uint64) << np.uint64(16)) | read("low", np.uint16)
         sid, tag = read("sid", np.int64), read("tag", np.int64)
+        short = np.zeros(0, np.int64)
+        if len(tag):
+            told = tag == _SHORT
+            short, sig, sid, tag = np.unique(sid[told]), sig[~told], sid[~told], tag[~told]
         order = np.argsort(sig)
         sig = sig[order]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
@@ -263,13 +309,16 @@ def _meet(cold: int):
         if len(found):
             order = np.lexsort((found[:, 1], found[:, 0]))
             found = found[order]
-            found = found[np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)])]
+            new = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)]))
+            shares, found = np.diff(np.concatenate([new, [len(found)]])), found[new]
+        else:
+            shares = np.zeros(0, np.int64)
         hot = np.repeat(size > cold, size)
         bucket = int(table.column("bucket")[0].as_py())
         name = K.mix(sig[hot] + (np.uint64(bucket) << np.uint64(48))).view(np.int64)
-        n, m = len(found), int(hot.sum())
-        return pa.table([pa.array(np.arange(n + m) >= n), pa.array(np.concatenate([found[:, 0], name])), pa.array(np.concatenate([found[:, 1], s[hot]])),
-                         pa.array(np.concatenate([np.zeros(n, np.int64), t[hot]]))], schema=_FOUND_ARROW)
+        n, m = len(found), int(hot.sum()) + len(short)
+        return pa.table([pa.array(np.arange(n + m) >= n), pa.array(np.concatenate([found[:, 0], name, short])), pa.array(np.concatenate([found[:, 1], s[hot], short])),
+                         pa.array(np.concatenate([shares, t[hot], np.full(len(short), _SHORT)]))], schema=_FOUND_ARROW)
 
     return run
 
@@ -282,6 +331,23 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = ([np.frombuffer(x.as_py(), np.uint16) for x in batch.column(c)] for c in ("left", "right"))
+        most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) // 9
+        apart = np.array([len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
+        yield batch.select(["a", "b", "shares"]).filter(pa.array(apart <= most))
+
+
+def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b, shares) whose sizes and sketches do not rule out a link, at an eighth of the bytes of the sets."""
+    sizes = lambda c: sketches.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"))
+    held = lambda c, name: sketches.select(F.col("sid").alias(c), F.col("sketch").alias(name))
+    sized = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    both = sized.join(held("a", "left"), "a").join(held("b", "right"), "b")
+    return both.select("a", "b", "shares", "na", "nb", "left", "right").mapInArrow(_may_link, "a long, b long, shares long").distinct()
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in ("left", "right"))
@@ -293,11 +359,55 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard index of 4/5 or more."""
     left = sets.select(F.col("sid").alias("a"), F.col("set").alias("left"))
     right = sets.select(F.col("sid").alias("b"), F.col("set").alias("right"))
-    # Size alone settles many pairs before any set is moved.
-    sized = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"))
-    kept = pairs.join(sized, "a").join(sized.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b")
-    kept = kept.where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")).select("a", "b")
-    return kept.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of each set's pairs (a, b, shares) with smaller sets a, the one with the most shared signatures."""
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("shares", "a")).alias("a")).select("a", "b")
+
+
+class _Classes:
+    """What is joined so far: (node, component), and what a round of candidates adds to it."""
+
+    def __init__(self, spark):
+        self.named: DataFrame = spark.createDataFrame([], "node long, component long")
+
+    def of(self, column: str, name: str) -> DataFrame:
+        return self.named.select(F.col("node").alias(column), F.col("component").alias(name))
+
+    def add(self, links: DataFrame) -> None:
+        """Join the ends of new links (a, b)."""
+        links = written(links, "links")
+        if not links.isEmpty():
+            known = self.named.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            self.named = components(links.select("a", "b").unionByName(known))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are not joined."""
+        return pairs.join(self.of("a", "of_a"), "a", "left").join(self.of("b", "of_b"), "b", "left").where("coalesce(of_a, a) != coalesce(of_b, b)").drop("of_a", "of_b")
+
+    def verify(self, pairs: DataFrame, sets: DataFrame) -> None:
+        """Verify candidate pairs (a, b, shares): each set's most promising one first, which joins most classes; of the
+        rest, all that are not joined by then."""
+        best = written(_best(pairs), "best")
+        self.add(verified(best, sets))
+        self.add(verified(self.apart(pairs).join(best, ["a", "b"], "left_anti"), sets))
+
+    def mixed(self, hot: DataFrame) -> DataFrame:
+        """Members (a, b, tag) of the costly subsets that hold sets of several components."""
+        of = hot.join(self.of("b", "component"), "b", "left").select("a", F.coalesce("component", "b").alias("component"))
+        several = of.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("a")
+        return written(hot.join(several, "a", "left_semi").select("a", "b", "tag"), "mixed")
+
+
+def _candidates(found: DataFrame) -> DataFrame:
+    """(a, b, shares): pairs of cheap subsets, and each member of costly ones with the centre it shares most of them with."""
+    pairs = found.where("not hot").groupBy("a", "b").agg(F.sum("tag").alias("shares"))
+    hot = found.where(F.col("hot") & (F.col("tag") != _SHORT))
+    centres = hot.groupBy("a").agg(F.min("b").alias("centre"))
+    stars = hot.select("a", "b").distinct().join(centres, "a").where("b != centre").groupBy(F.col("centre").alias("a"), "b").agg(F.count(F.lit(1)).alias("shares"))
+    return pairs.unionByName(_best(stars).withColumn("shares", F.lit(1).cast("long")))
 
 
 def _blocks_meet(table: pa.Table) -> pa.Table:
@@ -332,8 +442,8 @@ def _blocks_meet(table: pa.Table) -> pa.Table:
     return pa.table([a, pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def _settle(left: DataFrame, hot: DataFrame, sets: DataFrame, links: DataFrame, block: int) -> DataFrame:
-    """All links that the sets of ``left`` need among themselves: stars first, then blocks of different components."""
+def _settle(left: DataFrame, hot: DataFrame, sets: DataFrame, classes: _Classes, block: int) -> None:
+    """All links that the sets of ``left`` need among themselves, from blocks of different components."""
     members = hot.join(left, hot["b"] == left["sid"], "left_semi")
     # A set whose shingles crowd into too few segments (odds of one in 10^5 at most, for sets of under 20) may share no
     # subset with a linked one: it is grouped with all sets left of its band and the two beside it.
@@ -342,13 +452,10 @@ def _settle(left: DataFrame, hot: DataFrame, sets: DataFrame, links: DataFrame,
     crowded = sized.where("crowded").select(F.explode(F.sequence(band(F.col("n")) - 1, band(F.col("n")) + 1)).alias("a")).distinct()
     members = members.unionByName(sized.select(band(F.col("n")).alias("a"), F.col("sid").alias("b")).join(crowded, "a", "left_semi"))
     centres = members.groupBy("a").agg(F.min("b").alias("centre"))
-    stars = written(members.join(centres, "a").where("b != centre").select(F.col("centre").alias("a"), "b").distinct(), "stars")
-    links = written(links.unionByName(verified(stars, sets)).distinct(), "links")
-    # Sets that share costly subsets, directly or through others, form a cluster. Components do not split across clusters
-    # for what is compared here: a pair inside one component needs no link.
+    stars = members.join(centres, "a").where("b != centre").select(F.col("centre").alias("a"), "b").distinct()
+    # Sets that share costly subsets, directly or through others, form a cluster. A pair inside one component needs no link.
     clusters = components(stars).withColumnRenamed("node", "sid").withColumnRenamed("component", "cluster")
-    named = components(links).withColumnRenamed("node", "sid")
-    rows = clusters.join(left, "sid", "left_semi").join(named, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    rows = clusters.join(left, "sid", "left_semi").join(classes.of("sid", "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     mixed = rows.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("cluster")
     rows = rows.join(mixed, "cluster", "left_semi")
     # Blocks follow components, so that most blocks of a large component hold nothing else and are not compared.
@@ -363,47 +470,61 @@ def _settle(left: DataFrame, hot: DataFrame, sets: DataFrame, links: DataFrame,
         F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("mine")), F.struct(F.lit(1).alias("side"), F.col("block2").alias("mine"))))
     tasks = meet.select("cluster", F.col("block").alias("i"), F.col("block2").alias("j"), F.explode(sides).alias("s")).select("cluster", "i", "j", "s.side", F.col("s.mine").alias("block"))
     asked = rows.join(sets, "sid").join(tasks, ["cluster", "block"]).select("cluster", "i", "j", "side", "sid", "component", "set")
-    found = asked.groupBy("cluster", "i", "j").applyInArrow(_blocks_meet, "a long, b long")
-    return links.unionByName(found)
+    classes.add(asked.groupBy("cluster", "i", "j").applyInArrow(_blocks_meet, "a long, b long"))
 
 
 # --- the join --------------------------------------------------------------------------------------------------------
-def _sets_of(texts: DataFrame, sizes: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
-    """(sid, n, set) of the wanted sets, one row each, from one text of each. Ids are sent to the tasks only if few."""
+def _texts_of(texts: DataFrame, sizes: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """One text for each wanted set; rows that repeat an id may bring more, which does no harm. Ids are sent if few."""
     ids = written(sizes.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "ids")
     small = ids.limit(most + 1).count() <= most
-    found = texts.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(_packed_sets, "sid long, n long, set binary")
-    return found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("set").alias("set"))
+    return texts.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
-def jaccard_components(documents: DataFrame, cold: int = COLD, block: int = BLOCK, broadcast_sets: int = BROADCAST_SETS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def jaccard_components(documents: DataFrame, cold: int = COLD, block: int = BLOCK, broadcast_sets: int = BROADCAST_SETS, bucket_bytes: int = BUCKET_BYTES,
+                       most_names: int = BROADCAST_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id): classes of documents joined by links of Jaccard 4/5 or more, exactly."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = written(texts.mapInArrow(_sizes, "doc_id long, n_shingles long, sid long, short boolean"), "sizes")
     total = sizes.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     buckets = max(16, math.ceil(total / 3 * 14 / bucket_bytes))
     found = written(texts.mapInArrow(_index_texts(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "round1")
-    pairs, hot = found.where("not hot").select("a", "b").distinct(), found.where("hot").select("a", "b", "tag")
-    pairs = written(pairs, "pairs")
-    # Sets with a costly subset, and small ones whose shingles fall into too few segments.
-    second = written(hot.select(F.col("b").alias("sid")).unionByName(sizes.where("short").select("sid")).distinct(), "second")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(second).distinct()
-    sets = written(_sets_of(texts, sizes, wanted, broadcast_sets), "sets")
-    mine = sets.join(second, "sid", "left_semi")
-    buckets2 = max(16, math.ceil((mine.agg(F.sum(F.octet_length("set"))).first()[0] or 0) / 8 * 2 * 22 / bucket_bytes))
-    found2 = written(mine.mapInArrow(_index_sets(buckets2), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "round2")
-    pairs = written(pairs.unionByName(found2.where("not hot").select("a", "b")).distinct(), "pairs2")
-    links = verified(pairs, sets)
-    # What costly signatures take from each segment's pay, against what the set can spare.
-    hot2 = found2.where("hot").select("a", "b", "tag")
-    option, pays = F.shiftright("tag", 4).bitwiseAND(3).cast("int"), F.shiftright("tag", 1).bitwiseAND(7)
-    taken = hot2.groupBy(F.col("b").alias("sid"), option.alias("option"), F.shiftright("tag", 8).alias("segment")).agg(
-        F.max(F.when(F.col("tag").bitwiseAND(1) == 1, pays).otherwise(1)).alias("lost")).groupBy("sid", "option").agg(F.sum("lost").alias("lost"))
-    spare = mine.mapInArrow(_slacks, "sid long, option int, slack long")
-    left = written(spare.join(taken, ["sid", "option"], "left").where(F.coalesce("lost", F.lit(0)) > F.col("slack")).groupBy("sid").agg((F.min("slack") < 0).alias("crowded")), "left")
-    if left.limit(1).count():
-        links = _settle(left, hot2.select("a", "b"), sets, links, block)
-    named = components(links).withColumnRenamed("node", "sid")
+    classes = _Classes(documents.sparkSession)
+    both = lambda df: df.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+
+    def absorb(found: DataFrame) -> DataFrame:
+        """Verify what a round over the texts found; its costly subsets that are still of several components."""
+        pairs = written(classes.apart(_candidates(found)), "pairs")
+        sketches = written(_texts_of(texts, sizes, both(pairs), broadcast_sets).mapInArrow(_packed(False), "sid long, n long, sketch binary"), "sketches")
+        pairs = written(promising(pairs, sketches), "promising")
+        classes.verify(pairs, written(_texts_of(texts, sizes, both(pairs), broadcast_sets).mapInArrow(_packed(True), "sid long, n long, set binary"), "sets"))
+        return classes.mixed(found.where(F.col("hot") & (F.col("tag") != _SHORT)))
+
+    hot = absorb(found)
+    # Names of costly subsets: at most one for each COLD signatures, and sent to the tasks only if few. Otherwise, and in
+    # any case for what is then left, the next round settles the sets that hold them.
+    names = hot.select("a").distinct()
+    second = hot.select(F.col("b").alias("sid")).unionByName(sizes.where("short").select("sid"))
+    if names.limit(most_names + 1).count() <= most_names:
+        costly = documents.sparkSession.sparkContext.broadcast(np.sort(names.toArrow().column("a").to_numpy()))
+        found = written(texts.mapInArrow(_index_texts(buckets, costly), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "allocated")
+        second = absorb(found).select(F.col("b").alias("sid")).unionByName(found.where(F.col("tag") == _SHORT).select(F.col("b").alias("sid")))
+    second = written(second.distinct(), "second")
+    if not second.isEmpty():
+        sets = written(_texts_of(texts, sizes, second, broadcast_sets).mapInArrow(_packed(True), "sid long, n long, set binary").join(second, "sid", "left_semi"), "sets2")
+        buckets = max(16, math.ceil((sets.agg(F.sum("n").alias("n")).first()["n"] or 0) * 2 * 22 / bucket_bytes))
+        found = written(sets.mapInArrow(_index_sets(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "round2")
+        classes.verify(written(classes.apart(_candidates(found)), "pairs2"), sets)
+        hot = classes.mixed(found.where("hot"))
+        # What costly signatures take from each segment's pay, against what the set can spare.
+        option, pays = F.shiftright("tag", 4).bitwiseAND(3).cast("int"), F.shiftright("tag", 1).bitwiseAND(7)
+        taken = hot.groupBy(F.col("b").alias("sid"), option.alias("option"), F.shiftright("tag", 8).alias("segment")).agg(
+            F.max(F.when(F.col("tag").bitwiseAND(1) == 1, pays).otherwise(1)).alias("lost")).groupBy("sid", "option").agg(F.sum("lost").alias("lost"))
+        spare = sets.mapInArrow(_slacks, "sid long, option int, slack long")
+        left = written(spare.join(taken, ["sid", "option"], "left").where(F.coalesce("lost", F.lit(0)) > F.col("slack")).groupBy("sid").agg((F.min("slack") < 0).alias("crowded")), "left")
+        if not left.isEmpty():
+            _settle(left, hot.select("a", "b"), sets, classes, block)
+    named = classes.named.withColumnRenamed("node", "sid")
     # The smallest document of each class, from one row per set.
     firsts = sizes.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
     of_set = firsts.join(named, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -411,3 +532,17 @@ def jaccard_components(documents: DataFrame, cold: int = COLD, block: int = BLOC
     classes = of_set.join(lowest, "component").select("sid", "component_id")
     out = sizes.join(classes, "sid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_per_component(documents: DataFrame, most: int = BROADCAST_SETS) -> DataFrame:
+    """The rows of ``documents`` whose id is their class's smallest, with all their columns; of rows that repeat an id and a
+    text, one. Rows without an id and rows without shingles stay."""
+    classes = written(jaccard_components(documents), "classes")
+    gone = written(classes.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    small = gone.limit(most + 1).count() <= most
+    kept = documents.join(F.broadcast(gone) if small else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    again = written(classes.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "again")
+    if again.isEmpty():
+        return kept
+    twice = F.col("doc_id").cast("long") == F.col("_again")
+    return kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))

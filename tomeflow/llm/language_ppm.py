@@ -118,7 +118,7 @@ class Scorer:
                 table[row, byte, k] = -np.log2(count / (kinds[row] + total[row]))
             if width:
                 self.contexts.append(known)
-            self.tables.append(table.astype(np.float32).reshape(-1, n))
+            self.tables.append(table.astype(np.float32).reshape(table.shape[0] * 256, n))
             below = table
         # Dense alphabets make the search for a context one lookup: bytes of the training texts, and one code for the rest.
         seen = np.unique(np.concatenate([model[x][1][0] for x in self.names] or [np.zeros(0, np.int64)]))
