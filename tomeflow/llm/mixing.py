@@ -91,7 +91,8 @@ def cut_offs(drawn: DataFrame, key: str, source: str, weights: Sequence[float],
     wanted = wanted.join(per_source.select("_source_key", "_rows"), "_source_key").select("_source_key", "source_size", "target", "_rows", epochs.alias("_epochs"))
     wanted = cut_lineage(wanted)
     left = F.col("target") - F.col("_epochs") * F.col("source_size")
-    joined = rows.join(wanted, "_source_key").withColumn("_left", left)
+    few = wanted.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    joined = rows.join(F.broadcast(wanted) if few else wanted, "_source_key").withColumn("_left", left)
     # Blocks that follow key order. Whatever the weights, a unit of the draw's logarithm holds at most 1/e of the rows,
     # so no block is expected to hold more than BLOCK_ROWS.
     block = F.floor(F.log("_draw") * F.ceil(F.col("_rows") / BLOCK_ROWS))
