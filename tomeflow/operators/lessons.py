@@ -101,10 +101,10 @@ def evidence(queries: DataFrame, results: DataFrame, docs: DataFrame) -> DataFra
     """
     key = lambda c: text.content_tokens(c)
     body = F.array_join(F.concat(F.array("name"), "definition_texts", "example_texts"), " ")
-    d = docs.select(
-        "concept_id", F.lower("subject").alias("d_subject"), F.size("definition_texts").alias("n_def"), F.size("example_texts").alias("n_ex"),
+    # Only the documents on top are tokenised.
+    top = results.where("rank = 1").select("query_id", "concept_id").join(docs, "concept_id").select(
+        "query_id", "concept_id", F.lower("subject").alias("d_subject"), F.size("definition_texts").alias("n_def"), F.size("example_texts").alias("n_ex"),
         F.size("formula_latex").alias("n_fm"), key(body).alias("doc_tokens"))
-    top = results.where("rank = 1").select("query_id", "concept_id").join(d, "concept_id")
     j = queries.join(top, "query_id", "left").withColumn("q_tokens", key(F.col("query")))
     j = j.withColumn("overlap", F.arrays_overlap("q_tokens", "doc_tokens") | (F.size("q_tokens") == 0))
     low = F.lower("query")

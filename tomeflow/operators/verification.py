@@ -49,19 +49,26 @@ def citation_changes(units: DataFrame, rendered: DataFrame) -> DataFrame:
 def grounding(units: DataFrame, rendered: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """(plan_id, unit_id, pos, n_terms, supported, unsupported, coverage, grounded) of every rendered unit.
 
-    Words may come from the unit's lines, its heading or the query. Set differences are hashed, so long texts are fine.
+    Words may come from the unit's lines, its heading or the query. Words meet as rows by an equi-join, so a unit's cost
+    grows with its length, not with its square.
     """
     u = units.select("plan_id", "unit_id", F.array_join("lines", " ").alias("source"))
     j = rendered.join(u, ["plan_id", "unit_id"], "left")
     j = j.join(queries, "plan_id", "left") if queries is not None else j.withColumn("query", F.lit(""))
     heading = F.replace("kind", F.lit("_"), F.lit(" "))
     said = text.grounding_tokens(F.regexp_replace("text", CITATION_MARK, ""))
-    allowed = text.grounding_tokens(F.concat_ws(" ", "source", heading, "query"))
-    j = j.select("plan_id", "unit_id", "pos", said.alias("said"), allowed.alias("allowed"))
-    j = j.withColumn("unsupported", F.array_except("said", "allowed"))
-    n, bad = F.size("said"), F.size(F.filter("said", lambda w: F.array_contains("unsupported", w)))
-    return j.select("plan_id", "unit_id", "pos", n.alias("n_terms"), (n - bad).alias("supported"), "unsupported",
-                    F.round(F.when(n > 0, (n - bad) / n).otherwise(1.0), 6).alias("coverage"), (F.size("unsupported") == 0).alias("grounded"))
+    allowed = F.array_distinct(text.grounding_tokens(F.concat_ws(" ", "source", heading, "query")))
+    unit = ["plan_id", "unit_id", "pos"]
+    words = j.select(*unit, F.posexplode(said).alias("at", "word")).groupBy(*unit, "word").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    known = j.select(*unit, F.explode(allowed).alias("word"), F.lit(True).alias("known"))
+    met = words.join(known, [*unit, "word"], "left").groupBy(*unit).agg(
+        F.sum("n").alias("n_terms"), F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("supported"),
+        F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.struct("at", "word")))).alias("bad"))
+    out = j.select(*unit).join(met, unit, "left")
+    n, ok = F.coalesce("n_terms", F.lit(0)).cast("int"), F.coalesce("supported", F.lit(0)).cast("int")
+    unsupported = F.coalesce(F.transform("bad", lambda x: x["word"]), F.array().cast("array<string>"))
+    return out.select(*unit, n.alias("n_terms"), ok.alias("supported"), unsupported.alias("unsupported"),
+                      F.round(F.when(n > 0, ok / n).otherwise(1.0), 6).alias("coverage"), (n == ok).alias("grounded"))
 
 
 def completeness(units: DataFrame, rendered: DataFrame) -> DataFrame:

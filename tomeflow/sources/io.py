@@ -30,9 +30,10 @@ def with_manifest(rows: DataFrame, manifest: DataFrame, key: str = "file") -> Da
     return rows.join(manifest, key, "left")
 
 
-def write_vectors(vectors: DataFrame, path: str, partitions: int = 8) -> None:
-    """(id, vector) as JSON lines in global id order, so the same vectors always give the same files."""
-    vectors.select("id", "vector").repartitionByRange(partitions, "id").sortWithinPartitions("id").write.mode("overwrite").json(path)
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """(id, vector) as JSON lines in global id order, so the same vectors always give the same lines. The number of files
+    follows the session's shuffle partitions and their sizes."""
+    vectors.select("id", "vector").repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").json(path)
 
 
 def read_vectors(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
@@ -44,11 +45,15 @@ def replace_books(rows: DataFrame, path: str, book: str = "book_id") -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(book).parquet(path)
 
 
-def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], deletes: DataFrame | None = None) -> DataFrame:
-    """Later rows win by key; then keys in ``deletes`` go. Picking the winner combines before the shuffle."""
+def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], deletes: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
+    """Later rows win by key; then keys in ``deletes`` go. Picking the winner combines before the shuffle.
+
+    Rows of one key in the same batch go by ``order``, and then, or without one, by all their values: the largest wins.
+    """
     rest = [c for c in stored.columns if c not in keys]
     both = stored.withColumn("_b", F.lit(0)).unionByName(batch.withColumn("_b", F.lit(1)))
-    out = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_b").alias("w")).select(*keys, "w.*")
+    at = F.struct("_b", *(order or []), *rest)
+    out = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("w")).select(*keys, "w.*")
     return out if deletes is None else out.join(deletes.select(*keys), keys, "left_anti")
 
 
@@ -63,17 +68,16 @@ def version_uses(log: DataFrame, keys: list[str], at: str) -> DataFrame:
     return log.groupBy(*keys).agg(F.max(at).alias("last_used"))
 
 
-def content_version(texts: DataFrame, provider: str, model: str, dimension: int, buckets: int = 4096) -> DataFrame:
+def content_version(texts: DataFrame, provider: str, model: str, dimension: int) -> DataFrame:
     """One row: twelve hex digits naming a set of (id, text) rows under a model.
 
-    Rows are hashed where they are, each hash bucket is folded to one hash of its sorted row hashes, and the
-    bucket hashes make the version. A bucket holds 1/``buckets`` of the rows, spread by the hash itself.
+    Each row's SHA-256 is cut into four numbers of 60 bits; their sums and the row count, which combine before the shuffle
+    and do not depend on row order, make the version.
     """
     h = F.sha2(F.concat(F.col("id").cast("string"), F.lit("="), F.col("text")), 256)
-    rows = texts.select(h.alias("h")).withColumn("b", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    folded = rows.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "|"), 256).alias("h"))
-    parts = folded.agg(F.array_join(F.array_sort(F.collect_list("h")), "|").alias("all"))
-    return parts.select(F.substring(F.sha2(F.concat_ws("|", "all", F.lit(provider), F.lit(model), F.lit(str(dimension))), 256), 1, 12).alias("version"))
+    rows = texts.select(*[F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)").alias(f"p{i}") for i in range(4)])
+    sums = rows.agg(F.count("p0").alias("n"), *[F.coalesce(F.sum(f"p{i}"), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"s{i}") for i in range(4)])
+    return sums.select(F.substring(F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[f"s{i}" for i in range(4)], F.lit(provider), F.lit(model), F.lit(str(dimension))), 256), 1, 12).alias("version"))
 
 
 def write_version(vectors: DataFrame, root: str, version: str) -> str:
