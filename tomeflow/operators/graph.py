@@ -29,17 +29,20 @@ def dependency_pairs(edges: DataFrame) -> DataFrame:
 def closure(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(src, dst) for every node reachable in one or more steps; a node on a cycle reaches itself.
 
-    Path lengths double each round, so a chain of n steps takes log n rounds.
+    Path lengths double each round, so a chain of n steps takes log n rounds, and only paths with a part found in the last
+    round are joined. The result is all reachable pairs by definition: for a bound use :func:`bounded_reach`, for cycles
+    :func:`cycles`, which never builds it.
     """
     reach = cut_lineage(pairs.select("src", "dst").distinct())
-    known = reach.count()
+    fresh = reach
     for _ in range(max_rounds):
-        step = reach.select("src", F.col("dst").alias("mid")).join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        reach = cut_lineage(reach.unionByName(step).distinct())
-        n = reach.count()
-        if n == known:
+        ends = lambda df: df.select(F.col("src").alias("mid"), "dst")
+        starts = lambda df: df.select("src", F.col("dst").alias("mid"))
+        step = starts(fresh).join(ends(reach), "mid").unionByName(starts(reach).join(ends(fresh), "mid")).select("src", "dst").distinct()
+        fresh = cut_lineage(step.join(reach, ["src", "dst"], "left_anti"))
+        if fresh.isEmpty():
             return reach
-        known = n
+        reach = cut_lineage(reach.unionByName(fresh))
     raise RuntimeError("closure not finished; raise max_rounds")
 
 
@@ -57,12 +60,57 @@ def bounded_reach(pairs: DataFrame, max_depth: int = 5) -> DataFrame:
     return seen
 
 
-def cycles(reach: DataFrame) -> DataFrame:
-    """(node, cycle_id): nodes that reach themselves; nodes that reach each other share the smallest id."""
-    on = reach.where("src = dst").select(F.col("src").alias("node"))
-    there = reach.join(on, reach.src == on.node, "left_semi")
-    both = there.join(there.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    return both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("cycle_id"))
+def _trimmed(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """Edges whose start has an edge in and whose end has an edge out, until nothing more falls away."""
+    n = edges.count()
+    for _ in range(max_rounds):
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges = cut_lineage(kept.select("src", "dst"))
+        left = edges.count()
+        if left in (n, 0):
+            return edges
+        n = left
+    return edges
+
+
+def cycles(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node, cycle_id): nodes on a cycle; nodes that reach each other share the smallest id.
+
+    Edges that no cycle can hold are trimmed off. The smallest id that reaches a node colours it; a colour's own node and
+    all that lead back to it within the colour are one group. Groups and edges between colours go, and the rest follows.
+    Rows never exceed the edges; rounds grow with the longest path between cycles.
+    """
+    pairs = cut_lineage(pairs.select("src", "dst").distinct())
+    found = [pairs.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle_id"))]
+    edges = _trimmed(cut_lineage(pairs.where("src != dst")), max_rounds)
+    while not edges.isEmpty():
+        colour = cut_lineage(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        for _ in range(max_rounds):
+            here = colour.select(F.col("node").alias("src"), "colour")
+            better = edges.join(here, "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("other"))
+            new = cut_lineage(colour.join(better, "node", "left").select("node", F.least("colour", "other").alias("colour"), (F.col("other") < F.col("colour")).alias("changed")))
+            colour = new.select("node", "colour")
+            if new.where("changed").isEmpty():
+                break
+        side = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"of_{c}"))
+        inside = cut_lineage(edges.join(side("src"), "src").join(side("dst"), "dst").where("of_src = of_dst").select("src", "dst", F.col("of_src").alias("colour")))
+        group = cut_lineage(colour.where("node = colour"))
+        frontier = group
+        for _ in range(max_rounds):
+            back = inside.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            frontier = cut_lineage(back.join(group.select("node"), "node", "left_anti"))
+            if frontier.isEmpty():
+                break
+            group = cut_lineage(group.unionByName(frontier))
+        several = group.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour")
+        found.append(group.join(several, "colour", "left_semi").select("node", F.col("colour").alias("cycle_id")))
+        gone = group.select("node")
+        rest = inside.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+        edges = _trimmed(cut_lineage(rest.select("src", "dst")), max_rounds)
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.groupBy("node").agg(F.min("cycle_id").alias("cycle_id"))
 
 
 def broken_chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:

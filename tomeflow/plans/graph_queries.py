@@ -28,14 +28,22 @@ def _(t):
     return gr.closure(_tree_pairs(t))
 
 
-_CLOSURE_SQL = f"""RECURSIVE {PARENTS_SQL}, pe AS (SELECT id AS src, parent_id AS dst FROM parents WHERE parent_id IS NOT NULL),
-r AS (SELECT src, dst FROM pe UNION SELECT r.src, pe.dst FROM r JOIN pe ON pe.src = r.dst)"""
+# Rings of five among the first half of every ten parts; the others hang below as tails.
+_RINGS_SQL = """rings AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 10 < 5 THEN CASE WHEN p_partkey % 5 = 4 THEN p_partkey - 4 ELSE p_partkey + 1 END ELSE p_partkey // 2 END AS dst FROM part
+  UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 97 = 7)"""
 
 
-@query("dependency_cycles", "G3", f"""WITH {_CLOSURE_SQL}, c AS (SELECT src FROM r WHERE src = dst)
-  SELECT a.src AS node, min(a.dst) AS cycle_id FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src IN (SELECT src FROM c) GROUP BY 1""")
+def _rings(t):
+    p = F.col("p_partkey")
+    ring = F.when(p % 5 == 4, p - 4).otherwise(p + 1)
+    edges = t.part.select(p.alias("src"), F.when(p % 10 < 5, ring).otherwise(F.floor(p / 2)).alias("dst"))
+    return edges.unionByName(t.part.where(p % 97 == 7).select(p.alias("src"), p.alias("dst")))
+
+
+@query("dependency_cycles", "G3", f"""WITH RECURSIVE {_RINGS_SQL}, r AS (SELECT src, dst FROM rings UNION SELECT r.src, e.dst FROM r JOIN rings e ON e.src = r.dst)
+  SELECT a.src AS node, min(a.dst) AS cycle_id FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1""")
 def _(t):
-    return gr.cycles(gr.closure(_parent_pairs(t)))
+    return gr.cycles(_rings(t))
 
 
 @query("broken_chains", "G4", f"WITH {PARENTS_SQL} SELECT id AS src, parent_id AS dst FROM parents WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM parents)")
