@@ -269,12 +269,15 @@ def mentions(objects: DataFrame, aliases: DataFrame) -> DataFrame:
     d = aliases.where(F.length("alias") > 4).groupBy(F.lower("alias").alias("gram")).agg(F.max("concept_id").alias("concept_id"))
     pieces = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), 0)
     d = d.select("*", F.size(pieces(F.col("gram"))).alias("n"), pieces(F.col("gram"))[0].alias("first"))
-    rows = objects.select("object_id", pieces(F.lower("text")).alias("ps"))
-    words = rows.select("object_id", "ps", F.posexplode("ps").alias("pos", "first")).where(F.col("first").rlike(r"^[\p{L}\p{N}_]"))
+    # A word goes on with the pieces ahead of it that the longest alias needs, never with the whole text.
+    longest = d.agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
+    rows = objects.select("object_id", pieces(F.lower("text")).alias("ps")).join(F.broadcast(longest))
+    ahead = F.transform("ps", lambda w, i: F.slice(F.col("ps"), i + 1, F.col("longest")))
+    words = rows.select("object_id", F.posexplode(ahead).alias("pos", "ahead")).select("object_id", "pos", "ahead", F.get("ahead", F.lit(0)).alias("first"))
+    words = words.where(F.col("first").rlike(r"^[\p{L}\p{N}_]"))
     # Only words that open some alias go on, each with the lengths of those aliases.
     starts = hot_join(words, d.select("first", "n").distinct(), ["first"], F.col("object_id"))
-    grams = starts.where(F.col("pos") + F.col("n") <= F.size("ps")).select(
-        "object_id", "pos", "n", F.array_join(F.slice("ps", F.col("pos") + 1, F.col("n")), "").alias("gram"))
+    grams = starts.where(F.col("n") <= F.size("ahead")).select("object_id", "pos", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), "").alias("gram"))
     hits = hot_join(grams, d.select("gram", "concept_id"), ["gram"], F.col("object_id"))
     per = hits.groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("m"), "concept_id", "gram"))).alias("ms"))
     kept = F.aggregate(
