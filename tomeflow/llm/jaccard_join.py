@@ -7,7 +7,7 @@ the band below if a partner can be there.
 
 Round 1, segment subsets: with at most H differences, one of any H + 1 segments has none, so a set indexes its first H + 1
 non-empty segments by a hash of the subset, and linked sets share one of them. A segment subset that more than
-``COLD`` sets share is costly: no pairs are made from it, its sets are only compared with the smallest of them. That joins
+``COLD`` sets share is costly: no pairs are made from it, its sets are only compared with two centres. That joins
 large groups of near copies, and a costly subset whose sets are then one component is settled. Two linked sets that are not
 joined yet both hold a costly subset of several components.
 
@@ -401,13 +401,23 @@ class _Classes:
         return written(hot.join(several, "a", "left_semi").select("a", "b", "tag"), "mixed")
 
 
-def _candidates(found: DataFrame) -> DataFrame:
-    """(a, b, shares): pairs of cheap subsets, and each member of costly ones with the centre it shares most of them with."""
-    pairs = found.where("not hot").groupBy("a", "b").agg(F.sum("tag").alias("shares"))
-    hot = found.where(F.col("hot") & (F.col("tag") != _SHORT))
-    centres = hot.groupBy("a").agg(F.min("b").alias("centre"))
-    stars = hot.select("a", "b").distinct().join(centres, "a").where("b != centre").groupBy(F.col("centre").alias("a"), "b").agg(F.count(F.lit(1)).alias("shares"))
-    return pairs.unionByName(_best(stars).withColumn("shares", F.lit(1).cast("long")))
+def _cheap(found: DataFrame) -> DataFrame:
+    """(a, b, shares): pairs of sets that share cheap subsets."""
+    return found.where("not hot").groupBy("a", "b").agg(F.sum("tag").alias("shares"))
+
+
+def _stars(hot: DataFrame) -> DataFrame:
+    """(a, b, shares): each member b of costly subsets with the two centres a that it shares most of them with.
+
+    The centre of a subset is its member that holds most costly subsets: among near copies, the one with the fewest edits.
+    """
+    degree = hot.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
+    held = written(hot.join(degree, "b").select("a", "b", "degree"), "held")
+    top = lambda df: df.groupBy("a").agg(F.max_by("b", F.struct("degree", "b")).alias("centre"))
+    first = held.join(top(held), "a").where("b != centre")
+    second = first.join(top(first).withColumnRenamed("centre", "next"), "a").where("b != next").select(F.col("next").alias("centre"), "b")
+    star = lambda df, n: _best(df.groupBy(F.col("centre").alias("a"), "b").agg(F.count(F.lit(1)).alias("shares"))).withColumn("shares", F.lit(n).cast("long"))
+    return star(first, 2).unionByName(star(second, 1))
 
 
 def _blocks_meet(table: pa.Table) -> pa.Table:
@@ -494,11 +504,12 @@ def jaccard_components(documents: DataFrame, cold: int = COLD, block: int = BLOC
 
     def absorb(found: DataFrame) -> DataFrame:
         """Verify what a round over the texts found; its costly subsets that are still of several components."""
-        pairs = written(classes.apart(_candidates(found)), "pairs")
+        hot = found.where(F.col("hot") & (F.col("tag") != _SHORT)).select("a", "b", "tag")
+        pairs = written(classes.apart(_cheap(found).unionByName(_stars(hot.select("a", "b").distinct()))), "pairs")
         sketches = written(_texts_of(texts, sizes, both(pairs), broadcast_sets).mapInArrow(_packed(False), "sid long, n long, sketch binary"), "sketches")
         pairs = written(promising(pairs, sketches), "promising")
         classes.verify(pairs, written(_texts_of(texts, sizes, both(pairs), broadcast_sets).mapInArrow(_packed(True), "sid long, n long, set binary"), "sets"))
-        return classes.mixed(found.where(F.col("hot") & (F.col("tag") != _SHORT)))
+        return classes.mixed(hot)
 
     hot = absorb(found)
     # Names of costly subsets: at most one for each COLD signatures, and sent to the tasks only if few. Otherwise, and in
@@ -514,7 +525,7 @@ def jaccard_components(documents: DataFrame, cold: int = COLD, block: int = BLOC
         sets = written(_texts_of(texts, sizes, second, broadcast_sets).mapInArrow(_packed(True), "sid long, n long, set binary").join(second, "sid", "left_semi"), "sets2")
         buckets = max(16, math.ceil((sets.agg(F.sum("n").alias("n")).first()["n"] or 0) * 2 * 22 / bucket_bytes))
         found = written(sets.mapInArrow(_index_sets(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "round2")
-        classes.verify(written(classes.apart(_candidates(found)), "pairs2"), sets)
+        classes.verify(written(classes.apart(_cheap(found)), "pairs2"), sets)
         hot = classes.mixed(found.where("hot"))
         # What costly signatures take from each segment's pay, against what the set can spare.
         option, pays = F.shiftright("tag", 4).bitwiseAND(3).cast("int"), F.shiftright("tag", 1).bitwiseAND(7)
