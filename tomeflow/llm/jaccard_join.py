@@ -49,6 +49,8 @@ COLD = 8
 BUCKET_BYTES = 8 << 20
 BLOCK = 1000
 BROADCAST_SETS = 2_000_000
+SHINGLES_PER_TASK = 2_000_000
+LEAST_TASKS = 8
 FLUSH_SIGNATURES = 1 << 19
 _SHORT = 1 << 62
 _SALT = np.uint64(0x9FB21C651E98DF25)
@@ -368,17 +370,22 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 class _Classes:
-    """What is joined so far: (node, component), and what a round of candidates adds to it."""
+    """What is joined so far: (node, component), and what a round of candidates adds to it. Its tables are written by
+    ``tasks`` tasks at most."""
 
-    def __init__(self, spark):
+    def __init__(self, spark, tasks: int):
         self.named: DataFrame = spark.createDataFrame([], "node long, component long")
+        self.tasks = tasks
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, self.tasks)
 
     def of(self, column: str, name: str) -> DataFrame:
         return self.named.select(F.col("node").alias(column), F.col("component").alias(name))
 
     def add(self, links: DataFrame) -> None:
         """Join the ends of new links (a, b)."""
-        links = written(links, "links")
+        links = self.written(links, "links")
         if not links.isEmpty():
             known = self.named.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
             self.named = components(links.select("a", "b").unionByName(known))
@@ -390,7 +397,7 @@ class _Classes:
     def verify(self, pairs: DataFrame, sets: DataFrame) -> None:
         """Verify candidate pairs (a, b, shares): each set's most promising one first, which joins most classes; of the
         rest, all that are not joined by then."""
-        best = written(_best(pairs), "best")
+        best = self.written(_best(pairs), "best")
         self.add(verified(best, sets))
         self.add(verified(self.apart(pairs).join(best, ["a", "b"], "left_anti"), sets))
 
@@ -398,7 +405,7 @@ class _Classes:
         """Members (a, b, tag) of the costly subsets that hold sets of several components."""
         of = hot.join(self.of("b", "component"), "b", "left").select("a", F.coalesce("component", "b").alias("component"))
         several = of.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("a")
-        return written(hot.join(several, "a", "left_semi").select("a", "b", "tag"), "mixed")
+        return self.written(hot.join(several, "a", "left_semi").select("a", "b", "tag"), "mixed")
 
 
 def _cheap(found: DataFrame) -> DataFrame:
@@ -406,13 +413,13 @@ def _cheap(found: DataFrame) -> DataFrame:
     return found.where("not hot").groupBy("a", "b").agg(F.sum("tag").alias("shares"))
 
 
-def _stars(hot: DataFrame) -> DataFrame:
+def _stars(hot: DataFrame, classes: _Classes) -> DataFrame:
     """(a, b, shares): each member b of costly subsets with the two centres a that it shares most of them with.
 
     The centre of a subset is its member that holds most costly subsets: among near copies, the one with the fewest edits.
     """
     degree = hot.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
-    held = written(hot.join(degree, "b").select("a", "b", "degree"), "held")
+    held = classes.written(hot.join(degree, "b").select("a", "b", "degree"), "held")
     top = lambda df: df.groupBy("a").agg(F.max_by("b", F.struct("degree", "b")).alias("centre"))
     first = held.join(top(held), "a").where("b != centre")
     second = first.join(top(first).withColumnRenamed("centre", "next"), "a").where("b != next").select(F.col("next").alias("centre"), "b")
@@ -472,7 +479,7 @@ def _settle(left: DataFrame, hot: DataFrame, sets: DataFrame, classes: _Classes,
     from pyspark.sql import Window
 
     order = Window.partitionBy("cluster").orderBy("component", "sid")
-    rows = written(rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / block)), "blocks")
+    rows = classes.written(rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / block)), "blocks")
     each = rows.groupBy("cluster", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     other = each.select("cluster", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     meet = each.join(other, "cluster").where("block <= block2 and not (lo = hi and lo2 = hi2 and lo = lo2)").select("cluster", "block", "block2")
@@ -484,9 +491,9 @@ def _settle(left: DataFrame, hot: DataFrame, sets: DataFrame, classes: _Classes,
 
 
 # --- the join --------------------------------------------------------------------------------------------------------
-def _texts_of(texts: DataFrame, sizes: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+def _texts_of(texts: DataFrame, sizes: DataFrame, wanted: DataFrame, most: int, classes: _Classes) -> DataFrame:
     """One text for each wanted set; rows that repeat an id may bring more, which does no harm. Ids are sent if few."""
-    ids = written(sizes.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "ids")
+    ids = classes.written(sizes.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "ids")
     small = ids.limit(most + 1).count() <= most
     return texts.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
@@ -498,17 +505,18 @@ def jaccard_components(documents: DataFrame, cold: int = COLD, block: int = BLOC
     sizes = written(texts.mapInArrow(_sizes, "doc_id long, n_shingles long, sid long, short boolean"), "sizes")
     total = sizes.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     buckets = max(16, math.ceil(total / 3 * 14 / bucket_bytes))
-    found = written(texts.mapInArrow(_index_texts(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "round1")
-    classes = _Classes(documents.sparkSession)
+    classes = _Classes(documents.sparkSession, max(LEAST_TASKS, total // SHINGLES_PER_TASK))
+    keep = classes.written
+    found = keep(texts.mapInArrow(_index_texts(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "round1")
     both = lambda df: df.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
 
     def absorb(found: DataFrame) -> DataFrame:
         """Verify what a round over the texts found; its costly subsets that are still of several components."""
         hot = found.where(F.col("hot") & (F.col("tag") != _SHORT)).select("a", "b", "tag")
-        pairs = written(classes.apart(_cheap(found).unionByName(_stars(hot.select("a", "b").distinct()))), "pairs")
-        sketches = written(_texts_of(texts, sizes, both(pairs), broadcast_sets).mapInArrow(_packed(False), "sid long, n long, sketch binary"), "sketches")
-        pairs = written(promising(pairs, sketches), "promising")
-        classes.verify(pairs, written(_texts_of(texts, sizes, both(pairs), broadcast_sets).mapInArrow(_packed(True), "sid long, n long, set binary"), "sets"))
+        pairs = keep(classes.apart(_cheap(found).unionByName(_stars(hot.select("a", "b").distinct(), classes))), "pairs")
+        sketches = keep(_texts_of(texts, sizes, both(pairs), broadcast_sets, classes).mapInArrow(_packed(False), "sid long, n long, sketch binary"), "sketches")
+        pairs = keep(promising(pairs, sketches), "promising")
+        classes.verify(pairs, keep(_texts_of(texts, sizes, both(pairs), broadcast_sets, classes).mapInArrow(_packed(True), "sid long, n long, set binary"), "sets"))
         return classes.mixed(hot)
 
     hot = absorb(found)
@@ -518,21 +526,21 @@ def jaccard_components(documents: DataFrame, cold: int = COLD, block: int = BLOC
     second = hot.select(F.col("b").alias("sid")).unionByName(sizes.where("short").select("sid"))
     if names.limit(most_names + 1).count() <= most_names:
         costly = documents.sparkSession.sparkContext.broadcast(np.sort(names.toArrow().column("a").to_numpy()))
-        found = written(texts.mapInArrow(_index_texts(buckets, costly), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "allocated")
+        found = keep(texts.mapInArrow(_index_texts(buckets, costly), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "allocated")
         second = absorb(found).select(F.col("b").alias("sid")).unionByName(found.where(F.col("tag") == _SHORT).select(F.col("b").alias("sid")))
-    second = written(second.distinct(), "second")
+    second = keep(second.distinct(), "second")
     if not second.isEmpty():
-        sets = written(_texts_of(texts, sizes, second, broadcast_sets).mapInArrow(_packed(True), "sid long, n long, set binary").join(second, "sid", "left_semi"), "sets2")
+        sets = keep(_texts_of(texts, sizes, second, broadcast_sets, classes).mapInArrow(_packed(True), "sid long, n long, set binary").join(second, "sid", "left_semi"), "sets2")
         buckets = max(16, math.ceil((sets.agg(F.sum("n").alias("n")).first()["n"] or 0) * 2 * 22 / bucket_bytes))
-        found = written(sets.mapInArrow(_index_sets(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "round2")
-        classes.verify(written(classes.apart(_cheap(found)), "pairs2"), sets)
+        found = keep(sets.mapInArrow(_index_sets(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "round2")
+        classes.verify(keep(classes.apart(_cheap(found)), "pairs2"), sets)
         hot = classes.mixed(found.where("hot"))
         # What costly signatures take from each segment's pay, against what the set can spare.
         option, pays = F.shiftright("tag", 4).bitwiseAND(3).cast("int"), F.shiftright("tag", 1).bitwiseAND(7)
         taken = hot.groupBy(F.col("b").alias("sid"), option.alias("option"), F.shiftright("tag", 8).alias("segment")).agg(
             F.max(F.when(F.col("tag").bitwiseAND(1) == 1, pays).otherwise(1)).alias("lost")).groupBy("sid", "option").agg(F.sum("lost").alias("lost"))
         spare = sets.mapInArrow(_slacks, "sid long, option int, slack long")
-        left = written(spare.join(taken, ["sid", "option"], "left").where(F.coalesce("lost", F.lit(0)) > F.col("slack")).groupBy("sid").agg((F.min("slack") < 0).alias("crowded")), "left")
+        left = keep(spare.join(taken, ["sid", "option"], "left").where(F.coalesce("lost", F.lit(0)) > F.col("slack")).groupBy("sid").agg((F.min("slack") < 0).alias("crowded")), "left")
         if not left.isEmpty():
             _settle(left, hot.select("a", "b"), sets, classes, block)
     named = classes.named.withColumnRenamed("node", "sid")

@@ -16,8 +16,10 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: column pruning works on it, lost executors cost one step."""
+def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: column pruning works on it, lost executors cost one step.
+
+    ``tasks``, worked out from the rows to expect, keeps a small table from being hundreds of near-empty files."""
     path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
