@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import cut_lineage
 
 ORDER = 3
 PER_LANGUAGE = 2000
 UNKNOWN = "und"
+BROADCAST_LANGUAGES = 10_000
 _BUILT: dict[str, "Scorer"] = {}
 
 
@@ -35,8 +37,11 @@ def sample(df: DataFrame, lang: str = "lang", key: str = "doc_id", per_language:
     counts = df.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
     # One row per language, with the share of its rows to take.
     shares = counts.select("_lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("_n")).alias("_share"))
+    # Sent to the tasks if languages are few, so that texts stay where they are and a large language is not one task.
+    shares = cut_lineage(shares)
+    few = shares.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    return df.join(shares, df[lang] == shares["_lang"]).where(draw < F.col("_share")).drop("_lang", "_n", "_share")
+    return df.join(F.broadcast(shares) if few else shares, df[lang] == shares["_lang"]).where(draw < F.col("_share")).drop("_lang", "_n", "_share")
 
 
 def _grams(order: int):
