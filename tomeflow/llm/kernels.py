@@ -61,6 +61,8 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         end = max(first + 1, int(np.searchsorted(off, off[first] + limit, "right")) - 1)
         yield first, end, data[off[first]:off[end]], (off[first:end + 1] - off[first])
         first = end
+    # Workers are used again by later stages: what Arrow has freed goes back to the machine.
+    pa.default_memory_pool().release_unused()
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
