@@ -335,7 +335,7 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = ([np.frombuffer(x.as_py(), np.uint16) for x in batch.column(c)] for c in ("left", "right"))
+        left, right = ([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(c)] for c in ("left", "right"))
         most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) // 9
         apart = np.array([len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
         yield batch.select(["a", "b", "shares"]).filter(pa.array(apart <= most))
@@ -352,7 +352,7 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in ("left", "right"))
+        left, right = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("left", "right"))
         ok = pa.array([_linked(x, y) for x, y in zip(left, right)], pa.bool_())
         yield batch.select(["a", "b"]).filter(ok)
 
