@@ -3,6 +3,7 @@ round trips and held-out accuracy, with the edge cases they define."""
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -151,6 +152,33 @@ def test_mined_rules(spark):
     assert url_rules.mine(pages, made.limit(0)).count() == 0
 
 
+def test_rules_of_rare_tokens_on_long_urls(spark):
+    """The telling tokens come after 30 more frequent ones, and a rule needs two of them or three."""
+    rng = random.Random(8)
+    rows, labels, tokens = [], [], {}
+    for i in range(600):
+        keys = [f"k{j}" for j in range(30) if j > 2 or i % 20 != j] + [x for x in ("r1", "r2", "r3", "r4") if rng.random() < 0.4]
+        bad = {"r1", "r2"} <= set(keys) or {"k2", "r3", "r4"} <= set(keys) and rng.random() < 0.95 or rng.random() < 0.1
+        rows.append((i, "http://a.test/x?" + "&".join(f"{k}=1" for k in keys)))
+        tokens[i] = ({"host=a", "host=test", "site=a.test", "scheme=http", "path=x"} | {f"query={k}" for k in keys}, bad)
+        labels.append((i, 0 if bad else 1))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    mined = url_rules.mine(pages, spark.createDataFrame(labels, "doc_id long, quality int"), min_support=0.1, min_confidence=0.9)
+    rules = {frozenset(r["tokens"]): r for r in mined.collect()}
+    assert frozenset({"query=r1", "query=r2"}) in rules and not any(a < b for a in rules for b in rules)
+    for t, r in rules.items():
+        fits = [bad for held, bad in tokens.values() if t <= held]
+        assert sum(fits) >= 60 and r["confidence"] == pytest.approx(sum(fits) / len(fits)) and r["support"] == pytest.approx(sum(fits) / 600)
+    every = sorted(set().union(*(t for t, _ in tokens.values())))
+    for size in (1, 2, 3):
+        for t in map(frozenset, itertools.combinations([t for t in every if t[:7] != "query=k" or t in ("query=k0", "query=k2", "query=k9")], size)):
+            fits = [bad for held, bad in tokens.values() if t <= held]
+            if sum(fits) >= 60 and sum(fits) / len(fits) >= 0.9:
+                assert any(r <= t for r in rules)
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, mined, [("nowhere", "/", "block")]).collect()}
+    assert all((got[i] == "block") == any(r <= t for r in rules) for i, (t, _) in tokens.items())
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------------
 def test_archives_round_trip(spark):
     rng = random.Random(6)

@@ -1,6 +1,7 @@
 """URL filters by association rules.
 
-Spark's FP-growth mines combinations of URL tokens (host labels, path segments, query keys, scheme) of labelled pages.
+FP-growth by conditional bases mines combinations of URL tokens (host labels, path segments, query keys, scheme) of
+labelled pages: one base per token, each searched in its own task, over whole token sets and without a bound on length.
 Rules "these tokens => low quality" that pass a support and a confidence bound, and are not implied by a shorter rule, are
 kept. Pages meet rules through an inverted index token -> rules: a rule fits when all its tokens were met. Given rules
 (host, path) go first: they meet the host's suffixes by an equi-join, and the longest that fits decides.
@@ -14,6 +15,7 @@ equal verdicts; equal-length rules that fit one URL are decided by their text; o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,6 @@ from .storage import cut_lineage
 MIN_SUPPORT = 0.001
 MIN_PAGES = 10
 MIN_CONFIDENCE = 0.5
-MAX_TOKENS = 24
 BROADCAST_RULES = 200_000
 BAD = "label=bad"
 
@@ -55,32 +56,79 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(made, lambda x: x.isNotNull()))
 
 
+def _conditional(least: int, min_confidence: float):
+    """Searches one token's conditional base depth first: sets of tokens that hold it and otherwise more frequent ones.
+
+    A set is dropped only where a smaller set blocks whatever it and its extensions would block: if a token takes no good
+    page from the rest of the set, the rest is as confident without it, and so for every extension. Subsets come first.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def search(table: pa.Table) -> pa.Table:
+        last, before = table["last"][0].as_py(), table["before"].combine_chunks()
+        bad, good = table["bad"].to_numpy(), table["good"].to_numpy()
+        minus, token = before.flatten().flatten()
+        coded = token.dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        ranks = np.zeros(len(names), np.int64)
+        ranks[codes] = minus.to_numpy(zero_copy_only=False)
+        order = sorted(range(len(names)), key=lambda i: (ranks[i], names[i]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        tokens = [names[i] for i in order]
+        rows = np.repeat(np.arange(len(before)), before.value_lengths().to_numpy(zero_copy_only=False))
+        found: list[tuple[list[str], int, int]] = []
+        known: dict[frozenset[int], int] = {}
+
+        def visit(held: frozenset[int], n_bad: int, n_good: int, at: np.ndarray, of: np.ndarray) -> None:
+            if n_bad / (n_bad + n_good) >= min_confidence:
+                found.append(([last["token"], *(tokens[i] for i in held)], n_bad, n_bad + n_good))
+                return
+            known[held] = n_good
+            bads = np.bincount(of, bad[at], len(tokens))
+            goods = np.bincount(of, good[at], len(tokens))
+            for x in np.flatnonzero(bads >= least).tolist():
+                longer, g = held | {x}, int(goods[x])
+                if all(known.get(longer - {y}, -1) > g for y in longer):
+                    inside = np.zeros(len(bad), bool)
+                    inside[at[of == x]] = True
+                    keep = inside[at] & (of < x)
+                    visit(longer, int(bads[x]), g, at[keep], of[keep])
+
+        if bad.sum() >= least:
+            visit(frozenset(), int(bad.sum()), int(good.sum()), rows, place[codes])
+        return pa.table({"tokens": pa.array([x[0] for x in found], pa.list_(pa.string())), "n_bad": pa.array([x[1] for x in found], pa.int64()), "n": pa.array([x[2] for x in found], pa.int64())})
+
+    return search
+
+
 def mine(pages: DataFrame, labels: DataFrame, label: str = "quality", min_support: float = MIN_SUPPORT, min_pages: int = MIN_PAGES,
          min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(rule_id, tokens, support, confidence) of rules that end in a low-quality label; labels' ``doc_id`` is a page's ``page_id``.
 
-    A transaction is a page's first ``MAX_TOKENS`` tokens with enough support, so that mining is bounded however long a URL is.
+    Rules of any length over whole token sets: every rule that no shorter one implies is found, with its exact counts.
     """
-    from pyspark.ml.fpm import FPGrowth
-
     known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("page_id"), F.col(label).cast("int").alias("_label"))
-    rows = pages.where("url is not null").select("page_id", tokens_of(F.col("url")).alias("tokens")).join(known, "page_id").select(F.monotonically_increasing_id().alias("_row"), "tokens", "_label")
+    rows = pages.where("url is not null").select("page_id", tokens_of(F.col("url")).alias("tokens")).join(known, "page_id").select(
+        F.monotonically_increasing_id().alias("_row"), "tokens", F.when(F.col("_label") == 0, 1).otherwise(0).cast("long").alias("bad"))
     rows = cut_lineage(rows)
     n = rows.count()
     schema = "rule_id long, tokens array<string>, support double, confidence double"
     if n < min_pages:
         return pages.sparkSession.createDataFrame([], schema)
-    least = max(min_support, min_pages / n)
-    # Tokens without support can be in no rule; a page keeps its most frequent ones.
-    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * n)
-    # At most tokens per page / support rows: bounded.
-    frequent = rows.select("_row", "_label", F.explode("tokens").alias("token")).join(F.broadcast(counts), "token")
-    lists = frequent.groupBy("_row", "_label").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "token"))), 1, MAX_TOKENS).alias("top"))
-    baskets = lists.select(F.concat(F.col("top.token"), F.when(F.col("_label") == 0, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    # Pages whose tokens are all rare still count for the support.
-    empty = rows.join(lists.select("_row"), "_row", "left_anti").select(F.when(F.col("_label") == 0, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets.unionByName(empty))
-    found = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
+    least = max(math.ceil(min_support * n), min_pages)
+    # Tokens on too few bad pages can be in no rule. At most tokens per page / support rows: bounded.
+    counts = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg((-F.count(F.lit(1))).alias("n"), F.sum("bad").alias("_bad")).where(F.col("_bad") >= least)
+    frequent = rows.select("_row", "bad", F.explode("tokens").alias("token")).join(F.broadcast(counts.drop("_bad")), "token")
+    lists = frequent.groupBy("_row", "bad").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("items"))
+    sums = [F.sum("bad").alias("bad"), F.sum("good").alias("good")]
+    baskets = lists.groupBy("items").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good"))
+    # A token's conditional base: what comes before it, the most frequent first. Equal ones are summed before the shuffle.
+    ends = F.transform("items", lambda x, i: F.struct(x.alias("last"), F.slice("items", F.lit(1), i).alias("before")))
+    bases = baskets.select(F.inline(ends), "bad", "good").groupBy("last", "before").agg(*sums)
+    found = bases.groupBy("last").applyInArrow(_conditional(least, min_confidence), "tokens array<string>, n_bad long, n long")
+    found = found.select(F.array_sort("tokens").alias("tokens"), (F.col("n_bad") / F.lit(n)).alias("support"), (F.col("n_bad") / F.col("n")).alias("confidence"))
     found = cut_lineage(found.withColumn("rule_id", F.xxhash64("tokens")))
     return found.join(_implied(found), "rule_id", "left_anti").select("rule_id", "tokens", "support", "confidence")
 
