@@ -155,6 +155,37 @@ def test_forest_repair(spark):
     assert {r.id: r.parent_id for r in gr.repair_forest(df).collect()} == repaired(loops)
 
 
+def cycles_by_walks(edges):
+    ahead = {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+    reach = {}
+    for n in ahead:
+        met, todo = set(), [n]
+        while todo:
+            new = ahead.get(todo.pop(), set()) - met
+            met |= new
+            todo += new
+        reach[n] = met
+    return {n: min(m for m in reach[n] if n in reach.get(m, ())) for n in ahead if n in reach[n]}
+
+
+def test_cycles_longer_than_any_round_limit(spark):
+    """Rings of over a thousand nodes, alone, with chords, through one node, and behind a tail; and small random graphs."""
+    rnd = random.Random(3)
+    ring = lambda low, n: [(low + i, low + (i + 1) % n) for i in range(n)]
+    edges = ring(0, 2000) + ring(3000, 1200) + [(3100, 3700), (3900, 3050), (3050, 3050)]
+    edges += [(5000 + i, 5001 + i) for i in range(1100)] + [(6100, 3000), (3001, 6200), (6200, 6201)]
+    edges += ring(7000, 30) + [(7010, 7100), (7100, 7101), (7101, 7010), (7105, 7104), (7104, 7105), (7105, 7000)]
+    for k in range(10):
+        low, n = 10_000 + 100 * k, rnd.choice([2, 3, 4])
+        edges += [(low + rnd.randrange(n), low + rnd.randrange(n)) for _ in range(rnd.choice([n, n * 3 // 2, 2 * n]))]
+    got = gr.cycles(spark.createDataFrame(edges, "src int, dst int")).collect()
+    want = cycles_by_walks(edges)
+    assert want[1999] == 0 and {r.node: r.cycle_id for r in got} == want and len(got) == len(want)
+    assert gr.cycles(spark.createDataFrame([(1, 2), (2, 3)], "src int, dst int")).count() == 0
+
+
 def test_siblings_on_request(spark):
     c = spark.createDataFrame([(2, 1), (3, 1), (4, 1), (5, 9)], "concept_id int, parent_id int")
     g = gr.sibling_groups(c)

@@ -60,57 +60,118 @@ def bounded_reach(pairs: DataFrame, max_depth: int = 5) -> DataFrame:
     return seen
 
 
-def _trimmed(edges: DataFrame, max_rounds: int) -> DataFrame:
-    """Edges whose start has an edge in and whose end has an edge out, until nothing more falls away."""
-    n = edges.count()
-    for _ in range(max_rounds):
-        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        edges = cut_lineage(kept.select("src", "dst"))
-        left = edges.count()
-        if left in (n, 0):
-            return edges
-        n = left
-    return edges
+def _cut(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` without the size estimate that a checkpoint keeps: joins multiply it, and over many rounds its digits double."""
+    df = cut_lineage(df)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), df.sparkSession)
 
 
-def cycles(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, cycle_id): nodes on a cycle; nodes that reach each other share the smallest id.
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose start has an edge in and whose end has an edge out: one round."""
+    kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+    return _cut(kept.select("src", "dst"))
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """Each chain of nodes with one edge in and one out becomes one edge: (edges, chains, members, rings), or None without any.
 
-    Edges that no cycle can hold are trimmed off. The smallest id that reaches a node colours it; a colour's own node and
-    all that lead back to it within the colour are one group. Groups and edges between colours go, and the rest follows.
-    Rows never exceed the edges; rounds grow with the longest path between cycles.
+    ``chains``: (root, a, b) with the ends and the last node of each; ``members``: (node, root); ``rings``: (node, cycle_id) of
+    rings of such nodes only. Pointers double each round.
     """
-    pairs = cut_lineage(pairs.select("src", "dst").distinct())
-    found = [pairs.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle_id"))]
-    edges = _trimmed(cut_lineage(pairs.where("src != dst")), max_rounds)
+    ahead = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("next")).where("n = 1").select(F.col("src").alias("node"), "next")
+    alone = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+    chain = _cut(ahead.join(alone, "node"))
+    if chain.isEmpty():
+        return None
+    inner = chain.select(F.col("node").alias("next"), F.lit(True).alias("goes"))
+    at = chain.join(inner, "next", "left").select("node", F.when(F.col("goes"), F.col("next")).otherwise(F.col("node")).alias("to"), F.col("goes").isNull().alias("ended"), F.col("node").alias("low"))
+    at = _cut(at)
+    n_ended = at.where("ended").count()
+    while True:
+        far = at.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("ended").alias("ended2"), F.col("low").alias("low2"))
+        step = at.join(far, "to").select("node", F.col("to2").alias("to"), F.col("ended2").alias("ended"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("sank"))
+        step = _cut(step)
+        now, sank = step.agg(F.count(F.when(F.col("ended"), 1)), F.count(F.when(F.col("sank"), 1))).first()
+        at = step.drop("sank")
+        # A chain still open ends some nodes each round, and a ring whose lows stay has been gone round.
+        if now == n_ended and not sank:
+            break
+        n_ended = now
+    members = _cut(at.where("ended").select("node", F.col("to").alias("root")))
+    rings = at.where("not ended").select("node", F.col("low").alias("cycle_id"))
+    nodes = chain.select("node")
+    rest = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_anti")
+    starts = rest.join(members.select(F.col("node").alias("dst"), "root"), "dst").select("root", F.col("src").alias("a"))
+    chains = _cut(starts.join(chain.select(F.col("node").alias("root"), F.col("next").alias("b")), "root"))
+    plain = rest.join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    left = plain.unionByName(chains.where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct()
+    return _cut(left), chains, members, rings
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, cycle_id) of groups of two nodes and more, by colours; runs until nothing changes."""
+    found = edges.select(F.col("src").alias("node"), F.col("src").alias("cycle_id")).limit(0)
     while not edges.isEmpty():
-        colour = cut_lineage(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
-        for _ in range(max_rounds):
+        colour = _cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
             here = colour.select(F.col("node").alias("src"), "colour")
             better = edges.join(here, "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("other"))
-            new = cut_lineage(colour.join(better, "node", "left").select("node", F.least("colour", "other").alias("colour"), (F.col("other") < F.col("colour")).alias("changed")))
+            new = _cut(colour.join(better, "node", "left").select("node", F.least("colour", "other").alias("colour"), (F.col("other") < F.col("colour")).alias("changed")))
             colour = new.select("node", "colour")
             if new.where("changed").isEmpty():
                 break
         side = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"of_{c}"))
-        inside = cut_lineage(edges.join(side("src"), "src").join(side("dst"), "dst").where("of_src = of_dst").select("src", "dst", F.col("of_src").alias("colour")))
-        group = cut_lineage(colour.where("node = colour"))
+        inside = _cut(edges.join(side("src"), "src").join(side("dst"), "dst").where("of_src = of_dst").select("src", "dst", F.col("of_src").alias("colour")))
+        group = _cut(colour.where("node = colour"))
         frontier = group
-        for _ in range(max_rounds):
+        while True:
             back = inside.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
-            frontier = cut_lineage(back.join(group.select("node"), "node", "left_anti"))
+            frontier = _cut(back.join(group.select("node"), "node", "left_anti"))
             if frontier.isEmpty():
                 break
-            group = cut_lineage(group.unionByName(frontier))
+            group = _cut(group.unionByName(frontier))
         several = group.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour")
-        found.append(group.join(several, "colour", "left_semi").select("node", F.col("colour").alias("cycle_id")))
+        found = found.unionByName(group.join(several, "colour", "left_semi").select("node", F.col("colour").alias("cycle_id")))
         gone = group.select("node")
         rest = inside.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
-        edges = _trimmed(cut_lineage(rest.select("src", "dst")), max_rounds)
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return every.groupBy("node").agg(F.min("cycle_id").alias("cycle_id"))
+        edges, n = _cut(rest.select("src", "dst")), None
+        while n != (n := edges.count()) and n:
+            edges = _trimmed(edges)
+    return _cut(found)
+
+
+def cycles(pairs: DataFrame) -> DataFrame:
+    """(node, cycle_id): nodes on a cycle; nodes that reach each other share the smallest id.
+
+    Chains become single edges by doubling, and edges that no cycle can hold are trimmed off, in turn, so that long rings and
+    tails take few rounds. In what is left the smallest id that reaches a node colours it; a colour's own node and all that
+    lead back to it within the colour are one group. Groups and edges between colours go, and the rest follows; then chains
+    whose ends are in one group join it. Every loop runs until nothing changes, without a limit. Rows never exceed the edges;
+    rounds grow with the longest path between nodes that branch.
+    """
+    pairs = _cut(pairs.select("src", "dst").distinct())
+    own_edges = pairs.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle_id"))
+    edges, folded = _cut(pairs.where("src != dst")), []
+    while not edges.isEmpty():
+        n = edges.count()
+        if short := _contracted(edges):
+            edges = short[0]
+            folded.append(short[1:])
+        edges = _trimmed(edges)
+        if short is None and edges.count() == n:
+            break
+    groups = _coloured(edges)
+    for chains, members, rings in reversed(folded):
+        groups = groups.unionByName(rings)
+        # A chain that leads from a node back to it is a cycle whatever else the node is on.
+        own = chains.where("a = b").select(F.col("a").alias("node")).distinct().join(groups, "node", "left_anti")
+        groups = _cut(groups.unionByName(own.select("node", F.col("node").alias("cycle_id"))))
+        end = lambda c: groups.select(F.col("node").alias(c), F.col("cycle_id").alias(f"of_{c}"))  # noqa: E731, B023
+        closed = chains.join(end("a"), "a").join(end("b"), "b").where("of_a = of_b").select("root", F.col("of_a").alias("cycle_id"))
+        every = _cut(groups.unionByName(members.join(closed, "root").select("node", "cycle_id")))
+        lows = every.groupBy("cycle_id").agg(F.min("node").alias("low"))
+        groups = _cut(every.join(lows, "cycle_id").select("node", F.col("low").alias("cycle_id")))
+    return groups.unionByName(own_edges).groupBy("node").agg(F.min("cycle_id").alias("cycle_id"))
 
 
 def broken_chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:
