@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_ppm, line_dedup, mixing, quality_fm, quality_rules, token_counts, url_rules, warc
+from . import decontaminate, jaccard_join, language_ppm, line_dedup, mixing, piece_codec, quality_fm, quality_rules, token_counts, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -233,3 +233,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix(docs, mixing.n_words(F.col("text")), mixing.quality_weight(F.col("text")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    coded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
