@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_ppm, line_dedup, mixing, piece_codec, quality_fm, quality_rules, token_counts, url_rules, warc
+from . import decontaminate, jaccard_join, language_ppm, line_dedup, mixing, piece_codec, prefix_trie, quality_fm, quality_rules, spelling_groups, token_counts, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -244,3 +244,74 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+def _crc_step(byte: int) -> int:
+    for _ in range(8):
+        byte = 0xEDB88320 ^ byte >> 1 if byte & 1 else byte >> 1
+    return byte
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 in DuckDB of a text of characters up to U+00FF, from the polynomial's table."""
+    table = "([" + ", ".join(str(_crc_step(b)) for b in range(256)) + "]::BIGINT[])"
+    units = f"list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT)"
+    data = f"flatten(list_transform({units}, lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 | (u >> 6), 128 | (u & 63)] END))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor({table}[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER_SQL}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY ALL),
+hashed AS (SELECT w, k, {crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM runs),
+slipped AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM hashed),
+vocabulary AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+shorter AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+cut AS (SELECT DISTINCT s.word AS long, s.n AS long_n, v.word AS short, v.n AS short_n FROM shorter s JOIN vocabulary v ON v.word = s.s),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+  UNION ALL SELECT long, long_n, short, short_n FROM cut UNION ALL SELECT short, short_n, long, long_n FROM cut),
+best AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+formed AS (SELECT word, near AS form, near_n AS form_n FROM near WHERE true QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1 AND near_n >= 5 * n),
+up AS (SELECT word, form AS root, 1 AS step FROM formed UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN formed f ON f.word = up.root),
+tops AS (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word)
+SELECT v.word, form, coalesce(root, v.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM vocabulary v LEFT JOIN best USING (word) LEFT JOIN formed USING (word) LEFT JOIN tops USING (word)"""
+
+
+@query(OP12_SQL)
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its near words, its form and its root."""
+    return spelling_groups.variants(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH turned AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+every AS (SELECT conv_id, conv_id - conv_id % 100 AS first, {crc_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turned)),
+parts AS (
+  SELECT e.conv_id, t.p, t.role, t.text FROM every e JOIN turned t ON t.conv_id = e.first AND t.p < e.h
+  UNION ALL SELECT e.conv_id, t.p, t.role, t.text FROM every e JOIN turned t ON t.conv_id = e.conv_id AND t.p >= e.h),
+whole AS (SELECT e.conv_id, coalesce(list({{'r': role, 't': text}} ORDER BY p) FILTER (p IS NOT NULL), []) AS turns FROM every e LEFT JOIN parts USING (conv_id) GROUP BY e.conv_id),
+prefixes AS (
+  SELECT conv_id, d AS depth, CAST(turns[1:d] AS VARCHAR) || d AS path, CAST(turns[1:d - 1] AS VARCHAR) || (d - 1) AS up, CASE WHEN d > 0 THEN length(turns[d].t) ELSE 0 END AS chars, d = len(turns) AS over
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT path, any_value(depth) AS depth, any_value(up) AS up, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (over), '')) AS ends_sha256
+  FROM prefixes GROUP BY path),
+children AS (SELECT up AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+below AS (
+  SELECT a.path, sum((n.n_convs - 1) * n.chars) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM nodes n LEFT JOIN children c ON c.path = n.path JOIN prefixes a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN children c ON c.path = n.path LEFT JOIN nodes u ON u.path = n.up AND n.depth > 0"""
+
+
+@query(OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
