@@ -106,13 +106,10 @@ class Tables:
             F.col("item_id").alias("query_id"), F.concat(cue, F.col("text")).alias("query")
         )
 
-    def name_queries(self) -> DataFrame:
-        """(query_id, query): every document's name behind a cue, for volume."""
+    def asked(self) -> DataFrame:
+        """(query_id, query): every document's whole text behind a cue, for volume."""
         cue = pick(F.col("doc_id") % 12, QUERY_CUES)
-        first = F.split("text", "\n")[0]
-        return self.read("documents").select(
-            F.col("doc_id").alias("query_id"), F.concat(cue, first_words(first, 6)).alias("query")
-        )
+        return self.read("documents").select(F.col("doc_id").alias("query_id"), F.concat(cue, F.col("text")).alias("query"))
 
     def objects(self) -> DataFrame:
         """Text objects in reading order: a head row where the line has one, then the line itself."""
@@ -185,9 +182,8 @@ SEARCH_DOCS_SQL = f"""search_docs AS (
 QUERIES_SQL = f"""queries AS (
   SELECT item_id AS query_id, {case("item_id % 12", QUERY_CUES)} || text AS query FROM benchmark)"""
 
-NAME_QUERIES_SQL = f"""queries AS (
-  SELECT doc_id AS query_id,
-         {case("doc_id % 12", QUERY_CUES)} || {sql_words("string_split(text, chr(10))[1]", 6)} AS query FROM documents)"""
+ASKED_SQL = f"""queries AS (
+  SELECT doc_id AS query_id, {case("doc_id % 12", QUERY_CUES)} || text AS query FROM documents)"""
 
 OBJECTS_SQL = f"""{LINES_SQL},
 heads AS (

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import cues, formulas, labels, text, vocab
 from .bindings import (
-    LINES_SQL, NAME_QUERIES_SQL, OBJECTS_SQL, SEARCH_DOCS_SQL, case, first_words, pick, sql_any, sql_case, sql_key, sql_map,
+    ASKED_SQL, LINES_SQL, OBJECTS_SQL, SEARCH_DOCS_SQL, case, first_words, pick, sql_any, sql_case, sql_key, sql_map,
     sql_re, sql_str, sql_tokens, sql_words,
 )
 from .registry import query
 
 _COMPARE = sql_re("trim(query)", cues.COMPARISON)
-FEATURES_SQL = f"""{NAME_QUERIES_SQL},
+FEATURES_SQL = f"""{ASKED_SQL},
 features AS (SELECT query_id, query, {_COMPARE} AS is_comparison,
   NOT {_COMPARE} AND {sql_re("trim(query)", cues.DEFINITION_LEAD)} AS is_definition,
   NOT {_COMPARE} AND {sql_re("trim(query)", cues.EXPLANATION_LEAD)} AS is_explanation,
@@ -49,24 +49,24 @@ profiles AS (SELECT *, {sql_map(cues.STRATEGY_BY_GOAL, "goal")} AS strategy,
 @query("query_features", "P9", f"""WITH {FEATURES_SQL}
   SELECT query_id, is_comparison, is_definition, is_explanation, is_math, is_quoted, len(quoted) AS n_quoted, n_words FROM features""")
 def _(t):
-    f = labels.query_features(t.name_queries())
+    f = labels.query_features(t.asked())
     return f.select("query_id", "is_comparison", "is_definition", "is_explanation", "is_math", "is_quoted",
                     F.size("quoted").alias("n_quoted"), "n_words")
 
 
 @query("query_intents", "P10", f"WITH {PROFILE_SQL} SELECT query_id, intent FROM profiles")
 def _(t):
-    return labels.profile(t.name_queries()).select("query_id", "intent")
+    return labels.profile(t.asked()).select("query_id", "intent")
 
 
 @query("question_types", "P11", f"WITH {PROFILE_SQL} SELECT query_id, question_type, type_rule FROM profiles")
 def _(t):
-    return labels.profile(t.name_queries()).select("query_id", "question_type", "type_rule")
+    return labels.profile(t.asked()).select("query_id", "question_type", "type_rule")
 
 
 @query("query_profiles", "P12", f"WITH {PROFILE_SQL} SELECT query_id, goal, strategy, teaching_goal, depth, scope, subject FROM profiles")
 def _(t):
-    return labels.profile(t.name_queries()).select("query_id", "goal", "strategy", "teaching_goal", "depth", "scope", "subject")
+    return labels.profile(t.asked()).select("query_id", "goal", "strategy", "teaching_goal", "depth", "scope", "subject")
 
 
 EXACT_SQL = f"""names AS (SELECT concept_id, name, {sql_key(sql_tokens("name", vocab.LOOKUP_STOP_WORDS))} AS key FROM search_docs),
@@ -81,7 +81,7 @@ flagged AS (SELECT f.*, matched_concept, matched_concept IS NOT NULL AS is_exact
 
 @query("exact_concept_lookup", "J14", f"WITH {FEATURES_SQL}, {SEARCH_DOCS_SQL}, {EXACT_SQL} SELECT query_id, matched_concept FROM exact")
 def _(t):
-    return labels.exact_concepts(t.name_queries(), t.search_docs())
+    return labels.exact_concepts(t.asked(), t.search_docs())
 
 
 def _policy_sql(rules, default):
@@ -95,7 +95,7 @@ ROUTED_SQL = " UNION ALL ".join(
 @query("routing_decisions", "R10 F3", f"""WITH {FEATURES_SQL}, {SEARCH_DOCS_SQL}, {EXACT_SQL}
   SELECT query_id, policy, string_split(d, '|')[1] AS chosen_strategy, string_split(d, '|')[2] AS fired_rule FROM ({ROUTED_SQL})""")
 def _(t):
-    flagged = labels.routing_flags(t.name_queries(), t.search_docs())
+    flagged = labels.routing_flags(t.asked(), t.search_docs())
     # All policies are columns of one pass over the flags, then turned into rows.
     decided = [labels.route(flagged.select("query_id", "is_exact", "is_quoted", "is_math", "is_comparison", "is_explanation", "is_definition"),
                             *labels.policy(name)).select("query_id", F.lit(name).alias("policy"), "chosen_strategy", "fired_rule")
@@ -335,7 +335,7 @@ def _(t):
     return _turns(t).groupBy("role", labels.off_topic(s).alias("off_topic"), labels.refusal(s).alias("refusal")).agg(F.count("*").alias("n"))
 
 
-@query("cache_keys", "P31", f"WITH {NAME_QUERIES_SQL} SELECT query_id, left(sha256(lower(trim(query)) || '|' || lang), 16) AS cache_key FROM queries JOIN documents ON doc_id = query_id")
+@query("cache_keys", "P31", f"WITH {ASKED_SQL} SELECT query_id, left(sha256(lower(trim(query)) || '|' || lang), 16) AS cache_key FROM queries JOIN documents ON doc_id = query_id")
 def _(t):
-    q = t.name_queries().join(t.documents.select(F.col("doc_id").alias("query_id"), "lang"), "query_id")
+    q = t.asked().join(t.documents.select(F.col("doc_id").alias("query_id"), "lang"), "query_id")
     return q.select("query_id", labels.cache_key(F.col("query"), F.col("lang")).alias("cache_key"))

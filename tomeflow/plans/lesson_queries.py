@@ -139,10 +139,11 @@ _Q = f"list_distinct({sql_tokens('query', vocab.SEARCH_STOP_WORDS)})"
      + CASE WHEN (teaching_goal = 'introduce_concept' AND nd > 0) OR (teaching_goal = 'learning_path' AND np > 0) OR (teaching_goal = 'solve_problem' AND ne > 0) OR (teaching_goal IN ('formula_reference', 'revise') AND nf > 0) THEN 0.75 ELSE 0 END
      + CASE WHEN intent = 'definition' AND nd > 0 THEN least(5.0, nd * 0.5) WHEN intent = 'definition' AND nd = 0 AND ne > 0 THEN -10 ELSE 0 END + CASE WHEN chapter <> '' AND contains(qn, {_FLAT.format(c="chapter")}) THEN 0.2 ELSE 0 END
      + CASE WHEN regexp_matches(query, {sql_str(rr.CLASSIFICATION_QUERY)}) AND regexp_extract(query, {sql_str(rr.CLASSIFIED_WORD)}, 1) <> '' AND list_contains(t, lower(regexp_extract(query, {sql_str(rr.CLASSIFIED_WORD)}, 1))) THEN 1 ELSE 0 END AS boost FROM k)
-  SELECT query_id, concept_id, CAST(round(round(base + boost, 4), 3) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(base + boost, 4) DESC, rank0) AS rank FROM b""")
+  SELECT query_id, concept_id, CAST(s AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank0) AS rank
+  FROM (SELECT *, round(CAST(base + boost AS DECIMAL(18, 6)), 4) AS s FROM b)""")
 def _(t):
     out = rr.rerank(_hits(t), _rich(t), labels.profile(t.queries()))
-    return out.select("query_id", "concept_id", F.round("score", 3).alias("score"), "rank")
+    return out.select("query_id", "concept_id", "score", "rank")
 
 
 @query("hybrid_with_examples", "R9")

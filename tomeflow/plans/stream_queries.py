@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..operators import vectors
+from ..operators import requests, vectors
 from ..sources import io
 from ..streaming import streams as st
 from .bindings import LEARNING_EVENTS_SQL, Tables
@@ -186,6 +186,26 @@ def _(t):
     return _drain(t, st.first_in_ttl(_ts_requests(_stream_events(t)), 600))
 
 
+_TTL_SQL = f"""{_IN_ORDER},
+  r AS (SELECT key, id, us, i, us AS last FROM o WHERE i = 1
+    UNION ALL SELECT o.key, o.id, o.us, o.i, CASE WHEN o.us >= r.last + 600000000 THEN o.us ELSE r.last END FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1),
+  v AS (SELECT key, id, us, CASE WHEN last = us AND (i = 1 OR lag(last) OVER (PARTITION BY key ORDER BY i) <> last) THEN 'miss' ELSE 'hit' END AS verdict FROM r)"""
+
+
+@query("first_in_life", "W14", f"WITH RECURSIVE {_TTL_SQL} SELECT key, id, us, verdict FROM v")
+def _(t):
+    return requests.first_in_life(_ts_requests(t.events), 600)
+
+
+@query("rate_verdicts", "W13", f"""WITH RECURSIVE {_IN_ORDER},
+  r AS (SELECT key, id, us, i, [us] AS times, 'accepted' AS verdict FROM o WHERE i = 1
+    UNION ALL SELECT key, id, us, i, CASE WHEN len(kept) < 3 THEN list_append(kept, us) ELSE kept END, CASE WHEN len(kept) < 3 THEN 'accepted' ELSE 'rejected' END FROM (
+      SELECT o.*, list_filter(r.times, lambda x: x > o.us - 3600000000) AS kept FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1))
+  SELECT key, id, us, verdict, 3 - len(times) AS remaining FROM r""")
+def _(t):
+    return requests.rate_verdicts(_ts_requests(t.events), limit=3, seconds=3600)
+
+
 @query("streamed_mastery", "ST1", f"WITH {REPLAY_SQL} SELECT student, concept_id, round(mastery, 4) AS mastery, round(confidence, 4) AS confidence, state, revisions::BIGINT AS revisions FROM final")
 def _(t):
     st.use_state_store(t.spark)
@@ -221,7 +241,7 @@ def _(t):
 def _(t):
     s = Tables(t.spark, t.folder)
     src = t.spark.readStream.schema(s.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
-    queries = src.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("what is "), F.split("text", "\n")[0]).alias("query"))
+    queries = src.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("what is "), F.col("text")).alias("query"))
     d = s.search_docs()
     names = d.select("concept_id", "name", text.set_key(text.lookup_tokens(F.col("name"))).alias("key")).where("key <> ''")
     names = names.groupBy("key").agg(F.min_by("name", "concept_id").alias("matched_concept"))
