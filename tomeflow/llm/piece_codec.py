@@ -20,7 +20,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from .storage import free_name, refuse
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20
 CACHE_SEGMENTS = 300_000
-PAIR_BITS = 20
+PAIR_BITS = 21
 WIDTHS = (6, 10, 16, 32)
 ROWS = 8192
 GROUP_CHARS = 1 << 20
@@ -86,28 +85,31 @@ class Codec:
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         known = "".join(sorted({c for p in self.ids for c in p} - {SPACE}))
-        spaced = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        self.lines = "\n" in known
+        self.spaced = spaced = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         inside = f"[{re.escape(known)}{SPACE if spaced else ''}]"
         # Segments: spaces with what follows, known characters, or one character that is in no piece.
         self.cut = re.compile(f"{inside}+|." if spaced else f"{SPACE}+{inside}*|{inside}+|.", re.S).findall
         self.borders: dict[int, tuple[list, list] | None] = {}
         self.pair_keys = np.full(1 << PAIR_BITS, -1, np.int64)
         self.pair_answers = np.zeros(1 << PAIR_BITS, bool)
-        self.tokens = list(range(size))
         self.second = np.zeros(size, np.uint64)
         self.lengths = np.array([len(t) for t in self.texts])
         self.by_length = {n: self._hashes([p for p in self.ids if len(p) == n]) for n in sorted({len(p) for p in self.ids})}
         self.longest = max(self.by_length)
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def _hashes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of pieces of one length, with their ids. A second hash of each is kept beside its id."""
+    def _hashes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of pieces of one length, with their ids, and which leading 16 bits they have.
+
+        A second hash of each is kept beside its id."""
         codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).reshape(len(pieces), -1)
         h, ids = _prefix_sums(codes, POLYNOMIAL)[:, -1], np.array([self.ids[p] for p in pieces])
         self.second[ids] = _prefix_sums(codes, SCATTER)[:, -1]
-        order = np.argsort(h)
-        return h[order], ids[order]
+        order, leading = np.argsort(h), np.zeros(1 << 16, bool)
+        leading[h >> np.uint64(48)] = True
+        return h[order], ids[order], leading
 
     def text(self, token: int) -> str:
         return self.texts[token] if token < self.size else chr(token - self.size)
@@ -162,12 +164,13 @@ class Codec:
         """The compatibility of pairs (token before + 1, token), packed as one number; answers are kept in a table of fixed size."""
         slots = (keys.astype(np.uint64) * np.uint64(SCATTER)) >> np.uint64(64 - PAIR_BITS)
         good = self.pair_answers[slots]
-        for key in np.unique(keys[self.pair_keys[slots] != keys]).tolist():
-            before, token = divmod(key, self.size)
-            answer = self.history(token) is not None if before == 0 else self.compatible(before - 1, token)
-            slot = (key * SCATTER % (1 << 64)) >> (64 - PAIR_BITS)
-            self.pair_keys[slot], self.pair_answers[slot] = key, answer
-            good[keys == key] = answer
+        new = np.flatnonzero(self.pair_keys[slots] != keys)
+        if len(new):
+            asked, at = np.unique(keys[new], return_inverse=True)
+            pairs = [divmod(key, self.size) for key in asked.tolist()]
+            told = np.array([self.history(token) is not None if before == 0 else self.compatible(before - 1, token) for before, token in pairs])
+            good[new] = told[at]
+            self.pair_keys[slots[new]], self.pair_answers[slots[new]] = keys[new], good[new]
         return good
 
     def prefix_table(self, codes: np.ndarray) -> np.ndarray:
@@ -176,11 +179,14 @@ class Codec:
         An automaton's matches of all texts at once: windows of every piece length, found among the pieces by their hash."""
         n, width = codes.shape
         powers, sums, matches = _powers(POLYNOMIAL, width), _prefix_sums(codes, POLYNOMIAL), {}
-        for length, (hashes, tokens) in self.by_length.items():
+        for length, (hashes, tokens, leading) in self.by_length.items():
             if length <= width:
                 windows = sums[:, length:] - sums[:, :-length] * powers[length]
-                at = np.minimum(np.searchsorted(hashes, windows), len(hashes) - 1)
-                matches[length] = np.where(hashes[at] == windows, tokens[at], -1)
+                found = np.full(windows.shape, -1, np.int64)
+                some = np.nonzero(leading[windows >> np.uint64(48)])
+                at = np.minimum(np.searchsorted(hashes, windows[some]), len(hashes) - 1)
+                found[some] = np.where(hashes[at] == windows[some], tokens[at], -1)
+                matches[length] = found
         last = np.full((n, width + 1), -1, np.int64)
         for end in range(1, width + 1):
             free = np.ones(n, bool)
@@ -196,7 +202,7 @@ class Codec:
             last[rows, end] = codes[rows, end - 1].astype(np.int64) + self.size
         return last
 
-    def short_segments(self, parts: list[str]) -> Iterator[tuple[int, ...]]:
+    def short_segments(self, parts: list[str]) -> Iterator[bytes]:
         """Ids of many short segments, recovered backwards from their prefix tables."""
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         width = int(lengths.max())
@@ -218,15 +224,14 @@ class Codec:
             plain[rows[~same]] = False
             at[rows] = start
             rows = rows[same & (start > 0)]
-        known = self.tokens
-        for part, tokens, first, ok in zip(parts, out.tolist(), (width - filled).tolist(), plain.tolist()):
-            # Equal ids are one object, so that the cache is small.
-            yield tuple([known[t] for t in tokens[first:]]) if ok else self.long_segment(part)
+        coded = out.astype(np.int32).tobytes()
+        for i, (part, first, ok) in enumerate(zip(parts, (width - filled).tolist(), plain.tolist())):
+            yield coded[4 * (i * width + first):4 * (i + 1) * width] if ok else self.long_segment(part)
 
     def as_ids(self, token: int) -> list[int]:
         return [token] if token < self.size else [self.bytes[b] for b in chr(token - self.size).encode("utf-8")]
 
-    def long_segment(self, text: str) -> tuple[int, ...]:
+    def long_segment(self, text: str) -> bytes:
         """Ids of a segment of any length, from the automaton's matches in one pass."""
         last: list[int | None] = [None] * (len(text) + 1)
         filled = 0
@@ -242,7 +247,7 @@ class Codec:
         while at:
             out.append(last[at])
             at -= len(self.text(last[at]))
-        return tuple([self.tokens[i] for t in reversed(out) for i in self.as_ids(t)])
+        return np.array([i for t in reversed(out) for i in self.as_ids(t)], np.int32).tobytes()
 
     def single(self, text: str, last: list[int | None], start: int, stop: int) -> None:
         """Prefixes that end with no compatible piece end with a character that is none."""
@@ -259,21 +264,27 @@ class Codec:
                 self.recent.update(zip(batch, self.short_segments(batch)))
         self.recent.update((p, self.long_segment(p)) for p in parts if len(p) > WIDTHS[-1])
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of whole texts, each with the end id."""
+    def segments(self, text: str) -> list[str]:
+        """A normalised text cut where no piece can span the border, and at line ends; empty strings count for nothing."""
+        if self.spaced or SPACE * 2 in text or " " in text:
+            return self.cut(text)
+        text = text.replace(SPACE, " " + SPACE)
+        return (text if self.lines else text.replace("\n", " \n ")).split(" ")
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of whole texts as 32-bit numbers, each with the end id."""
+        end = np.array([self.end], np.int32).tobytes()
         for group in _groups([self.library.normalize(t) for t in texts]):
-            cut = [self.cut(t) for t in group]
+            cut = [self.segments(t) for t in group]
             if len(self.recent) >= CACHE_SEGMENTS:
-                self.older, self.recent = self.recent, {}
+                self.older, self.recent = self.recent, {"": b""}
             missing = set().union(*cut) - self.recent.keys()
             again = missing & self.older.keys()
             self.recent.update((p, self.older[p]) for p in again)
             self.learn(missing - again)
             find = self.recent.__getitem__
             for parts in cut:
-                ids = list(chain.from_iterable(map(find, parts)))
-                ids.append(self.end)
-                yield ids
+                yield b"".join(map(find, parts)) + end
             # Long segments do not come again.
             for p in [p for p in missing if len(p) > WIDTHS[-1]]:
                 del self.recent[p]
@@ -326,11 +337,9 @@ def _encoder(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value)
         for batch in _slices(batches):
-            ids, ends = [np.zeros(0, np.int32)], [0]
-            for row in own.encode([t or "" for t in batch.column(len(keep)).to_pylist()]):
-                ids.append(np.array(row, np.int32))
-                ends.append(ends[-1] + len(row))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            ids = list(own.encode([t or "" for t in batch.column(len(keep)).to_pylist()]))
+            ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.record_batch([*batch.columns[:len(keep)], lists], names=[*keep, "ids"])
 
     return run
@@ -340,7 +349,9 @@ def _decoder(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value)
         for batch in _slices(batches):
-            texts = [own.decode(row or []) for row in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            ends, ids = lists.offsets.to_pylist(), lists.values.to_numpy()
+            texts = [own.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return run

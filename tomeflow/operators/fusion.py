@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scale import top_k
-from . import search, vectors
+from . import lexical_index, search, vectors
 
 RRF_K = 60
 CANDIDATES = 50
@@ -42,20 +42,28 @@ def fuse(lists: DataFrame, weights: dict[str, float], k: int = RRF_K, group: lis
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def candidate_lists(queries: DataFrame, docs: DataFrame, k: int = 5, keep: Column | None = None) -> DataFrame:
+def indexed(index: lexical_index.Index) -> Strategy:
+    """The lexical strategy over a stored index; the documents are those indexed."""
+    return lambda queries, docs, k, keep=None: lexical_index.search_index(index, queries, k, keep).select("query_id", "rank", "concept_id", "score")
+
+
+def candidate_lists(queries: DataFrame, docs: DataFrame, k: int = 5, keep: Column | None = None, lexical: Strategy = lexical) -> DataFrame:
     """Lexical and dense candidates, ``max(50, k)`` deep: (query_id, list, concept_id, rank)."""
     depth = max(CANDIDATES, k)
     named = lambda df, name: df.select("query_id", F.lit(name).alias("list"), "concept_id", "rank")
     return named(lexical(queries, docs, depth, keep), "lexical").unionByName(named(dense(queries, docs, depth, keep), "dense"))
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, k: int, keep: Column | None = None,
-           weights: dict[str, float] | None = None, rrf_k: int = RRF_K) -> DataFrame:
-    lists = candidate_lists(queries, docs, k, keep)
+def fused_top(lists: DataFrame, k: int, weights: dict[str, float] | None = None, rrf_k: int = RRF_K) -> DataFrame:
     fused = fuse(lists, weights or {"lexical": 1.0, "dense": 1.0}, rrf_k)
     return fused.where(F.col("rank") <= k).select("query_id", "rank", "concept_id", "score")
 
 
+def hybrid(queries: DataFrame, docs: DataFrame, k: int, keep: Column | None = None,
+           weights: dict[str, float] | None = None, rrf_k: int = RRF_K, lexical: Strategy = lexical) -> DataFrame:
+    return fused_top(candidate_lists(queries, docs, k, keep, lexical), k, weights, rrf_k)
+
+
 STRATEGIES: dict[str, Strategy] = {"bm25f": lexical, "dense": dense, "hybrid": hybrid}
 
 

@@ -76,19 +76,8 @@ def score(docs: DataFrame, queries: DataFrame, max_rows: int = BROADCAST_ROWS, s
     qt = query_terms(queries)
     small = fits(qt, max_rows)
     counts = cut_lineage(term_counts(docs, qt.select("term").distinct() if small else None))
-    stats = F.broadcast(length_stats(docs, counts))
     df = counts.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-    whole = Window.partitionBy("concept_id")
-    posts = counts.select("*", *[F.sum(f"tf_{f}").over(whole).alias(f"len_{f}") for f in FIELDS]).where("term IS NOT NULL")
-    weighted = F.lit(0.0)
-    for f, w in vocab.FIELD_WEIGHTS.items():
-        avg = F.when(F.col(f"avg_{f}") == 0, 1.0).otherwise(F.col(f"avg_{f}"))
-        norm = 1 - vocab.BM25_B + vocab.BM25_B * F.col(f"len_{f}") / avg
-        weighted = weighted + w * F.col(f"tf_{f}") / norm
-    k1 = vocab.BM25_K1
-    p = posts.join(stats).withColumn("wtf", weighted)
-    p = p.select("concept_id", "term", "n_docs", (F.col("tf_name") > 0).cast("int").alias("in_name"),
-                 (F.col("wtf") * (k1 + 1) / (k1 + F.col("wtf"))).alias("sat"))
+    p = saturations(counts, length_stats(docs, counts))
     if small:
         hits = p.join(F.broadcast(qt.join(df, "term")), "term")
     else:
@@ -99,6 +88,26 @@ def score(docs: DataFrame, queries: DataFrame, max_rows: int = BROADCAST_ROWS, s
     scored = hits.groupBy("concept_id", "query_id", "query_key", "n_terms").agg(
         F.sum(idf * F.col("sat")).alias("bm25"), F.sum("in_name").alias("in_name")
     )
+    return boosted(scored, docs)
+
+
+def saturations(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """(concept_id, term, n_docs, in_name, sat): the saturated, length-normalised weight of each term of each document."""
+    whole = Window.partitionBy("concept_id")
+    posts = counts.select("*", *[F.sum(f"tf_{f}").over(whole).alias(f"len_{f}") for f in FIELDS]).where("term IS NOT NULL")
+    weighted = F.lit(0.0)
+    for f, w in vocab.FIELD_WEIGHTS.items():
+        avg = F.when(F.col(f"avg_{f}") == 0, 1.0).otherwise(F.col(f"avg_{f}"))
+        norm = 1 - vocab.BM25_B + vocab.BM25_B * F.col(f"len_{f}") / avg
+        weighted = weighted + w * F.col(f"tf_{f}") / norm
+    k1 = vocab.BM25_K1
+    p = posts.join(F.broadcast(stats)).withColumn("wtf", weighted)
+    return p.select("concept_id", "term", "n_docs", (F.col("tf_name") > 0).cast("int").alias("in_name"),
+                    (F.col("wtf") * (k1 + 1) / (k1 + F.col("wtf"))).alias("sat"))
+
+
+def boosted(scored: DataFrame, docs: DataFrame) -> DataFrame:
+    """Add boost, score and the name that breaks ties to summed (query_id, concept_id, query_key, n_terms, bm25, in_name)."""
     return scored.join(_names(docs), "concept_id").withColumn("boost", exact_boost()).withColumn(
         "score", F.round(F.col("bm25") + F.col("boost"), 6))
 

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scale import cut_lineage
+from ..operators import fusion, lexical_index
+from .scale import cut_lineage, shared_folder
 
 # Query openings, by id modulo 12. Index 11 has none.
 QUERY_CUES = [
@@ -41,7 +42,8 @@ def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(text, r"\s+"), 1, n), " ")
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_STAGED: dict[tuple, DataFrame] = {}
+_INDEXES: dict[tuple, str] = {}
 _SCAN_TASKS: dict[tuple[str, str, str], int] = {}
 # Tables whose rows are heavy to work on, with the key that spreads them.
 SPREAD_BY = {"documents": "doc_id", "conversations": "conv_id"}
@@ -72,13 +74,31 @@ class Tables:
             raise AttributeError(name)
         return self.read(name)
 
+    def state(self, *names: str) -> tuple:
+        """Path, size and time of every file of the tables: a changed table has another state. Only folders are listed."""
+        files = self.spark.read.format("binaryFile").load([f"{self.folder}/{n}.parquet" for n in names])
+        return tuple(sorted((r.path, r.length, r.modificationTime) for r in files.select("path", "length", "modificationTime").collect()))
+
     def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A stage table: written once to the checkpoint folder, then read by every query of the session."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        """A stage table: written once to the checkpoint folder, then read by every query of the session while its tables stay
+        as they are."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name, self.state("documents", "benchmark"))
         if key not in _STAGED:
             _STAGED[key] = cut_lineage(build())
         return _STAGED[key]
 
+    def lexical_index(self) -> lexical_index.Index:
+        """The stored index of :meth:`search_docs`."""
+        key = (self.spark.sparkContext.applicationId, self.folder, self.state("documents"))
+        if key not in _INDEXES:
+            _INDEXES[key] = lexical_index.fresh_folder(shared_folder(self.spark))
+            lexical_index.build(self.search_docs(), _INDEXES[key])
+        return lexical_index.read(self.spark, _INDEXES[key])
+
+    def candidate_lists(self) -> DataFrame:
+        """Lexical and dense candidates of every benchmark query, written once."""
+        return self.stage("lists", lambda: fusion.candidate_lists(self.queries(), self.search_docs(), lexical=fusion.indexed(self.lexical_index())))
+
     # --- text ---------------------------------------------------------------
     def lines(self) -> DataFrame:
         """(doc_id, lang, source, pos, line): every line of every document."""

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evaluation as ev
-from ..operators import fusion, search
+from ..operators import fusion
+from ..operators.lexical_index import search_index
 from .bindings import QUERIES_SQL, SEARCH_DOCS_SQL
 from .registry import query
 from .search_queries import RANKED_SQL
@@ -40,7 +41,7 @@ def _plain_labels(docs):
 
 def _judged(t):
     docs, queries = t.search_docs(), t.queries()
-    hits = search.bm25f_search(docs, queries, 5).select("query_id", "rank", "concept_id")
+    hits = search_index(t.lexical_index(), queries, 5).select("query_id", "rank", "concept_id")
     homes = docs.select("concept_id", "subject", "chapter")
     top = hits.where("rank = 1").join(homes, "concept_id").select("query_id", "subject", "chapter")
     names = docs.select("subject", "chapter", F.lower("name").alias("expected")).distinct()
@@ -87,7 +88,7 @@ def _expected(t, lists, docs):
          round(avg(mrr), 6) AS mrr, round(avg(recall_5), 6) AS recall_5, round(avg(ndcg_5), 6) AS ndcg_5 FROM m GROUP BY ALL""")
 def _(t):
     docs = t.search_docs()
-    lists = fusion.candidate_lists(t.queries(), docs)
+    lists = t.candidate_lists()
     expected = _expected(t, lists, docs)
     fused = fusion.weight_sweep(lists, _GRID)
     judged = fused.join(expected.withColumn("rel", F.lit(1)), ["query_id", "concept_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
@@ -108,7 +109,7 @@ def _(t):
          CASE WHEN strategy = 'lexical' THEN 0 ELSE (SELECT count(*) FROM search_docs) * 256 * 8 END AS vector_bytes FROM m GROUP BY ALL""")
 def _(t):
     docs = t.search_docs()
-    lists = fusion.candidate_lists(t.queries(), docs)
+    lists = t.candidate_lists()
     fused = fusion.fuse(lists, {"lexical": 1.0, "dense": 1.0}).select("query_id", F.lit("hybrid").alias("list"), "concept_id", "rank")
     every = lists.unionByName(fused).where("rank <= 5").withColumnRenamed("list", "strategy")
     expected = _expected(t, lists, docs)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, vocab
 from ..operators import cards, concepts as cp, evaluation as ev, fusion, lessons as ls, objects as ob, rerank as rr, search, vectors, verification as vf
+from ..operators.lexical_index import search_index
 from .bindings import QUERIES_SQL, SEARCH_DOCS_SQL, case, pick, sql_case, sql_str, sql_tokens
 from .label_queries import PROFILE_SQL
 from .learning_queries import REPLAY_SQL, _final
@@ -33,7 +34,7 @@ _COUNTS = ", ".join(f"n_{k}" for k in _N)
 
 
 def _hits(t):
-    return t.stage("hits5", lambda: search.bm25f_search(t.search_docs(), t.queries(), 5).select("query_id", "rank", "concept_id", "score"))
+    return t.stage("hits5", lambda: search_index(t.lexical_index(), t.queries(), 5).select("query_id", "rank", "concept_id", "score"))
 
 
 @query("section_availability", "V1", f"WITH {SECTIONS_SQL} SELECT query_id, primary_id, n_compared, {_COUNTS} FROM sec")
@@ -148,7 +149,7 @@ def _(t):
 
 @query("hybrid_with_examples", "R9")
 def _(t):
-    lists = fusion.candidate_lists(t.queries(), t.search_docs())
+    lists = t.candidate_lists()
     ex = t.stage("worked_examples", lambda: ob.worked_examples(ob.typed_objects(t.objects())))
     return rr.hybrid_with_examples(lists, search.example_search(ex, t.queries()))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..operators import search
+from ..operators.lexical_index import search_index
 from .bindings import QUERIES_SQL, SEARCH_DOCS_SQL, LINES_SQL, sql_tokens
 from .registry import query
 
@@ -45,7 +46,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 @query("bm25f_search", "R1 T1", f"WITH {RANKED_SQL} SELECT query_id, rank, concept_id, round(score, 4) AS score FROM ranked WHERE rank <= 5")
 def _(t):
-    hits = search.bm25f_search(t.search_docs(), t.queries())
+    hits = search_index(t.lexical_index(), t.queries())
     return hits.select("query_id", "rank", "concept_id", F.round("score", 4).alias("score"))
 
 
@@ -63,7 +64,7 @@ def _(t):
   SELECT query_id, rank, concept_id, round(score, 4) AS score FROM ranked WHERE rank <= 10""")
 def _(t):
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = search.bm25f_search(t.search_docs(), queries, 10)
+    hits = search_index(t.lexical_index(), queries, 10)
     return hits.select("query_id", "rank", "concept_id", F.round("score", 4).alias("score"))
 
 
@@ -73,7 +74,7 @@ def _(t):
   SELECT query_id, rank, concept_id, round(score, 4) AS score FROM kept WHERE rank <= 5""")
 def _(t):
     keep = (F.col("subject") == "en") & F.col("chapter").isin("src1", "src3", "src5")
-    hits = search.bm25f_search(t.search_docs(), t.queries(), keep=keep)
+    hits = search_index(t.lexical_index(), t.queries(), keep=keep)
     return hits.select("query_id", "rank", "concept_id", F.round("score", 4).alias("score"))
 
 

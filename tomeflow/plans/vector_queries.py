@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, vocab
@@ -103,7 +105,7 @@ hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 @query("reciprocal_rank_fusion", "R7", f"""WITH {CANDIDATES_SQL}, {_FUSED.format(w="CASE list WHEN 'dense' THEN 2.0 ELSE 1.0 END", k=20)}
   SELECT query_id, rank, concept_id, round(score, 7) AS score FROM hybrid""")
 def _(t):
-    fused = fusion.fuse(fusion.candidate_lists(t.queries(), t.search_docs()), {"lexical": 1.0, "dense": 2.0}, 20)
+    fused = fusion.fuse(t.candidate_lists(), {"lexical": 1.0, "dense": 2.0}, 20)
     return fused.select("query_id", "rank", "concept_id", F.round("score", 7).alias("score"))
 
 
@@ -112,7 +114,7 @@ HYBRID_SQL = f"{CANDIDATES_SQL}, {_FUSED.format(w='1.0', k=60)}"
 
 @query("hybrid_search", "R8 F2", f"WITH {HYBRID_SQL} SELECT query_id, rank, concept_id, round(score, 7) AS score FROM hybrid WHERE rank <= 5")
 def _(t):
-    hits = fusion.hybrid(t.queries(), t.search_docs(), 5)
+    hits = fusion.fused_top(t.candidate_lists(), 5)
     return hits.select("query_id", "rank", "concept_id", F.round("score", 7).alias("score"))
 
 
@@ -130,5 +132,6 @@ def _(t):
     flagged = labels.routing_flags(t.queries(), docs)
     rules = [("exact_or_quoted", F.col("is_exact") | F.col("is_quoted"), "hybrid"), ("math", F.col("is_math"), "bm25f")]
     chosen = labels.route(flagged, rules, "dense").select("query_id", "query", "chosen_strategy")
-    out = fusion.routed(chosen, docs, 5)
+    lexical = fusion.indexed(t.lexical_index())
+    out = fusion.routed(chosen, docs, 5, {"bm25f": lexical, "dense": fusion.dense, "hybrid": partial(fusion.hybrid, lexical=lexical)})
     return out.select("query_id", "strategy", "rank", "concept_id", F.round("score", 4).alias("score"))
