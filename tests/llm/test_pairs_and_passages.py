@@ -90,7 +90,21 @@ def test_components_of_repeated_and_missing_ids_and_of_nothing(spark):
     assert sorted((str(a), n, str(c)) for a, n, c in got.collect()) == brute_components(rows)
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
     kept = jaccard_join.one_per_component(docs(spark, rows + [(9, "a b c d e f g")]))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "2", "5", "None", "None"]
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == ["(2, '')", "(2, None)", "(5, 'a b c d e f g')", "(None, 'q r s')"]
+
+
+def test_one_row_of_each_class_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    one, two = " ".join(base), " ".join(["x", *base])
+    other = " ".join(reversed(base))
+    rows = [(0, "q r s t u v"), (1, "a b c d e f"), (1, "q r s t u v"), (2, "a b c d e f"), (None, one), (None, two), (None, one),
+            (7, other), (None, other), (7, other), (8, one + " z z z"), (9, "lone words of one row only"), (None, None), (3, "")]
+    frame = docs(spark, rows).withColumn("_gone", F.lit("kept")).withColumn("_set", F.lit(4))
+    kept = jaccard_join.one_per_component(frame)
+    assert kept.columns == frame.columns
+    got = sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
+    assert got == sorted(str(x) for x in [(0, "q r s t u v"), (1, "a b c d e f"), (8, one + " z z z"), (7, other), (9, "lone words of one row only"), (None, None), (3, "")])
+    assert jaccard_join.one_per_component(docs(spark, [])).count() == 0
 
 
 def test_one_very_long_text(spark):

@@ -329,6 +329,23 @@ def test_mixture_edges(spark):
     assert mixing.mix(docs(spark, [(1, None)]), mixing.n_words(F.col("text")), F.lit(1.0)).first()["taken"] == 0
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_mixture_parts_rows_without_ids_and_rows_that_are_equal(spark, monkeypatch, wide):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 11)
+    rng = random.Random(3)
+    # Sources without ids, one of different texts and one of equal rows, and one whose rows share an id.
+    rows = [(None, sentence(rng, 10), "n") for _ in range(40)] + [(None, "one two three", "o") for _ in range(70)] + [(7, sentence(rng, 4), "p") for _ in range(90)]
+    rows += [(i, sentence(rng, 9), "q") for i in range(100, 180)]
+    df = docs(spark, rows).withColumn("_size", F.lit("x")).withColumn("_cut", F.lit(1)).withColumn("a.b", F.lit(2))
+    got = mixing.mix(df, mixing.n_words(F.col("text")), F.lit(1.0), wide=wide).collect()
+    assert len(got) == len(rows) and (not wide or {"_size", "_cut", "a.b"} <= set(got[0].__fields__))
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "nopq"}
+    want = brute_targets(sizes, (3, 1, 2), 1.5, 2)
+    for s in sizes:
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - want[s]) <= max(r["size"] for r in mine) / 2 + 1e-6
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 def test_pipeline_stages_decide_as_their_operators(spark):
     from .test_pairs_and_passages import brute_components, brute_hits, brute_lines

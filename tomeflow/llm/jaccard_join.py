@@ -40,10 +40,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kernels as K
 from .components import components
-from .storage import written
+from .storage import free_name, written
 
 COLD = 8
 BUCKET_BYTES = 8 << 20
@@ -401,11 +402,14 @@ class _Classes:
         self.add(verified(best, sets))
         self.add(verified(self.apart(pairs).join(best, ["a", "b"], "left_anti"), sets))
 
-    def mixed(self, hot: DataFrame) -> DataFrame:
-        """Members (a, b, tag) of the costly subsets that hold sets of several components."""
+    def several(self, hot: DataFrame) -> DataFrame:
+        """Names (a) of the costly subsets that hold sets of several components."""
         of = hot.join(self.of("b", "component"), "b", "left").select("a", F.coalesce("component", "b").alias("component"))
-        several = of.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("a")
-        return self.written(hot.join(several, "a", "left_semi").select("a", "b", "tag"), "mixed")
+        return self.written(of.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("a"), "several")
+
+    def mixed(self, hot: DataFrame, several: DataFrame | None = None) -> DataFrame:
+        """Members (a, b, tag) of those subsets."""
+        return self.written(hot.join(self.several(hot) if several is None else several, "a", "left_semi").select("a", "b", "tag"), "mixed")
 
 
 def _cheap(found: DataFrame) -> DataFrame:
@@ -501,6 +505,13 @@ def _texts_of(texts: DataFrame, sizes: DataFrame, wanted: DataFrame, most: int,
 def jaccard_components(documents: DataFrame, cold: int = COLD, block: int = BLOCK, broadcast_sets: int = BROADCAST_SETS, bucket_bytes: int = BUCKET_BYTES,
                        most_names: int = BROADCAST_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id): classes of documents joined by links of Jaccard 4/5 or more, exactly."""
+    return classed(documents, cold, block, broadcast_sets, bucket_bytes, most_names).select("doc_id", "n_shingles", "component_id")
+
+
+def classed(documents: DataFrame, cold: int = COLD, block: int = BLOCK, broadcast_sets: int = BROADCAST_SETS, bucket_bytes: int = BUCKET_BYTES,
+            most_names: int = BROADCAST_SETS) -> DataFrame:
+    """(doc_id, n_shingles, sid, component, component_id): each row with its set's name, its class's, and the class's smallest
+    id. The names are null for rows without shingles, which are their own classes."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = written(texts.mapInArrow(_sizes, "doc_id long, n_shingles long, sid long, short boolean"), "sizes")
     total = sizes.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
@@ -510,25 +521,28 @@ def jaccard_components(documents: DataFrame, cold: int = COLD, block: int = BLOC
     found = keep(texts.mapInArrow(_index_texts(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "round1")
     both = lambda df: df.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
 
-    def absorb(found: DataFrame) -> DataFrame:
-        """Verify what a round over the texts found; its costly subsets that are still of several components."""
+    def absorb(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Verify what a round over the texts found; the members of its costly subsets, and the names of those that are still
+        of several components."""
         hot = found.where(F.col("hot") & (F.col("tag") != _SHORT)).select("a", "b", "tag")
         pairs = keep(classes.apart(_cheap(found).unionByName(_stars(hot.select("a", "b").distinct(), classes))), "pairs")
         sketches = keep(_texts_of(texts, sizes, both(pairs), broadcast_sets, classes).mapInArrow(_packed(False), "sid long, n long, sketch binary"), "sketches")
         pairs = keep(promising(pairs, sketches), "promising")
         classes.verify(pairs, keep(_texts_of(texts, sizes, both(pairs), broadcast_sets, classes).mapInArrow(_packed(True), "sid long, n long, set binary"), "sets"))
-        return classes.mixed(hot)
+        return hot, classes.several(hot)
 
-    hot = absorb(found)
-    # Names of costly subsets: at most one for each COLD signatures, and sent to the tasks only if few. Otherwise, and in
-    # any case for what is then left, the next round settles the sets that hold them.
-    names = hot.select("a").distinct()
-    second = hot.select(F.col("b").alias("sid")).unionByName(sizes.where("short").select("sid"))
+    hot, names = absorb(found)
+    # Names of costly subsets: at most one for each COLD signatures, and sent to the tasks only if few; the sets that hold
+    # one are then found in the texts again. Otherwise, and in any case for what is then left, the next round settles the
+    # sets that hold them.
     if names.limit(most_names + 1).count() <= most_names:
         costly = documents.sparkSession.sparkContext.broadcast(np.sort(names.toArrow().column("a").to_numpy()))
         found = keep(texts.mapInArrow(_index_texts(buckets, costly), _PACKED).groupBy("bucket").applyInArrow(_meet(cold), _FOUND), "allocated")
-        second = absorb(found).select(F.col("b").alias("sid")).unionByName(found.where(F.col("tag") == _SHORT).select(F.col("b").alias("sid")))
-    second = keep(second.distinct(), "second")
+        hot, names = absorb(found)
+        short = found.where(F.col("tag") == _SHORT).select(F.col("b").alias("sid"))
+    else:
+        short = sizes.where("short").select("sid")
+    second = keep(classes.mixed(hot, names).select(F.col("b").alias("sid")).unionByName(short).distinct(), "second")
     if not second.isEmpty():
         sets = keep(_texts_of(texts, sizes, second, broadcast_sets, classes).mapInArrow(_packed(True), "sid long, n long, set binary").join(second, "sid", "left_semi"), "sets2")
         buckets = max(16, math.ceil((sets.agg(F.sum("n").alias("n")).first()["n"] or 0) * 2 * 22 / bucket_bytes))
@@ -548,20 +562,50 @@ def jaccard_components(documents: DataFrame, cold: int = COLD, block: int = BLOC
     firsts = sizes.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
     of_set = firsts.join(named, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     lowest = of_set.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = of_set.join(lowest, "component").select("sid", "component_id")
-    out = sizes.join(classes, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = sizes.join(of_set.join(lowest, "component").select("sid", "component", "component_id"), "sid", "left")
+    return out.select("doc_id", "n_shingles", "sid", "component", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _named_rows(text: str):
+    """Whole rows, with the name of their set instead of the last column, which holds the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            only = pa.record_batch([batch.column(text)], names=["text"])
+            sid = [pa.array(sid, mask=np.diff(off) == 0) for _, _, _, off, sid in _sets(only)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.concat_arrays(sid) if sid else pa.array([], pa.int64())], names=batch.schema.names)
+
+    return run
 
 
 def one_per_component(documents: DataFrame, most: int = BROADCAST_SETS) -> DataFrame:
-    """The rows of ``documents`` whose id is their class's smallest, with all their columns; of rows that repeat an id and a
-    text, one. Rows without an id and rows without shingles stay."""
-    classes = written(jaccard_components(documents), "classes")
-    gone = written(classes.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    small = gone.limit(most + 1).count() <= most
-    kept = documents.join(F.broadcast(gone) if small else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = written(classes.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "again")
-    if again.isEmpty():
+    """One row of ``documents`` of each class, with all its columns: one with the class's smallest id, or without an id where
+    no row of the class has one. Rows without shingles stay.
+
+    A row whose id no other row has is told by its id. Of the others, those that share an id or have none, the texts are
+    hashed once more, so that two texts under one id are two rows.
+    """
+    rows = written(classed(documents), "classes")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("head")
+    heads = written(rows.where("sid is not null").groupBy("component").agg(head).select("component", F.col("head.doc_id").alias("head_id"), F.col("head.sid").alias("head_sid")), "heads")
+    gone, again, name = (free_name(documents.columns, c) for c in ("_gone", "_again", "_set"))
+    lost = F.col("doc_id").isNotNull() & (~F.col("doc_id").eqNullSafe(F.col("head_id")) | (F.col("sid") != F.col("head_sid")))
+    left_out = written(rows.where("sid is not null").join(heads, "component").where(lost).select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    repeated = written(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(again)), "again")
+    sent = lambda df: F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    of = F.col("doc_id").cast("long")
+    single, shared = documents.where(of.isNotNull()), documents.where(of.isNull())
+    if not repeated.isEmpty():
+        twice = sent(repeated)
+        shared = shared.unionByName(single.join(twice, of == F.col(again), "left_semi"))
+        single = single.join(twice, of == F.col(again), "left_anti")
+    kept = single.join(sent(left_out), of == F.col(gone), "left_anti")
+    if repeated.isEmpty() and rows.where("doc_id is null").isEmpty():
         return kept
-    twice = F.col("doc_id").cast("long") == F.col("_again")
-    return kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+    made = shared.select("*", F.col("text").cast("string").alias(name))
+    schema = StructType([*made.schema.fields[:-1], StructField(name, LongType())])
+    named = made.mapInArrow(_named_rows(name), schema)
+    # Equal rows combine before they are moved, so a large group of copies without ids does not meet in one task.
+    one = named.where(F.col(name).isNotNull()).dropDuplicates(["doc_id", name])
+    chosen = one.join(heads, of.eqNullSafe(F.col("head_id")) & (F.col(name) == F.col("head_sid")), "left_semi")
+    return kept.unionByName(chosen.unionByName(named.where(F.col(name).isNull())).drop(name))

@@ -6,6 +6,7 @@ the larger of the two. All hashes are 64 bits wide and the same on every machine
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ _MIX = _RNG.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,6 +40,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def give_back() -> None:
+    """What Arrow and numpy have freed goes back to the machine: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS["up"]) < n:
         size = max(n, CHUNK_BYTES)
@@ -61,8 +70,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         end = max(first + 1, int(np.searchsorted(off, off[first] + limit, "right")) - 1)
         yield first, end, data[off[first]:off[end]], (off[first:end + 1] - off[first])
         first = end
-    # Workers are used again by later stages: what Arrow has freed goes back to the machine.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -206,9 +206,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, length(coalesce(text, '')) AS n,
-         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS sym FROM documents),
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS sym, md5(coalesce(text, '')) AS tie FROM documents),
 draws AS (
-  SELECT doc_id, source, size, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
+  SELECT doc_id, source, size, tie, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), tie)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
          / greatest(0.05::DOUBLE, 1.0::DOUBLE - 5.0::DOUBLE * (CAST(sym AS DOUBLE) / greatest(n, 1))) AS draw FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 ranked AS (
@@ -220,11 +220,10 @@ fixed AS (SELECT arg_min(level, cap / w) AS level FROM levels WHERE level * w <=
 targets AS (SELECT source, source_size, least(cap, coalesce(fixed.level * w, cap)) AS target FROM levels LEFT JOIN fixed ON true),
 r AS (
   SELECT draws.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
-         coalesce(sum(size) OVER (PARTITION BY draws.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         coalesce(sum(size) OVER (PARTITION BY draws.source ORDER BY draw, doc_id NULLS FIRST, size, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM draws JOIN targets ON draws.source IS NOT DISTINCT FROM targets.source)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (epochs + CASE WHEN bool_or(before + size / 2.0 > target - epochs * source_size)
-                                  OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) THEN 0 ELSE 1 END) AS BIGINT) AS taken FROM r"""
+       CAST(size * (epochs + CASE WHEN before + size / 2.0 > target - epochs * source_size THEN 0 ELSE 1 END) AS BIGINT) AS taken FROM r"""
 
 
 @query(OP10_SQL)
