@@ -1,8 +1,10 @@
 import math
+import random
 
 import pytest
 from tomeflow.operators import evaluation as ev
-from tomeflow.operators import fusion, search, vectors
+from tomeflow.operators import fusion, lexical_index, search, vectors
+from pyspark.sql import functions as F
 
 DOC = "concept_id string, name string, aliases array<string>, subject string, chapter string, definition_texts array<string>, example_texts array<string>"
 
@@ -132,3 +134,30 @@ def test_gate(spark):
     base = spark.createDataFrame([("a", "m", 0.6, "ok"), ("a", "n", 0.9, "ok"), ("b", "m", 1.0, "ok")], cols)
     got = {(r.subject, r.metric): r.problem for r in ev.regression_gate(cur, base).collect()}
     assert got == {("a", "m"): "regression", ("b", "m"): "status failed"}
+
+
+def test_index_skips_and_agrees_with_full_scoring(spark, tmp_path):
+    rng = random.Random(7)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}k" for i in range(200)]
+    some = lambda n: " ".join(words[min(int(rng.paretovariate(0.7)) - 1, 199)] for _ in range(n))
+    rows = [(str(i), some(3), [some(1)], f"s{i % 3}", "c", [some(rng.randrange(0, 30))], [some(rng.randrange(0, 60))]) for i in range(600)]
+    d = spark.createDataFrame(rows + [("x", "", [], "s0", "c", [], [])], DOC).cache()
+    asked = [some(4) for _ in range(12)] + [rows[5][1], rows[9][2][0], "none of these", "", f"{words[0]} {words[150]}"]
+    q = ask(spark, *asked)
+    index = lexical_index.build(d, str(tmp_path / "index"))
+    seen = lambda df: sorted((r.query_id, r.rank, r.concept_id, round(r.score, 5), r.boost) for r in df.collect())
+    keep = F.col("subject") == "s1"
+    assert seen(lexical_index.search_index(index, q, 1)) == seen(search.bm25f_search(d, q, 1))
+    kept = seen(search.bm25f_search(d, q, 4, keep))
+    assert seen(lexical_index.search_index(index, q, 4, keep)) == kept
+    # Shuffled instead of broadcast, and read back from its folder.
+    again = lexical_index.read(spark, str(tmp_path / "index"))
+    assert seen(lexical_index.search_index(again, q, 4, keep, max_rows=0)) == kept
+    # Documents are skipped: far fewer are scored than share a word.
+    blocks = lexical_index._asked_levels(index, search.query_terms(q), 1000)
+    assert lexical_index.candidates(index, q, blocks, 1).count() < 0.7 * search.score(d, q).count()
+
+
+def test_index_of_no_documents(spark, tmp_path):
+    index = lexical_index.build(docs(spark, []), str(tmp_path / "index"))
+    assert lexical_index.search_index(index, ask(spark, "field")).count() == 0

@@ -107,3 +107,6 @@ CONTENT_ALIASES = {
     "probability": ["probability"],
     "vectors": ["vectors"],
 }
+
+# Subjects whose sources can ground an answer.
+TAUGHT_SUBJECTS = ["mathematics", "physics", "chemistry"]

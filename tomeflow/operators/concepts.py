@@ -433,6 +433,17 @@ def chapters_by_number(index: DataFrame, numbers: DataFrame) -> DataFrame:
     return j.groupBy("subject", "number").agg(F.min_by("chapter", F.struct("tier", "chapter")).alias("chapter"))
 
 
+def chapters_by_name(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of the index asked for by (subject, asked): the chapter of that very name, else the first by name that holds it in any case."""
+    at = index.select("subject", F.lower("chapter").alias("txt"), F.struct(*index.columns).alias("found"))
+    wanted = asked.select("subject", "asked", F.lower("asked").alias("name")).distinct()
+    held = contained_names(at.select("subject", "txt").distinct(), wanted.select("subject", "name"), ["subject"])
+    j = at.join(held, ["subject", "txt"]).join(wanted, ["subject", "name"])
+    order = F.struct((F.col("found.chapter") != F.col("asked")).alias("partial"), F.col("found.chapter").alias("chapter"))
+    best = j.groupBy("subject", "asked").agg(F.min_by("found", order).alias("found"))
+    return best.select("asked", "found.*")
+
+
 def chapter_search(concepts: DataFrame, phrase: Column) -> DataFrame:
     """Chapters whose title, or one of whose topic names, holds the phrase."""
     low = F.lower(phrase)

@@ -227,10 +227,11 @@ def expired_sessions(turns: DataFrame, now: Column, hours: int = 24) -> DataFram
     return g.where(old | (F.col("n_user") == 0)).select("conv_id", F.when(F.col("n_user") == 0, "empty").otherwise("expired").alias("reason"))
 
 
-def answer_overlap(answers: DataFrame, common: list[str], least: float = 0.05) -> DataFrame:
+def answer_overlap(answers: DataFrame, common: list[str], known: list[str], least: float = 0.05) -> DataFrame:
     """Add overlap (share of the answer's own words found in its sources), refusal and grounded.
 
-    ``answers``: (answer, sources array<string>, source_names array<string>).
+    ``answers``: (answer, sources array<string>, source_names array<string>, source_subjects array<string>). Only an answer
+    with a source of a ``known`` subject can be grounded.
     """
     ws = lambda c: F.filter(F.array_distinct(F.split(F.trim(F.lower(c)), r"\s+")), lambda w: (w != "") & ~w.isin(common))
     a, s = ws(F.col("answer")), ws(F.array_join("sources", " "))
@@ -238,7 +239,8 @@ def answer_overlap(answers: DataFrame, common: list[str], least: float = 0.05) -
     overlap = F.when((F.size("_a") > 0) & (F.size("_s") > 0), F.size(F.array_intersect("_a", "_s")) / F.size("_a")).otherwise(0.0)
     named = F.exists("source_names", lambda n: (n != "") & F.contains(F.lower(F.col("answer")), F.lower(n)))
     out = out.withColumn("overlap", overlap).withColumn("refusal", labels.refusal(F.col("answer")))
-    return out.withColumn("grounded", (F.size("sources") > 0) & ~F.col("refusal") & ((F.col("overlap") > least) | named)).drop("_a", "_s")
+    taught = F.coalesce(F.exists("source_subjects", lambda s: F.coalesce(s.isin(known), F.lit(False))), F.lit(False))
+    return out.withColumn("grounded", (F.size("sources") > 0) & taught & ~F.col("refusal") & ((F.col("overlap") > least) | named)).drop("_a", "_s")
 
 
 # --- request rates and repeats --------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.labels import first_match
 from ..plans.scale import top_k
+from .containment import contained_names
 
 # Section kinds of each strategy, in order.
 TEMPLATES = {
@@ -93,11 +94,87 @@ def sections(results: DataFrame, docs: DataFrame) -> DataFrame:
     return out.withColumn("supported", F.array_compact(kinds))
 
 
-def evidence(queries: DataFrame, results: DataFrame, docs: DataFrame) -> DataFrame:
+# Fixed value: chapter names up to this length are too common to tell what is asked.
+LONGEST_VAGUE_CHAPTER = 3
+# The fields items are cited from.
+OBJECT_FIELD, CONCEPT_FIELD = "ir_object", "concept"
+# Object types cited in a section.
+OBJECTS_OF = {"theorem": "main_explanation", "property": "main_explanation", "proof": "proof", "exercise": "exercise"}
+# Fixed value: examples cited for one concept.
+MOST_EXAMPLES = 2
+
+
+def _cited(kind: str, field: str, values: Column, of_concept: bool = True) -> Column:
+    """Items of one list field; a name of the graph is cited without a concept id."""
+    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), F.when(F.lit(of_concept), F.col("concept_id")).alias("concept_id"), (F.col("name") if of_concept else x).alias("concept_name"),
+        F.lit(field).alias("field"), i.cast("string").alias("locator"), x.alias("text")))
+
+
+def section_items(results: DataFrame, docs: DataFrame, objects: DataFrame | None = None) -> DataFrame:
+    """(query_id, kind, rank, concept_id, concept_name, field, locator, text): what each section of a query may cite.
+
+    Items stay long: those of a section lie in the order of rank, then of the list they come from, then of its recovered
+    objects. Definitions come from every result; names of the graph, formulas and the first examples from the best one;
+    a comparison holds the first definition of each different concept, when there are two. ``objects``: (concept_id,
+    object_id, type, text), from which theorems and properties explain, and proofs and exercises have sections of their own.
+    """
+    fields = ["name", "aliases", "definition_texts", "example_texts", "formula_latex", "prerequisites", "related_concepts", "next_topics"]
+    r = results.select("query_id", "rank", "concept_id").join(docs.select("concept_id", *fields), "concept_id")
+    # Results that are the same concept by id, name or alias are met in order of rank; only keys are gathered, k a query.
+    key = F.col("concept_id").cast("string")
+    keys = r.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", key.alias("id"), F.lower("name").alias("name"), F.transform("aliases", F.lower).alias("aliases")))).alias("rs"))
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{dict(results.dtypes)['rank']}>").alias("ranks"))
+
+    def meet(acc: Column, x: Column) -> Column:
+        again = F.array_contains(acc["seen"], x["id"]) | F.coalesce(F.arrays_overlap(acc["seen"], x["aliases"]), F.lit(False))
+        return F.when(again, acc).otherwise(F.struct(
+            F.concat(acc["seen"], F.array(x["id"], F.coalesce(x["name"], x["id"])), F.coalesce(x["aliases"], F.array().cast("array<string>"))).alias("seen"),
+            F.array_append(acc["ranks"], x["rank"]).alias("ranks")))
+
+    compared = keys.select("query_id", F.aggregate("rs", start, meet)["ranks"].alias("compared"))
+    r = r.join(compared, "query_id")
+    best, none = F.col("rank") == 1, F.col("definition_texts").isNull() | (F.size("definition_texts") == 0)
+    whole = lambda kind, field, locator, text: F.array(F.struct(
+        F.lit(kind).alias("kind"), F.col("concept_id").alias("concept_id"), F.col("name").alias("concept_name"), field.alias("field"), locator.alias("locator"), text.alias("text")))
+    head = whole("comparison", F.when(none, F.lit(CONCEPT_FIELD)).otherwise("definition_texts"), F.when(none, key).otherwise("0"),
+                 F.when(none, F.col("name")).otherwise(F.col("definition_texts")[0]))
+    of_best = F.concat(
+        _cited("prerequisites", "prerequisites", F.col("prerequisites"), False), _cited("related_concepts", "related_concepts", F.col("related_concepts"), False),
+        _cited("next_topics", "next_topics", F.col("next_topics"), False), _cited("formula", "formula_latex", F.col("formula_latex")),
+        _cited("worked_example", "example_texts", F.slice("example_texts", 1, MOST_EXAMPLES)), whole("summary", F.lit(CONCEPT_FIELD), key, F.col("name")))
+    items = F.concat(
+        _cited("main_explanation", "definition_texts", F.col("definition_texts")),
+        F.when(best, of_best).otherwise(F.slice(of_best, 1, 0)),
+        F.when((F.size("compared") >= 2) & F.array_contains("compared", F.col("rank")), head).otherwise(F.slice(head, 1, 0)))
+    out = r.select("query_id", "rank", F.explode(items).alias("i")).select("query_id", "i.kind", "rank", "i.concept_id", "i.concept_name", "i.field", "i.locator", "i.text")
+    if objects is None:
+        return out
+    kinds = F.create_map(*[F.lit(x) for pair in OBJECTS_OF.items() for x in pair])
+    found = objects.select("concept_id", "object_id", kinds[F.col("type")].alias("kind"), "text").where("kind is not null")
+    top = r.where(best).select("query_id", "rank", "concept_id", "name")
+    return out.unionByName(top.join(found, "concept_id").select(
+        "query_id", "kind", "rank", "concept_id", F.col("name").alias("concept_name"), F.lit(OBJECT_FIELD).alias("field"), F.col("object_id").cast("string").alias("locator"), "text"))
+
+
+def _chapter_elsewhere(asked: DataFrame, chapters: DataFrame) -> DataFrame:
+    """query_id of the queries that hold the name of a chapter of another subject than ``d_subject``."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    named = chapters.where(F.length("chapter") > LONGEST_VAGUE_CHAPTER).select(F.lower("chapter").alias("name"), low("subject").alias("of")).distinct()
+    q = asked.select("query_id", F.lower("query").alias("txt"), low("d_subject").alias("d_subject"))
+    held = contained_names(q.select("txt").distinct(), named.select("name"), [])
+    # Of a chapter that two subjects have, either may be another one: the smallest and the largest tell.
+    ends = named.groupBy("name").agg(F.min("of").alias("lo"), F.max("of").alias("hi"))
+    return q.join(held.join(ends, "name"), "txt").where("lo != d_subject or hi != d_subject").select("query_id").distinct()
+
+
+def evidence(queries: DataFrame, results: DataFrame, docs: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """(query_id, supported, verdict): the first failed check per query, ``ok`` without one.
 
     Checks in order: results, hollow top document, word overlap (waived when the document has content), example or
-    formula asked for, subject named in the query.
+    formula asked for, subject named in the query, chapter of another subject named in the query (with ``chapters``:
+    chapter, subject).
     """
     key = lambda c: text.content_tokens(c)
     body = F.array_join(F.concat(F.array("name"), "definition_texts", "example_texts"), " ")
@@ -109,7 +186,10 @@ def evidence(queries: DataFrame, results: DataFrame, docs: DataFrame) -> DataFra
     j = j.withColumn("overlap", F.arrays_overlap("q_tokens", "doc_tokens") | (F.size("q_tokens") == 0))
     low = F.lower("query")
     named = F.array_compact(F.array(*[F.when(low.rlike(rf"\b{w}\b"), F.lit(s)) for w, s in NAMED_SUBJECTS]))
-    j = j.withColumn("named", named)
+    j = j.withColumn("named", named).withColumn("elsewhere", F.lit(False))
+    if chapters is not None:
+        other = _chapter_elsewhere(j.where("concept_id is not null").select("query_id", "query", "d_subject"), chapters)
+        j = j.drop("elsewhere").join(other.withColumn("elsewhere", F.lit(True)), "query_id", "left")
     verdict = first_match([
         ("no_results", F.col("concept_id").isNull()),
         ("hollow", F.col("n_def") + F.col("n_ex") + F.col("n_fm") == 0),
@@ -117,6 +197,7 @@ def evidence(queries: DataFrame, results: DataFrame, docs: DataFrame) -> DataFra
         ("no_examples", (F.col("intent") == "worked_example") & (F.col("n_ex") == 0)),
         ("no_formulas", (F.col("intent") == "formula") & (F.col("n_fm") == 0)),
         ("other_subject", (F.size("named") > 0) & ~F.array_contains("named", F.col("d_subject"))),
+        ("other_chapter", F.coalesce("elsewhere", F.lit(False))),
     ], "ok")
     return j.select("query_id", verdict.alias("verdict")).withColumn("supported", F.col("verdict") == "ok")
 

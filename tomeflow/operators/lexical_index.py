@@ -74,7 +74,11 @@ def fresh_folder(shared: str) -> str:
 
 
 def read(spark: SparkSession, folder: str) -> Index:
-    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in Index._fields])
+    """The index of a folder. Postings of no documents have no file, so their columns are stated."""
+    levels, names, statistics = (spark.read.parquet(f"{folder}/{name}") for name in ("levels", "names", "statistics"))
+    id_type = names.schema["concept_id"].dataType.simpleString()
+    postings = spark.read.schema(f"term string, level int, concept_id {id_type}, sat double, in_name int, folder int").parquet(f"{folder}/postings")
+    return Index(postings, levels, names, statistics)
 
 
 def _asked_levels(index: Index, terms: DataFrame, max_rows: int) -> DataFrame:

@@ -45,7 +45,7 @@ def length_stats(docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     totals = counts.agg(*[F.coalesce(F.sum(f"tf_{f}"), F.lit(0)).alias(f"total_{f}") for f in FIELDS])
     n = docs.agg(F.count("*").alias("n_docs"))
     return n.join(F.broadcast(totals)).select(
-        "n_docs", *[(F.col(f"total_{f}") / F.col("n_docs")).alias(f"avg_{f}") for f in FIELDS]
+        "n_docs", *[(F.col(f"total_{f}") / F.greatest("n_docs", F.lit(1))).alias(f"avg_{f}") for f in FIELDS]
     )
 
 

@@ -407,6 +407,18 @@ def _(t):
     return cp.chapters_by_number(cp.chapter_index(_indexed(t)), numbers)
 
 
+@query("chapter_by_name", "A6", f"""WITH {_INDEX_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY subject, chapter ORDER BY concept_id) AS r FROM ix),
+  c AS (SELECT subject, chapter, count(*) AS concept_count, string_agg(name, '|' ORDER BY r) FILTER (r <= 10) AS topics FROM r GROUP BY 1, 2),
+  n AS (SELECT DISTINCT lang AS subject, CASE WHEN n_chars % 3 = 0 THEN 'Chapter ' || n_chars % 23 ELSE 'chapter ' || n_chars % 7 END AS asked FROM documents),
+  m AS (SELECT n.asked, c.*, row_number() OVER (PARTITION BY n.subject, n.asked ORDER BY chapter <> n.asked, chapter) AS k FROM c JOIN n ON c.subject = n.subject AND contains(lower(chapter), lower(n.asked)))
+  SELECT asked, subject, chapter, concept_count, topics FROM m WHERE k = 1""")
+def _(t):
+    n = F.col("n_chars")
+    name = F.when(n % 3 == 0, F.concat(F.lit("Chapter "), n % 23)).otherwise(F.concat(F.lit("chapter "), n % 7))
+    index = cp.chapter_index(_indexed(t)).withColumn("topics", F.array_join("topics", "|"))
+    return cp.chapters_by_name(index, t.documents.select(F.col("lang").alias("subject"), name.alias("asked")).distinct())
+
+
 @query("chapter_search", "A6", f"WITH {_INDEX_SQL} SELECT subject, chapter, count(*) AS concept_count FROM ix GROUP BY 1, 2 HAVING bool_or(contains(lower(chapter), 'eau') OR contains(lower(name), 'eau'))")
 def _(t):
     return cp.chapter_search(_indexed(t), F.lit("Eau"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..operators import learning as ln
-from .bindings import LEARNING_EVENTS_SQL, sql_any, sql_str
+from .bindings import LEARNING_EVENTS_SQL, case, pick, sql_any, sql_str
 from ..functions import cues
 from .registry import query
 
@@ -151,18 +151,24 @@ def _ws(c):
     return f"list_filter(list_distinct(regexp_split_to_array(trim(lower({c})), '\\s+')), lambda w: w <> '' AND w NOT IN ({_COMMON}))"
 
 
+# Subjects of the sources, by (conv_id + turn) modulo 4: the last is none of those taught.
+_TAUGHT = ["mathematics", "physics", "chemistry", "history"]
+_KNOWN = ", ".join(sql_str(s) for s in vocab.TAUGHT_SUBJECTS)
+
+
 @query("answer_overlap", "V11", f"""WITH p AS (SELECT conv_id, turn, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS src, role FROM conversations),
   a AS (SELECT *, {_ws("answer")} AS aw, {_ws("coalesce(src, '')")} AS sw, {sql_any("lower(answer)", cues.REFUSALS)} AS refusal, coalesce(src, '') AS nm FROM p WHERE role = 'assistant')
   SELECT conv_id, turn, round(CASE WHEN len(aw) > 0 AND len(sw) > 0 THEN len(list_intersect(aw, sw)) / len(aw) ELSE 0 END, 4) AS overlap, refusal,
-   src IS NOT NULL AND NOT refusal AND (CASE WHEN len(aw) > 0 AND len(sw) > 0 THEN len(list_intersect(aw, sw)) / len(aw) ELSE 0 END > 0.05 OR (nm <> '' AND contains(lower(answer), lower(nm)))) AS grounded FROM a""")
+   src IS NOT NULL AND {case("(conv_id + turn) % 4", _TAUGHT)} IN ({_KNOWN}) AND NOT refusal AND (CASE WHEN len(aw) > 0 AND len(sw) > 0 THEN len(list_intersect(aw, sw)) / len(aw) ELSE 0 END > 0.05 OR (nm <> '' AND contains(lower(answer), lower(nm)))) AS grounded FROM a""")
 def _(t):
     c = t.conversations
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("src"))
     a = c.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left")
     none = F.array().cast("array<string>")
     a = a.select("conv_id", "turn", F.col("text").alias("answer"), F.when(F.col("src").isNotNull(), F.array("src")).otherwise(none).alias("sources"),
-                 F.when(F.col("src").isNotNull(), F.array("src")).otherwise(none).alias("source_names"))
-    return ln.answer_overlap(a, vocab.ANSWER_COMMON_WORDS).select("conv_id", "turn", F.round("overlap", 4).alias("overlap"), "refusal", "grounded")
+                 F.when(F.col("src").isNotNull(), F.array("src")).otherwise(none).alias("source_names"),
+                 F.array(pick((F.col("conv_id") + F.col("turn")) % 4, _TAUGHT)).alias("source_subjects"))
+    return ln.answer_overlap(a, vocab.ANSWER_COMMON_WORDS, vocab.TAUGHT_SUBJECTS).select("conv_id", "turn", F.round("overlap", 4).alias("overlap"), "refusal", "grounded")
 
 
 # Request log: an event is a request; its key is the event type, so keys are hot.

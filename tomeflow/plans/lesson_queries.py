@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, vocab
 from ..operators import cards, concepts as cp, evaluation as ev, fusion, lessons as ls, objects as ob, rerank as rr, search, vectors, verification as vf
 from ..operators.lexical_index import search_index
-from .bindings import QUERIES_SQL, SEARCH_DOCS_SQL, case, pick, sql_case, sql_str, sql_tokens
+from .bindings import LINES_SQL, QUERIES_SQL, SEARCH_DOCS_SQL, case, pick, sql_case, sql_str, sql_tokens
 from .label_queries import PROFILE_SQL
 from .learning_queries import REPLAY_SQL, _final
 from .registry import query
@@ -42,17 +42,52 @@ def _(t):
     return ls.sections(_hits(t), _rich(t)).select("query_id", "primary_id", "n_compared", *[f"n_{k}" for k in _N])
 
 
+def _cite_sql(kind, field, values, best=True, own=True):
+    """Items of one list of the results' documents."""
+    return f"""SELECT query_id, '{kind}' AS kind, rank, {"concept_id" if own else "CAST(NULL AS BIGINT)"} AS concept_id, {"name" if own else "x"} AS concept_name, '{field}' AS field, CAST(i AS VARCHAR) AS locator, x AS text
+   FROM (SELECT query_id, rank, concept_id, name, unnest({values}) AS x, unnest(range(len({values}))) AS i FROM hit{" WHERE rank = 1" if best else ""})"""
+
+
+def _some(n, *v):
+    return f"CASE WHEN concept_id % {n} = 0 THEN [{', '.join(sql_str(x) for x in v)}] ELSE []::VARCHAR[] END"
+
+
+# Objects to recover: every line is one, its type chosen by (doc_id + line) modulo 12.
+_OBJECT_TYPES = ["note", "", "theorem", "proof", "", "", "property", "exercise", "figure", "", "", ""]
+_ALL_ITEMS = " UNION ALL ".join([
+    _cite_sql("prerequisites", "prerequisites", _some(3, "p"), own=False), _cite_sql("related_concepts", "related_concepts", _some(2, "r", "s"), own=False),
+    _cite_sql("next_topics", "next_topics", _some(5, "n"), own=False), _cite_sql("main_explanation", "definition_texts", "definition_texts", best=False),
+    _cite_sql("formula", "formula_latex", _some(4, "F = ma")), _cite_sql("worked_example", "example_texts", "example_texts[1:2]"),
+    "SELECT query_id, 'summary', rank, concept_id, name, 'concept', CAST(concept_id AS VARCHAR), name FROM hit WHERE rank = 1",
+    """SELECT query_id, 'comparison', rank, concept_id, name, CASE WHEN len(definition_texts) = 0 THEN 'concept' ELSE 'definition_texts' END, CASE WHEN len(definition_texts) = 0 THEN CAST(concept_id AS VARCHAR) ELSE '0' END,
+   CASE WHEN len(definition_texts) = 0 THEN name ELSE definition_texts[1] END FROM hit WHERE several""",
+    f"""SELECT query_id, CASE type WHEN 'theorem' THEN 'main_explanation' WHEN 'property' THEN 'main_explanation' ELSE type END, rank, concept_id, name, 'ir_object', doc_id || ':' || pos, line
+   FROM (SELECT *, {case("(doc_id + pos) % 12", _OBJECT_TYPES)} AS type FROM lines) JOIN hit ON doc_id = concept_id WHERE rank = 1 AND type IN ('theorem', 'property', 'proof', 'exercise')"""])
+
+
+@query("section_items", "V1", f"""WITH {RANKED_SQL}, {LINES_SQL}, hit AS (SELECT query_id, rank, count(*) OVER (PARTITION BY query_id) >= 2 AS several, d.* FROM ranked JOIN search_docs d USING (concept_id) WHERE rank <= 5),
+  items AS ({_ALL_ITEMS}) SELECT * FROM items""")
+def _(t):
+    kind = pick((F.col("doc_id") + F.col("pos")) % 12, _OBJECT_TYPES)
+    objects = t.lines().select(F.col("doc_id").alias("concept_id"), F.concat_ws(":", "doc_id", "pos").alias("object_id"), kind.alias("type"), F.col("line").alias("text"))
+    return ls.section_items(_hits(t), _rich(t), objects)
+
+
 _QTOK = sql_tokens("query", vocab.SEARCH_STOP_WORDS, stem=True)
 _BODY = sql_tokens("array_to_string(list_concat([name], definition_texts, example_texts), ' ')", vocab.SEARCH_STOP_WORDS, stem=True)
 _NAMED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(query), '\\b{w}\\b') THEN '{s}' END" for w, s in ls.NAMED_SUBJECTS) + "], lambda x: x IS NOT NULL)"
 
 
-@query("evidence_gate", "V2", f"""WITH {RANKED_SQL}, {_PROFILES}, j AS (SELECT q.query_id, q.query, q.intent, d.concept_id, d.definition_texts, d.example_texts, d.subject, len(list_intersect({_QTOK}, {_BODY})) > 0 OR len({_QTOK}) = 0 AS overlap, {_NAMED} AS named
+@query("evidence_gate", "V2", f"""WITH {RANKED_SQL}, {_PROFILES}, chapters AS (SELECT DISTINCT lower(string_split(name, ' ')[1]) AS name, lower(subject) AS subject FROM search_docs WHERE length(string_split(name, ' ')[1]) > 3),
+  j AS (SELECT q.query_id, q.query, q.intent, d.concept_id, d.definition_texts, d.example_texts, d.subject, len(list_intersect({_QTOK}, {_BODY})) > 0 OR len({_QTOK}) = 0 AS overlap, {_NAMED} AS named,
+      EXISTS (SELECT 1 FROM chapters c WHERE contains(lower(q.query), c.name) AND c.subject <> lower(d.subject)) AS elsewhere
      FROM profiles q LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r USING (query_id) LEFT JOIN search_docs d ON d.concept_id = r.concept_id)
   SELECT query_id, CASE WHEN concept_id IS NULL THEN 'no_results' WHEN len(definition_texts) + len(example_texts) = 0 AND concept_id % 4 <> 0 THEN 'hollow' WHEN NOT overlap AND len(definition_texts) + len(example_texts) = 0 THEN 'no_overlap'
-     WHEN intent = 'worked_example' AND len(example_texts) = 0 THEN 'no_examples' WHEN intent = 'formula' AND concept_id % 4 <> 0 THEN 'no_formulas' WHEN len(named) > 0 AND NOT list_contains(named, lower(subject)) THEN 'other_subject' ELSE 'ok' END AS verdict FROM j""")
+     WHEN intent = 'worked_example' AND len(example_texts) = 0 THEN 'no_examples' WHEN intent = 'formula' AND concept_id % 4 <> 0 THEN 'no_formulas' WHEN len(named) > 0 AND NOT list_contains(named, lower(subject)) THEN 'other_subject' WHEN elsewhere THEN 'other_chapter' ELSE 'ok' END AS verdict FROM j""")
 def _(t):
-    return ls.evidence(labels.profile(t.queries()), _hits(t), _rich(t)).select("query_id", "verdict")
+    # A document's first word names its chapter.
+    chapters = t.search_docs().select(F.split("name", " ")[0].alias("chapter"), "subject").distinct()
+    return ls.evidence(labels.profile(t.queries()), _hits(t), _rich(t), chapters).select("query_id", "verdict")
 
 
 def _judged(t):
