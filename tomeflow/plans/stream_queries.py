@@ -24,13 +24,14 @@ def _folder(t) -> str:
 # --- sources ----------------------------------------------------------------------------------------------------
 @query("scan_index_files", "S1", "SELECT source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY 1")
 def _(t):
-    d = io.scan_index(t.spark, t.folder, t.documents.schema, "documents*.parquet")
+    d = io.scan_index(t.spark, f"{t.folder}/documents*.parquet", t.documents.schema, "*.parquet")
     return d.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("scan_artifacts", "S2", "SELECT lang, count(*) AS n, sum(quality) AS good FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def _(t):
-    a = io.scan_artifacts(t.spark, t.folder, {"documents": (t.documents.schema, "documents.parquet"), "labels": (t.labels.schema, "labels.parquet")})
+    parts = {n: (t.read(n).schema, f"{n}.parquet") for n in ("documents", "labels")}
+    a = io.scan_artifacts(t.spark, t.folder, parts)
     return a["documents"].join(a["labels"], "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("good"))
 
 
@@ -113,8 +114,7 @@ def _stream_events(t) -> DataFrame:
     last = t.events.limit(1).select(*[F.lit(v).cast(f.dataType).alias(f.name) for f in t.events.schema for v in [
         {"event_id": -1, "ts": END, "user_id": -1, "event_type": "end", "props": '{"k": -1}'}.get(f.name)]])
     last.write.parquet(end)
-    read = t.spark.readStream.schema(t.events.schema)
-    src = read.option("pathGlobFilter", "events.parquet").parquet(t.folder).unionByName(t.spark.readStream.schema(t.events.schema).parquet(end))
+    src = t.stream("events").unionByName(t.spark.readStream.schema(t.events.schema).parquet(end))
     return src.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -240,8 +240,7 @@ def _(t):
 @query("streamed_query_labels", "ST6")
 def _(t):
     s = Tables(t.spark, t.folder)
-    src = t.spark.readStream.schema(s.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
-    queries = src.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("what is "), F.col("text")).alias("query"))
+    queries = t.stream("documents").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("what is "), F.col("text")).alias("query"))
     d = s.search_docs()
     names = d.select("concept_id", "name", text.set_key(text.lookup_tokens(F.col("name"))).alias("key")).where("key <> ''")
     names = names.groupBy("key").agg(F.min_by("name", "concept_id").alias("matched_concept"))
@@ -253,8 +252,7 @@ def _(t):
 @query("streamed_embedding_refresh", "ST7", "SELECT doc_id AS id, md5(text) AS checksum, 256 AS dim FROM documents")
 def _(t):
     root = _folder(t)
-    src = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
-    rows = src.select(F.col("doc_id").alias("id"), "text", F.md5("text").alias("checksum"))
+    rows = t.stream("documents").select(F.col("doc_id").alias("id"), "text", F.md5("text").alias("checksum"))
     embed = lambda b: vectors.hashing_vectors(b.select("id", "text")).join(b.select("id", "checksum"), "id")
     q = st.refresh_embeddings(rows, root, embed, f"{root}_chk").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -265,6 +263,5 @@ def _(t):
   SELECT conv_id, max(ts) + INTERVAL 24 HOUR AS expired_at, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user FROM turns GROUP BY 1
   HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM turns) - INTERVAL 1 MINUTE""")
 def _(t):
-    src = t.spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", "conversations.parquet").parquet(t.folder)
-    turns = src.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60))
+    turns = t.stream("conversations").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60))
     return _drain(t, st.expiring_sessions(turns))

@@ -10,13 +10,14 @@ from ..functions import text
 
 
 def scan_index(spark: SparkSession, root: str, schema: StructType, glob: str = "*", fmt: str = "parquet") -> DataFrame:
-    """Union of every matching file at any depth below ``root``. The schema is given, never inferred."""
+    """Union of every matching file at any depth below ``root``, itself a folder, a file or a pattern of these. The schema is
+    given, never inferred."""
     return spark.read.format(fmt).schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
 
 
 def scan_artifacts(spark: SparkSession, root: str, parts: dict[str, tuple[StructType, str]], fmt: str = "parquet") -> dict[str, DataFrame]:
-    """Several kinds of artifact under one root, each by its own schema and file pattern."""
-    return {name: scan_index(spark, root, schema, glob, fmt) for name, (schema, glob) in parts.items()}
+    """Several kinds of artifact under one root, each by its own schema and the pattern of its file or folder of files."""
+    return {name: scan_index(spark, f"{root}/{pattern}", schema, fmt=fmt) for name, (schema, pattern) in parts.items()}
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
