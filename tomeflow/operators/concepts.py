@@ -81,7 +81,7 @@ def inferred_chapters(objects: DataFrame) -> DataFrame:
 
 def raw_names(objects: DataFrame) -> DataFrame:
     """(book, chapter, raw, k, type, page, reading_order): names an object offers. A law named in prose counts as a definition."""
-    txt = F.trim("text")
+    txt = text.trim("text")
     entity = labels.named_entity(txt)
     prefix = r"(?i)^(Definition|Define|Theorem|Property|Key Concept|Concept)[ :.\-–—]*"
     rest = F.substring(F.split(F.regexp_replace(txt, prefix, ""), "\n")[0], 1, 80)
@@ -143,12 +143,16 @@ def containment_parents(concepts: DataFrame, scope: list[str], least: int = 4) -
 
 
 def structural_parents(concepts: DataFrame, scope: list[str]) -> DataFrame:
-    """(concept_id, parent_norm) from section then subsection names; subsection first for names ending in law."""
+    """(concept_id, parent_norm) from section then subsection names; subsection first for names ending in law.
+
+    ``section_norm`` and ``subsection_norm``, where given, are the normal names of these: a normal name normalised again
+    may be another."""
+    norm = lambda c: F.col(f"{c}_norm") if f"{c}_norm" in concepts.columns else text.canonical_name(F.coalesce(c, F.lit("")))
     known = concepts.select(*scope, F.col("norm").alias("parent_norm")).distinct()
     law = F.col("norm").endswith("law")
     options = F.array(
-        F.struct(F.when(law, 1).otherwise(0).alias("o"), text.canonical_name(F.coalesce("section", F.lit(""))).alias("parent_norm")),
-        F.struct(F.when(law, 0).otherwise(1).alias("o"), text.canonical_name(F.coalesce("subsection", F.lit(""))).alias("parent_norm")))
+        F.struct(F.when(law, 1).otherwise(0).alias("o"), norm("section").alias("parent_norm")),
+        F.struct(F.when(law, 0).otherwise(1).alias("o"), norm("subsection").alias("parent_norm")))
     asked = concepts.select(*scope, "concept_id", "norm", F.inline(options)).where("parent_norm <> '' AND parent_norm <> norm")
     return asked.join(known, [*scope, "parent_norm"]).groupBy("concept_id").agg(F.min_by("parent_norm", "o").alias("parent_norm"))
 
@@ -168,9 +172,9 @@ def section_links(objects: DataFrame, concepts: DataFrame, scope: list[str]) ->
     A name fits when the section starts with it, or when the section and the parent's name start alike.
     Prefixes meet names through equi-joins. ``concepts`` carries ``parent_name`` (null without one).
     """
-    sections = objects.where("section <> ''").select(*scope, "section").distinct().withColumn("s", F.lower(F.trim("section")))
+    sections = objects.where("section <> ''").select(*scope, "section").distinct().withColumn("s", F.lower(text.trim("section")))
     prefix = lambda df, col: df.withColumn("p", F.explode(F.transform(F.sequence(F.lit(1), F.length(col)), lambda i: F.substring(F.col(col), F.lit(1), i))))
-    c = concepts.select(*scope, "concept_id", "k", *ORDER, F.lower(F.trim("name")).alias("n"), F.lower(F.trim("parent_name")).alias("pn"))
+    c = concepts.select(*scope, "concept_id", "k", *ORDER, F.lower(text.trim("name")).alias("n"), F.lower(text.trim("parent_name")).alias("pn"))
     keep = [*scope, "section", "concept_id", "k", *ORDER]
     starts = prefix(sections, "s")
     by_name = starts.join(c.withColumn("p", F.col("n")), [*scope, "p"]).select(*keep)
@@ -298,9 +302,9 @@ def reattributed_definitions(links: DataFrame, texts: DataFrame, concepts: DataF
     another name and reads like a definition. One move per object; the first name in order gets it.
     """
     c = concepts.select(*scope, "concept_id", F.lower("name").alias("name")).where(F.length("name") > 3)
-    o = links.join(texts, "object_id").withColumn("t", F.lower(F.trim("text")))
+    o = links.join(texts, "object_id").withColumn("t", F.lower(text.trim("text")))
     d = o.where("object_type = 'definition'")
-    terms = F.filter(F.array(*[F.trim(F.regexp_extract("t", p, 1)) for p in LEADING_TERMS if "(" in p.replace("(?:", "")]), lambda x: x != "")
+    terms = F.filter(F.array(*[text.trim(F.regexp_extract("t", p, 1)) for p in LEADING_TERMS if "(" in p.replace("(?:", "")]), lambda x: x != "")
     d = d.withColumn("terms", terms).where(F.size("terms") > 0).select(*scope, "object_id", "concept_id", "t", "terms")
     windows = d.select(*scope, "object_id", "concept_id", F.explode(F.concat("terms", F.array(F.substring("t", 1, 100)))).alias("txt")).distinct()
     inside = contained_names(windows, c, scope).select(*scope, "object_id", "concept_id", "name")
@@ -338,7 +342,7 @@ def linked_formulas(links: DataFrame, formulas: DataFrame) -> DataFrame:
     real = formulas.where(labels.real_formula(F.col("latex")))
     d = links.where("object_type = 'definition'").select("concept_id", F.col("object_id").alias("linked_paragraph_id"), *ORDER)
     j = real.join(d, "linked_paragraph_id")
-    return j.groupBy("concept_id", F.trim("latex").alias("latex")).agg(F.min(F.struct(*ORDER, "formula_id")).alias("at"))
+    return j.groupBy("concept_id", text.trim("latex").alias("latex")).agg(F.min(F.struct(*ORDER, "formula_id")).alias("at"))
 
 
 def figure_images(figures: DataFrame, objects: DataFrame) -> DataFrame:
@@ -453,7 +457,7 @@ def chapter_search(concepts: DataFrame, phrase: Column) -> DataFrame:
 
 def concept_report(counted: DataFrame, objects: DataFrame, links: DataFrame) -> DataFrame:
     """One row: concepts in all, valid, orphans, empty names, and unlinked key objects."""
-    orphan, blank = F.col("n_linked") == 0, F.trim("name") == ""
+    orphan, blank = F.col("n_linked") == 0, text.trim("name") == ""
     a = counted.agg(F.count("*").alias("total_concepts"), F.count_if(~orphan & ~blank).alias("valid_concepts"),
                     F.count_if(orphan).alias("orphan_concepts"), F.count_if(blank).alias("empty_names"))
     free = unlinked(objects, links).agg(

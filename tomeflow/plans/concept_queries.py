@@ -170,7 +170,7 @@ reasoned AS (SELECT l.concept_id, object_id, CASE WHEN type = 'paragraph' AND {s
 
 def linked(t):
     o = kinds(t)
-    title = F.when((F.col("type") == "heading") & F.contains("text", F.lit(".1 ")), F.regexp_replace(F.trim("text"), "^[0-9.]+ ", ""))
+    title = F.when((F.col("type") == "heading") & F.contains("text", F.lit(".1 ")), F.regexp_replace(text.trim("text"), "^[0-9.]+ ", ""))
     o = carry(o, SCOPE, cp.ORDER, {"section": title}, F.floor(F.col("page") / 64)).na.fill("", ["section"])
     c = concepts(t)
     first = c.groupBy(*SCOPE).agg(F.min("reading_order").alias("r0"), F.min_by("name", "reading_order").alias("n0"))
@@ -302,7 +302,8 @@ def _(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy(*SCOPE).orderBy("reading_order")
-    c = concepts(t).withColumn("section", F.lag("name").over(w)).withColumn("subsection", F.lag("name", 2).over(w))
+    before = [F.lag(c, n).over(w).alias(at + end) for at, n in (("section", 1), ("subsection", 2)) for c, end in (("name", ""), ("norm", "_norm"))]
+    c = concepts(t).select("*", *before)
     return cp.structural_parents(c, SCOPE)
 
 
