@@ -40,7 +40,7 @@ def lookup(mapping: dict[str, str], key: Column, default: str | None = None) ->
 # --- queries -----------------------------------------------------------------------------------------
 def query_features(queries: DataFrame) -> DataFrame:
     """Add is_comparison, is_definition, is_explanation, is_math, is_quoted, quoted, n_words."""
-    q = F.trim("query")
+    q = text.trim("query")
     comparison = q.rlike(cues.COMPARISON)
     return queries.select(
         "*",
@@ -62,7 +62,7 @@ def intent(query: Column, is_comparison: Column, is_explanation: Column) -> Colu
 
 def question_type(query: Column) -> Column:
     """struct(type, rule)."""
-    q = F.trim(query)
+    q = text.trim(query)
     pair = lambda t, r: F.struct(F.lit(t).alias("type"), F.lit(r).alias("rule"))
     solves = (q.rlike(cues.SOLVE_OVERRIDE) | q.rlike(cues.WORKED_EXAMPLE)) & ~q.rlike(cues.TYPE_COMPARISON) & ~q.rlike(cues.TYPE_CLASSIFICATION)
     rules = [(pair("worked_example", "solve_override"), solves)]
@@ -71,7 +71,7 @@ def question_type(query: Column) -> Column:
 
 
 def goal(query: Column, type_: Column) -> Column:
-    q = F.trim(query)
+    q = text.trim(query)
     return first_match([(g, q.rlike(p)) for g, p in cues.GOAL_RULES], lookup(cues.GOAL_BY_TYPE, type_, "conceptual_understanding"))
 
 
@@ -80,7 +80,7 @@ def depth(query: Column) -> Column:
 
 
 def scope(query: Column, intent_: Column) -> Column:
-    q = F.lower(F.trim(query))
+    q = F.lower(text.trim(query))
     rules = [(s, q.rlike(p)) for s, p in cues.SCOPE_RULES]
     return first_match([*rules, ("chapter_level", intent_ == "revision")], "single_concept")
 
@@ -151,8 +151,8 @@ def follow_up(query: Column, active: Column) -> Column:
 
     A concept named in the turn wins over the active one.
     """
-    q = F.lower(F.trim(query))
-    named = F.trim(F.regexp_extract(q, cues.EXPLICIT_CONCEPT, 1))
+    q = F.lower(text.trim(query))
+    named = text.trim(F.regexp_extract(q, cues.EXPLICIT_CONCEPT, 1))
     usable = (named != "") & ~F.split(named, r"\s+")[0].isin(cues.NOT_A_CONCEPT)
     concept = F.when(usable, named).otherwise(F.coalesce(active, F.lit("that concept")))
     pair = lambda r, t: F.struct(F.lit(r).alias("rule"), t.alias("rewritten"))
@@ -166,7 +166,7 @@ def follow_up(query: Column, active: Column) -> Column:
     opens = F.lit(False)
     for w in cues.QUESTION_OPENERS:
         opens = opens | q.startswith(w)
-    n_words = F.size(F.filter(F.split(F.trim(query), r"\s+"), lambda w: w != ""))
+    n_words = F.size(F.filter(F.split(text.trim(query), r"\s+"), lambda w: w != ""))
     short = active.isNotNull() & (n_words <= 4) & ~opens
     rules.append((pair("short_query", F.concat(query, F.lit(" about "), active)), short))
     return first_match(rules, pair("none", query))
@@ -189,13 +189,13 @@ def refusal(answer: Column) -> Column:
 
 
 def cache_key(query: Column, subject_: Column) -> Column:
-    return F.substring(F.sha2(F.concat(F.lower(F.trim(query)), F.lit("|"), F.coalesce(subject_, F.lit(""))), 256), 1, 16)
+    return F.substring(F.sha2(F.concat(F.lower(text.trim(query)), F.lit("|"), F.coalesce(subject_, F.lit(""))), 256), 1, 16)
 
 
 # --- objects ---------------------------------------------------------------------------------------------
 def own_type(txt: Column) -> Column:
     """Type an object has by its own text; null when its context must decide. Blank text is a paragraph."""
-    t = F.trim(txt)
+    t = text.trim(txt)
     rules = [("paragraph", t == "")]
     for name, pattern, longest in cues.OBJECT_RULES:
         rules.append((name, t.rlike(pattern) & (F.length(t) < longest) if longest else t.rlike(pattern)))
@@ -214,20 +214,20 @@ def defines(txt: Column) -> Column:
 
 
 def real_formula(txt: Column) -> Column:
-    return ~any_of(F.lower(F.trim(txt)), cues.FORMULA_NOISE) & (F.length(txt) >= 10) & any_of(txt, cues.FORMULA_SIGNS)
+    return ~any_of(F.lower(text.trim(txt)), cues.FORMULA_NOISE) & (F.length(txt) >= 10) & any_of(txt, cues.FORMULA_SIGNS)
 
 
 def math_fragments(txt: Column) -> Column:
     """Trimmed lines of a text that hold a mathematical sign."""
-    return F.transform(F.filter(F.split(txt, "\n"), lambda x: any_of(x, cues.MATH_FRAGMENT_SIGNS)), F.trim)
+    return F.transform(F.filter(F.split(txt, "\n"), lambda x: any_of(x, cues.MATH_FRAGMENT_SIGNS)), text.trim)
 
 
 def named_entity(txt: Column) -> Column:
     """struct(name, cue) of a concept named inside prose, null without one."""
-    line = F.trim(F.split(txt, "\n")[0])
-    called = F.trim(F.regexp_extract(line, cues.CALLED_IF, 1))
-    defined = F.trim(F.regexp_replace(F.regexp_extract(line, cues.DEFINED_IF, 1), cues.DEFINED_IF_SUFFIX, ""))
-    law = F.replace(F.trim(F.regexp_extract(line, cues.NAMED_LAW, 1)), F.lit("’"), F.lit("'"))
+    line = text.trim(F.split(txt, "\n")[0])
+    called = text.trim(F.regexp_extract(line, cues.CALLED_IF, 1))
+    defined = text.trim(F.regexp_replace(F.regexp_extract(line, cues.DEFINED_IF, 1), cues.DEFINED_IF_SUFFIX, ""))
+    law = F.replace(text.trim(F.regexp_extract(line, cues.NAMED_LAW, 1)), F.lit("’"), F.lit("'"))
     pair = lambda n, c: F.struct(n.alias("name"), F.lit(c).alias("cue"))
     return (
         F.when(called != "", pair(called, "called_if"))
@@ -238,8 +238,8 @@ def named_entity(txt: Column) -> Column:
 
 def heading_candidates(heading: Column) -> Column:
     """Names offered by a heading: itself, and its parts when it joins relations or functions by ``and``."""
-    t = F.trim(heading)
-    parts = F.filter(F.transform(F.split(t, r"(?i)\s+and\s+"), F.trim), lambda p: p != "")
+    t = text.trim(heading)
+    parts = F.filter(F.transform(F.split(t, r"(?i)\s+and\s+"), text.trim), lambda p: p != "")
     key_words = F.split(text.canonical_name(t), " ")
     splits = (
         ~F.contains(t, F.lit(",")) & ~t.endswith(".")

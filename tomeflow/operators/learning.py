@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import labels, text
 from ..plans.scale import carry, running
 
 # Effect of an event: (mastery, confidence, signal, forces mastery, revisions, streak).
@@ -233,7 +233,7 @@ def answer_overlap(answers: DataFrame, common: list[str], known: list[str], leas
     ``answers``: (answer, sources array<string>, source_names array<string>, source_subjects array<string>). Only an answer
     with a source of a ``known`` subject can be grounded.
     """
-    ws = lambda c: F.filter(F.array_distinct(F.split(F.trim(F.lower(c)), r"\s+")), lambda w: (w != "") & ~w.isin(common))
+    ws = lambda c: F.filter(F.array_distinct(F.split(text.trim(F.lower(c)), r"\s+")), lambda w: (w != "") & ~w.isin(common))
     a, s = ws(F.col("answer")), ws(F.array_join("sources", " "))
     out = answers.withColumn("_a", a).withColumn("_s", s)
     overlap = F.when((F.size("_a") > 0) & (F.size("_s") > 0), F.size(F.array_intersect("_a", "_s")) / F.size("_a")).otherwise(0.0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cues, labels
+from ..functions import cues, labels, text
 from ..plans.scale import carry
 
 ORDER = ["page", "reading_order"]
@@ -72,7 +72,7 @@ def typed_objects(objects: DataFrame, bold: str | None = None, footnote: str | N
     t = F.col("own_type")
     inside = (
         F.when(t.isNotNull(), t)
-        .when(F.col("solution").isNotNull(), F.when(F.trim("text").rlike(cues.FINAL_ANSWER), "final_answer").otherwise("calculation_step"))
+        .when(F.col("solution").isNotNull(), F.when(text.trim("text").rlike(cues.FINAL_ANSWER), "final_answer").otherwise("calculation_step"))
         .when(F.col("example").isNotNull(), "example_question")
         .when(F.col("exercise").isNotNull(), "exercise_question")
     )
@@ -107,16 +107,16 @@ def heading_levels(objects: DataFrame, heading: Column, subject: Column) -> Data
     Headings that are page noise change nothing: fewer than three letters, the subject's own name, or a
     chapter number above the limit.
     """
-    t = F.trim("text")
+    t = text.trim("text")
     marker = t.rlike(cues.CHAPTER_MARKER)
-    bare = F.trim(F.regexp_replace(t, r"(?i)^(Unit|Chapter)\s+", ""))
+    bare = text.trim(F.regexp_replace(t, r"(?i)^(Unit|Chapter)\s+", ""))
     word = F.lower(F.regexp_extract(bare, r"^([A-Za-z]+)", 1))
     spelled = F.array_position(F.array(*[F.lit(w) for w in cues.NUMBER_WORDS]), word)
     bare = F.when(marker & (spelled > 0), F.concat(spelled.cast("string"), F.lit(" "), F.regexp_replace(bare, r"^[A-Za-z]+\s*", ""))).otherwise(bare)
     bare = F.when(marker & bare.rlike(r"^\d+$"), F.concat(bare, F.lit(" "))).otherwise(bare)
     rows = objects.withColumn("_bare", F.when(heading, bare))
     number = F.regexp_extract("_bare", r"^(\d+(\.\d+)*)\s", 1)
-    title = F.trim(F.regexp_replace("_bare", r"^\d+(\.\d+)*\s+", ""))
+    title = text.trim(F.regexp_replace("_bare", r"^\d+(\.\d+)*\s+", ""))
     real = (number != "") & (F.split(number, r"\.")[0].cast("long") <= cues.MAX_CHAPTER_NUMBER)
     worded = (F.length(F.regexp_replace(title, r"[^A-Za-z]", "")) >= 3) & (F.lower(title) != F.lower(subject))
     rows = rows.withColumn("_no", F.when(heading & real & (marker | worded), number))
@@ -134,7 +134,7 @@ def heading_levels(objects: DataFrame, heading: Column, subject: Column) -> Data
 
 def proof_edges(typed: DataFrame) -> DataFrame:
     """Edges from a proof to the theorem, property or concept right before it; empty and figure objects are skipped."""
-    real = F.when((F.trim("text") != "") & (F.col("type") != "figure"), F.struct(F.col("id").alias("id"), F.col("type").alias("type")))
+    real = F.when((text.trim("text") != "") & (F.col("type") != "figure"), F.struct(F.col("id").alias("id"), F.col("type").alias("type")))
     out = carry(typed.select("book", "id", "type", "text", *ORDER), ["book"], ORDER, {"_before": real}, _block(), inclusive=False)
     out = out.where((F.col("type") == "proof") & F.col("_before.type").isin("theorem", "property", "concept"))
     return out.select(F.col("id").alias("source_id"), F.col("_before.id").alias("target_id"), F.lit("explains").alias("type"), F.lit(0.8).alias("confidence"))
@@ -158,7 +158,7 @@ def worked_examples(typed: DataFrame) -> DataFrame:
     begun = F.when((t == "example_solution") & F.lower("text").contains("solution"), F.lit(1))
     before = Window.partitionBy("book", "_head").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("_begun", F.max(begun).over(before))
-    text_ok = (F.trim("text") != "") & ((t != "paragraph") | (F.length("text") < 200))
+    text_ok = (text.trim("text") != "") & ((t != "paragraph") | (F.length("text") < 200))
     in_solution = (t == "example_solution") | (
         (t != "worked_example") & (F.col("_begun").isNotNull() | ((t != "paragraph") & F.lower("text").contains("we have"))))
     out = out.select("book", "_head", *ORDER, t.alias("type"), "id", F.when(text_ok, F.col("text")).alias("text"), in_solution.alias("sol"))
@@ -172,8 +172,8 @@ def worked_examples(typed: DataFrame) -> DataFrame:
 
 def clean_example(txt: Column) -> Column:
     """Blanks collapsed; reprint notes and running page heads removed."""
-    t = F.trim(F.regexp_replace(txt, r"\s+", " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"Reprint 202[56]-2[67]", ""), r"(MATHEMATICS|PHYSICS|CHEMISTRY) (57|58|59|60)", ""))
+    t = text.trim(F.regexp_replace(txt, r"\s+", " "))
+    return text.trim(F.regexp_replace(F.regexp_replace(t, r"Reprint 202[56]-2[67]", ""), r"(MATHEMATICS|PHYSICS|CHEMISTRY) (57|58|59|60)", ""))
 
 
 def object_issues(objects: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -183,7 +183,7 @@ def object_issues(objects: DataFrame, threshold: float = 0.5) -> DataFrame:
     t = F.col("type")
     issues = F.array(
         issue(F.col("confidence") < threshold, "confidence", "review", "low confidence"),
-        issue((F.trim("text") == "") & ~t.isin("figure", "diagram"), "text", "warning", "empty text"),
+        issue((text.trim("text") == "") & ~t.isin("figure", "diagram"), "text", "warning", "empty text"),
         issue(t.isin("definition", "theorem", "property") & (F.length("text") < 10), "text", "review", "very short"),
         issue(F.col("page") < 1, "page", "warning", "no page number"),
     )

@@ -92,7 +92,7 @@ def contract(units: DataFrame, rendered: DataFrame) -> DataFrame:
         "plan_id", (F.size(F.array_except("r", "e")) == 0).alias("no_new"), (F.size(F.array_except("e", "r")) == 0).alias("no_missing"),
         (F.size(F.array_distinct("r")) == F.size("r")).alias("no_duplicates"),
         (F.filter("r", lambda k: F.array_contains("e", k)) == F.col("e")).alias("no_reordered"),
-        F.forall("rs", lambda x: F.trim(x["text"]) != "").alias("no_empty"),
+        F.forall("rs", lambda x: text.trim(x["text"]) != "").alias("no_empty"),
         (ids("us") == ids("rs")).alias("ids_unchanged"),
         F.forall(known, lambda x: F.element_at(F.col("um"), x["unit_id"])["kind"] == x["kind"]).alias("kinds_unchanged"),
         F.forall(known, lambda x: F.element_at(F.col("um"), x["unit_id"])["citations"] == x["citations"]).alias("citations_unchanged"))
