@@ -3,7 +3,7 @@ import random
 
 import pytest
 from tomeflow.operators import evaluation as ev
-from tomeflow.operators import fusion, lexical_index, search, vectors
+from tomeflow.operators import fusion, lexical_index, lexical_scan, search, vectors
 from pyspark.sql import functions as F
 
 DOC = "concept_id string, name string, aliases array<string>, subject string, chapter string, definition_texts array<string>, example_texts array<string>"
@@ -161,3 +161,19 @@ def test_index_skips_and_agrees_with_full_scoring(spark, tmp_path):
 def test_index_of_no_documents(spark, tmp_path):
     index = lexical_index.build(docs(spark, []), str(tmp_path / "index"))
     assert lexical_index.search_index(index, ask(spark, "field")).count() == 0
+
+
+def test_scan_in_blocks_is_scoring_by_joins(spark):
+    """Queries in blocks of a few weights, copies that tie, exact names, aliases and a filter: the rows that joins give."""
+    words = ["electric", "charges", "field", "lens", "boxes", "bodies", "the", "x"]
+    rows = [(f"d{i % 40}-{i}", " ".join(words[(i + j) % 8] for j in range(2 + i % 3)), [words[i % 8]] if i % 4 == 0 else [], "ABC"[i % 3], "c",
+             [" ".join(words[(i * j) % 8] for j in range(1, 9))], ["Lens? field"] if i % 2 else []) for i in range(80)]
+    d = spark.createDataFrame(rows, "concept_id string, name string, aliases array<string>, subject string, chapter string, definition_texts array<string>, example_texts array<string>")
+    q = ask(spark, "electric charges", "field", "boxes", "the", "bodies of the electric lens", "unheard", "charge field lens")
+    keep = F.col("subject") != "B"
+    for kept in (None, keep):
+        joined = search.bm25f_search(d, q, 5, kept, max_rows=0).collect()
+        for cells in (2, 1 << 20):
+            scanned = lexical_scan.search_scan(d, search.query_terms(q), 5, kept, cells).collect()
+            seen = lambda hits: sorted((r.query_id, r.rank, r.concept_id, round(r.score, 5), r.boost) for r in hits)
+            assert seen(scanned) == seen(joined)
