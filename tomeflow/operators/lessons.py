@@ -163,10 +163,10 @@ def _chapter_elsewhere(asked: DataFrame, chapters: DataFrame) -> DataFrame:
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     named = chapters.where(F.length("chapter") > LONGEST_VAGUE_CHAPTER).select(F.lower("chapter").alias("name"), low("subject").alias("of")).distinct()
     q = asked.select("query_id", F.lower("query").alias("txt"), low("d_subject").alias("d_subject"))
-    held = contained_names(q.select("txt").distinct(), named.select("name"), [])
+    held = contained_names(q, named.select("name"), [], ["query_id", "d_subject"])
     # Of a chapter that two subjects have, either may be another one: the smallest and the largest tell.
     ends = named.groupBy("name").agg(F.min("of").alias("lo"), F.max("of").alias("hi"))
-    return q.join(held.join(ends, "name"), "txt").where("lo != d_subject or hi != d_subject").select("query_id").distinct()
+    return held.join(ends, "name").where("lo != d_subject or hi != d_subject").select("query_id").distinct()
 
 
 def evidence(queries: DataFrame, results: DataFrame, docs: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
