@@ -9,6 +9,7 @@ from ..operators import objects as ob
 from .bindings import LINES_SQL, OBJECTS_SQL, sql_re
 from .label_queries import OWN_TYPE_SQL
 from .registry import query
+from .scale import cut_lineage
 
 _W = "(PARTITION BY book ORDER BY page, reading_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _NB = ", ".join(f"'{x}'" for x in cues.NON_BLEEDING)
@@ -116,7 +117,9 @@ def _(t):
   f AS (SELECT book, section, arg_min(chapter, reading_order) AS chapter, arg_min(page, reading_order) AS page_start FROM h WHERE chapter IS NOT NULL AND section IS NOT NULL GROUP BY 1, 2)
   SELECT book, chapter, NULL AS section, arg_min(page, reading_order) AS page_start FROM h WHERE chapter IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT book, chapter, section, page_start FROM f""")
 def _(t):
-    h = leveled(t).where(labels.own_type(F.col("text")) == "heading")
+    # Only headings set numbers, and only headings are asked for: nothing else is carried.
+    o = cut_lineage(t.objects().where(labels.own_type(F.col("text")) == "heading"))
+    h = ob.heading_levels(o, F.lit(True), F.col("subject"))
     h = h.withColumn("chapter", F.concat(F.lit("Chapter "), "chapter_no")).withColumn("section", F.concat(F.lit("Section "), "section_no"))
     return ob.heading_tree(h)
 
