@@ -33,7 +33,7 @@ _COUNTS = ", ".join(f"n_{k}" for k in _N)
 
 
 def _hits(t):
-    return t.stage("hits5", lambda: search.bm25f_search(t.search_docs(), t.queries(), 5).select("query_id", "rank", "concept_id", "score"))
+    return t.hits()
 
 
 @query("section_availability", "V1", f"WITH {SECTIONS_SQL} SELECT query_id, primary_id, n_compared, {_COUNTS} FROM sec")
