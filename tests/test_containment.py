@@ -1,5 +1,6 @@
 import random
 
+import __spark_entry__ as entry
 from tomeflow.operators import containment as cn
 
 
@@ -23,3 +24,34 @@ def test_empty_name_lies_in_every_text(spark):
     names = spark.createDataFrame([("",), ("b",)], "name string")
     assert {tuple(r) for r in cn.contained_names(df, names, [], ["id"]).collect()} == {(1, ""), (1, "b"), (2, "")}
     assert cn.contained_names(df, names.where("name = 'zz'"), []).count() == 0
+
+
+def test_only_runs_of_the_dictionary_leave_a_text(spark):
+    texts = ["Ab cd, éf gh", "-ab cd ab", "zz", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "object_id int, text string").selectExpr(
+        "object_id", r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+', 0) ps", r"lower(text) rlike '^[\\p{L}\\p{N}_]' opens")
+    names = spark.createDataFrame([("ab cd", 3), ("éf", 1), ("cd, éf", 3), (" ab", 2)], "name string, n int")
+    got = {tuple(r) for r in cn.held_runs(rows, names).collect()}
+    assert got == {(0, 0, 3, "ab cd"), (0, 2, 3, "cd, éf"), (0, 4, 1, "éf"), (1, 1, 3, "ab cd")}
+
+
+def test_documents_are_read_once(spark):
+    for name in ("heading_tree", "reattributed_definitions"):  # from a stage that keeps what they need
+        df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert "documents.parquet" not in df._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_few_results_meet_documents_without_a_shuffle_of_texts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large documents
+    try:
+        for name in ("section_items", "evidence_gate"):
+            plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+            assert "BroadcastHashJoin [concept_id" in plan and "SortMergeJoin [concept_id" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_metrics_read_the_stored_results(spark):
+    plan = entry.queries()["mean_retrieval_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.labels import first_match
-from ..plans.scale import top_k
+from ..plans.scale import broadcast_if_small, fits, top_k
 from .containment import contained_names
 
 # Section kinds of each strategy, in order.
@@ -120,7 +120,9 @@ def section_items(results: DataFrame, docs: DataFrame, objects: DataFrame | None
     object_id, type, text), from which theorems and properties explain, and proofs and exercises have sections of their own.
     """
     fields = ["name", "aliases", "definition_texts", "example_texts", "formula_latex", "prerequisites", "related_concepts", "next_topics"]
-    r = results.select("query_id", "rank", "concept_id").join(docs.select("concept_id", *fields), "concept_id")
+    # Few results meet many documents: texts stay where they are read.
+    near = F.broadcast if fits(results) else lambda df: df
+    r = docs.select("concept_id", *fields).join(near(results.select("query_id", "rank", "concept_id")), "concept_id")
     # Results that are the same concept by id, name or alias are met in order of rank; only keys are gathered, k a query.
     key = F.col("concept_id").cast("string")
     keys = r.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
@@ -154,7 +156,7 @@ def section_items(results: DataFrame, docs: DataFrame, objects: DataFrame | None
     kinds = F.create_map(*[F.lit(x) for pair in OBJECTS_OF.items() for x in pair])
     found = objects.select("concept_id", "object_id", kinds[F.col("type")].alias("kind"), "text").where("kind is not null")
     top = r.where(best).select("query_id", "rank", "concept_id", "name")
-    return out.unionByName(top.join(found, "concept_id").select(
+    return out.unionByName(found.join(near(top), "concept_id").select(
         "query_id", "kind", "rank", "concept_id", F.col("name").alias("concept_name"), F.lit(OBJECT_FIELD).alias("field"), F.col("object_id").cast("string").alias("locator"), "text"))
 
 
@@ -179,7 +181,7 @@ def evidence(queries: DataFrame, results: DataFrame, docs: DataFrame, chapters:
     key = lambda c: text.content_tokens(c)
     body = F.array_join(F.concat(F.array("name"), "definition_texts", "example_texts"), " ")
     # Only the documents on top are tokenised.
-    top = results.where("rank = 1").select("query_id", "concept_id").join(docs, "concept_id").select(
+    top = docs.join(broadcast_if_small(results.where("rank = 1").select("query_id", "concept_id")), "concept_id").select(
         "query_id", "concept_id", F.lower("subject").alias("d_subject"), F.size("definition_texts").alias("n_def"), F.size("example_texts").alias("n_ex"),
         F.size("formula_latex").alias("n_fm"), key(body).alias("doc_tokens"))
     j = queries.join(top, "query_id", "left").withColumn("q_tokens", key(F.col("query")))
