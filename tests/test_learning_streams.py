@@ -102,3 +102,72 @@ def test_manifest_and_versions(spark):
     t1 = spark.createDataFrame([(1, "x"), (2, "y")], "id int, text string")
     version = lambda df: io.content_version(df, "p", "m", 4).first().version
     assert version(t1) == version(t1.orderBy(F.desc("id"))) != version(t1.withColumn("text", F.upper("text")))
+
+
+class Store:
+    """State of one key that counts its calls."""
+
+    def __init__(self):
+        self.lists, self.values, self.timers, self.calls = {}, {}, [], 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        return Part(self, self.lists.setdefault(name, []))
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return Part(self, self.lists.setdefault(name, []))
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Part(self, self.values.setdefault(name, []))
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.timers.remove(ms)
+
+
+class Part:
+    def __init__(self, store, held):
+        self.store, self.held = store, held
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.store.calls += 1
+            if name == "appendList":
+                self.held.extend(args[0])
+            elif name == "put":
+                self.held[:] = args[0]
+            elif name == "update":
+                self.held[:] = [args[0]]
+            elif name == "clear":
+                self.held.clear()
+            elif name == "exists":
+                return bool(self.held)
+            elif name == "get":
+                return iter(list(self.held)) if self.held and len(self.held[0]) > 1 else self.held[0]
+        return call
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_state_calls_do_not_grow_with_the_rows_of_a_key():
+    import pandas as pd
+
+    def calls(n):
+        store, p = Store(), st.MasteryProcessor()
+        p.init(store)
+        kinds = ["lesson_started", "exercise_correct"]
+        rows = pd.DataFrame({"us": [i * 1000_000 for i in range(n)][::-1], "id": range(n)[::-1], "type": [kinds[i % 2] for i in range(n)], "session_id": ["s"] * n, "concept_id": [i % 5 for i in range(n)]})
+        assert not list(p.handleInputRows((1,), iter([rows]), Clock(0)))
+        out = list(p.handleExpiredTimer((1,), Clock(n * 1000 - 1500), None))
+        assert len(out) == 1 and len(out[0]) == 5 and out[0].us.max() == (n - 2) * 1000_000 and store.timers[-1] == (n - 1) * 1000 + 1
+        assert [r[:2] for r in store.lists["waiting"]] == [((n - 1) * 1000_000, n - 1)]
+        return store.calls
+
+    assert calls(200) == calls(20)

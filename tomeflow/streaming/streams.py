@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,13 +27,14 @@ class _Ordered(StatefulProcessor):
 
     State holds no more than the watermark's delay of rows. A key has one timer, set for its earliest waiting row; when it
     fires, all rows that the watermark has passed are handed over at once. Rows behind the watermark are told apart.
+    Waiting rows are one list, added to once a batch and read once when due: a call to the state store costs more than a row.
     """
 
     row_schema = "x int"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us long, id long", self.row_schema)
+        self.waiting = handle.getListState("waiting", f"us long, id long, {self.row_schema}")
         self.armed = handle.getValueState("armed", "ms long")
 
     def row(self, r) -> tuple:
@@ -40,22 +42,21 @@ class _Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        late, first = [], None
+        late, fresh = [], []
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 us = int(r.us)
                 if mark > 0 and us // 1000 < mark:
-                    late.append((us, int(r.id)))
+                    late.append((us, int(r.id), *self.row(r)))
                     continue
-                self.waiting.updateValue((us, int(r.id)), self.row(r))
-                first = us if first is None else min(first, us)
-        self._arm(first)
+                fresh.append((us, int(r.id), *self.row(r)))
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._arm(min(r[0] for r in fresh))
         if late:
             yield self.late(key, late)
 
-    def _arm(self, us: int | None) -> None:
-        if us is None:
-            return
+    def _arm(self, us: int) -> None:
         at = us // 1000 + 1
         old = self.armed.get()[0] if self.armed.exists() else None
         if old is None or at < old:
@@ -67,53 +68,64 @@ class _Ordered(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.armed.clear()
         upto = timerValues.getCurrentWatermarkInMs()
-        keys = sorted((int(k[0]), int(k[1])) for k in self.waiting.keys())
-        due = [k for k in keys if k[0] // 1000 < upto]
-        if len(due) < len(keys):
-            self._arm(keys[len(due)][0])
+        # A row that comes again with its time and id takes the place of the one before.
+        rows = sorted({(int(r[0]), int(r[1])): tuple(r[2:]) for r in self.waiting.get()}.items(), key=lambda r: r[0])
+        due = [r for r in rows if r[0][0] // 1000 < upto]
+        rest = rows[len(due):]
+        if rest:
+            self.waiting.put([(*k, *r) for k, r in rest])
+            self._arm(rest[0][0][0])
+        else:
+            self.waiting.clear()
         if due:
-            rows = [(k, self.waiting.getValue(k)) for k in due]
-            for k in due:
-                self.waiting.removeKey(k)
-            yield self.apply(key, rows)
+            yield self.apply(key, due)
 
     def close(self) -> None:
         pass
 
 
 class MasteryProcessor(_Ordered):
-    """Learning state per (student, concept). Deltas add up over a session and are clamped once, when it ends."""
+    """Learning state per (student, concept). Deltas add up over a session and are clamped once, when it ends.
 
-    row_schema = "type string, session string"
+    A student is one key with all concepts: keys cost more than rows, and a student meets many concepts.
+    """
+
+    row_schema = "concept int, type string, session string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.state = handle.getValueState("state", "mastery double, confidence double, state string, revisions long, session string, dm double, dc double, forced boolean")
+        self.states = handle.getListState(
+            "states", "concept int, mastery double, confidence double, state string, revisions long, session string, dm double, dc double, forced boolean")
 
     def row(self, r) -> tuple:
-        return (r.type, r.session_id)
+        return (int(r.concept_id), r.type, r.session_id)
 
     def late(self, key, rows) -> pd.DataFrame:
-        return pd.DataFrame([[key[0], key[1], None, None, None, None, None, len(rows)]], columns=MASTERY_COLUMNS)
+        counts = Counter(r[2] for r in rows)
+        return pd.DataFrame([[key[0], c, None, None, None, None, None, n] for c, n in counts.items()], columns=MASTERY_COLUMNS)
 
     def apply(self, key, events) -> pd.DataFrame:
-        old = self.state.get() if self.state.exists() else (0.0, 0.0, "unseen", 0, "", 0.0, 0.0, False)
-        mastery, confidence, state, revisions, session, dm, dc, forced = old
-        last = 0
-        for (us, _), (kind, sid) in events:
+        states = {int(s[0]): tuple(s[1:]) for s in self.states.get()} if self.states.exists() else {}
+        last = {}
+        for (us, _), (concept, kind, sid) in events:
+            mastery, confidence, state, revisions, session, dm, dc, forced = states.get(concept, (0.0, 0.0, "unseen", 0, "", 0.0, 0.0, False))
             if sid != session:
                 mastery, confidence = settle(mastery, confidence, dm, dc, forced)
                 state = "mastered" if mastery >= MASTERED_FLOOR else state
                 session, dm, dc, forced = sid, 0.0, 0.0, False
             m, c, signal, force, rev, _ = EFFECTS[kind]
-            dm, dc, forced, revisions = dm + m, dc + c, forced or force, revisions + rev
+            dm, dc, forced, revisions = dm + m, dc + c, bool(forced or force), revisions + rev
             if signal:
                 state = TRANSITIONS.get((state, signal), state)
-            last = us
-        self.state.update((mastery, confidence, state, revisions, session, dm, dc, forced))
-        m, c = settle(mastery, confidence, dm, dc, forced)
-        shown = "mastered" if m >= MASTERED_FLOOR else state
-        return pd.DataFrame([[key[0], key[1], last, m, c, shown, revisions, 0]], columns=MASTERY_COLUMNS)
+            states[concept] = (mastery, confidence, state, revisions, session, dm, dc, forced)
+            last[concept] = us
+        self.states.put([(c, *s) for c, s in states.items()])
+        out = []
+        for concept, us in last.items():
+            mastery, confidence, state, revisions, _, dm, dc, forced = states[concept]
+            m, c = settle(mastery, confidence, dm, dc, forced)
+            out.append([key[0], concept, us, m, c, "mastered" if m >= MASTERED_FLOOR else state, revisions, 0])
+        return pd.DataFrame(out, columns=MASTERY_COLUMNS)
 
 
 MASTERY_COLUMNS = ["student", "concept_id", "us", "mastery", "confidence", "state", "revisions", "late"]
@@ -131,7 +143,7 @@ def mastery_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """State updates of every (student, concept); the last row by ``us`` per key is its state."""
     e = events.where("concept_id IS NOT NULL").withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
     e = e.select("student", "concept_id", "session_id", F.col("seq").alias("id"), "ts", "us", "type")
-    return e.groupBy("student", "concept_id").transformWithStateInPandas(
+    return e.groupBy("student").transformWithStateInPandas(
         statefulProcessor=MasteryProcessor(), outputStructType=MASTERY_SCHEMA, outputMode="Update", timeMode="EventTime")
 
 
@@ -146,7 +158,7 @@ class RateLimitProcessor(_Ordered):
         self.accepted = handle.getListState("accepted", "us long")
 
     def late(self, key, rows) -> pd.DataFrame:
-        return pd.DataFrame([[key[0], id_, us, "late"] for us, id_ in rows], columns=RATE_COLUMNS)
+        return pd.DataFrame([[key[0], id_, us, "late"] for us, id_, *_ in rows], columns=RATE_COLUMNS)
 
     def apply(self, key, rows) -> pd.DataFrame:
         times = sorted(int(t[0]) for t in self.accepted.get()) if self.accepted.exists() else []
@@ -172,7 +184,7 @@ class TtlProcessor(_Ordered):
         self.missed = handle.getValueState("missed", "us long")
 
     def late(self, key, rows) -> pd.DataFrame:
-        return pd.DataFrame([[key[0], id_, us, "late"] for us, id_ in rows], columns=RATE_COLUMNS)
+        return pd.DataFrame([[key[0], id_, us, "late"] for us, id_, *_ in rows], columns=RATE_COLUMNS)
 
     def apply(self, key, rows) -> pd.DataFrame:
         last = int(self.missed.get()[0]) if self.missed.exists() else None
