@@ -130,6 +130,15 @@ def test_reattribution(spark):
     assert got == {"o1": "2", "o3": "2"}
 
 
+def test_reattribution_of_a_term_in_many_names(spark):
+    names = ["the empty ring", "ring", "ring of rings", "another ring", "a ring apart"]
+    c = spark.createDataFrame([("ch", str(i), n) for i, n in enumerate(names)], "chapter string, concept_id string, name string")
+    links = spark.createDataFrame([("ch", str(i), f"o{i}", "definition") for i in range(5)], "chapter string, concept_id string, object_id string, object_type string")
+    texts = spark.createDataFrame([(f"o{i}", "Ring is called " + "long " * 30) for i in range(5)], "object_id string, text string")
+    got = {r.object_id: r.new_concept_id for r in cp.reattributed_definitions(links, texts, c, ["chapter"]).collect()}
+    assert got == {f"o{i}": "4" if i != 4 else "3" for i in range(5)}
+
+
 def repaired(parents):
     """Sequential rule: walk from each id in order, clear the parent of the first node met twice."""
     p = {i: (q if q in parents else None) for i, q in parents.items()}
