@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 17
 BLOCK_BYTES = 8 << 20
 WINDOW = 10
 
