@@ -38,6 +38,28 @@ def test_alias_boost_and_tie_order(spark):
     assert search.bm25f_search(d, ask(spark, "what is the?")).count() == 0
 
 
+def test_exact_hits_are_made_where_they_are_written(spark):
+    rng = random.Random(8)
+    words = ["field", "line", "charge", "the", "shell", "of"]
+    name = lambda: " ".join(rng.choices(words, k=rng.randint(1, 3)))
+    rows = [(f"n{i}", rng.choice(["Electric Field", name()]), [name() for _ in range(rng.randint(0, 2))] if i % 5 else None, [], []) for i in range(60)]
+    rows += [("none", None, [], [], []), ("stop", "the of", [], [], [])]
+    asked = [*[name() for _ in range(20)], *["electric fields"] * 15, "unknown field", "the", None]
+    tokens = lambda t: [lexical_scan.plural_stem(w) for w in lexical_scan.WORD.findall((t or "").lower()) if len(w) > 1 and w not in lexical_scan.STOP]
+    want = set()
+    for q, query in enumerate(asked):
+        for i, n, aliases, _, _ in rows:
+            t, own = tokens(query), tokens(n)
+            boost = 1000.0 if t == own else 500.0 if t in [tokens(a) for a in aliases or []] else 100.0 if set(t) <= set(own) else 0.0
+            if t and own and boost:
+                want.add((q, i, boost))
+    got = search.exact_hits(docs(spark, rows), ask(spark, *asked), block=4, task_pairs=50)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # Pairs are quadratic where names repeat: none is aggregated, joined or dealt out.
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Aggregate" not in plan and "Join" not in plan and plan.rindex("Generate") < plan.index("Exchange")
+
+
 def test_bm25_value(spark):
     d = docs(spark, FIELDS)
     got = {r.concept_id: r.bm25 for r in search.score(d, ask(spark, "shell")).collect()}
