@@ -1,7 +1,9 @@
 """Cited items, the evidence gate, grounded answers and chapters by name, on hand-worked tables."""
 
+import pytest
+from pyspark.sql import functions as F
 from tomeflow.functions import vocab
-from tomeflow.operators import concepts as cp, learning as ln, lessons as ls
+from tomeflow.operators import concepts as cp, learning as ln, lessons as ls, rerank as rr
 
 DOC = ("concept_id string, name string, aliases array<string>, subject string, definition_texts array<string>, example_texts array<string>, "
        "formula_latex array<string>, prerequisites array<string>, related_concepts array<string>, next_topics array<string>")
@@ -72,3 +74,24 @@ def test_chapters_by_name(spark):
     asked = spark.createDataFrame([("s", "Chapter 12"), ("s", "chapter 1"), ("s", "Chapter 2"), ("z", "CHAP"), ("q", "Chapter 1"), ("s", "On")], "subject string, asked string")
     got = {(r.subject, r.asked): (r.chapter, r.concept_count) for r in cp.chapters_by_name(index, asked).collect()}
     assert got == {("s", "Chapter 12"): ("Chapter 12", 4), ("s", "chapter 1"): ("Chapter 1", 3), ("z", "CHAP"): ("Chapter 2", 6), ("s", "On"): ("On chapter 1", 5)}
+
+
+@pytest.mark.parametrize("job", ["sections", "best_examples"])
+def test_few_results_meet_documents_where_they_are_read(spark, job):
+    d = spark.createDataFrame(DOCS, DOC).select("*", F.col("subject").alias("chapter"), F.lit(1).alias("n_proof"), F.lit(0).alias("n_exercise"))
+    r = results(spark, (1, 1, "m1"), (1, 2, "d1"), (2, 1, "d1"), (3, 1, "gone")).withColumn("score", 1.0 / F.col("rank"))
+    q = spark.createDataFrame([(1, "what is a matrix", "definition", "introduce_concept"), (2, "find e0 and d0", "formula", "revise"), (3, "none", "proof", "revise")],
+                              "query_id int, query string, intent string, teaching_goal string")
+    run = {"sections": lambda: ls.sections(r, d), "rerank": lambda: rr.rerank(r, d, q), "best_examples": lambda: cp.best_examples(r, d, q)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = run[job]()._jdf.queryExecution().executedPlan().toString()
+        found = run[job]().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # No document is shuffled to meet its results.
+    assert "hashpartitioning(concept_id" not in plan and "BroadcastHashJoin [concept_id" in plan
+    if job == "sections":
+        assert sorted((x.query_id, x.primary_id, x.n_main_explanation, x.n_worked_example, x.n_comparison) for x in found) == [(1, "m1", 2, 2, 2), (2, "d1", 0, 1, 0)]
+    elif job == "rerank":
+        assert sorted((x.query_id, x.concept_id) for x in found) == [(1, "d1"), (1, "m1"), (2, "d1")]

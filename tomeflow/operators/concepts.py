@@ -549,7 +549,7 @@ def ready_context(docs: DataFrame, most: int = 20, chars: int = 2000, least: int
 def best_examples(results: DataFrame, docs: DataFrame, queries: DataFrame, most: int = 8) -> DataFrame:
     """(query_id, concept_id, rank, example): a result's examples holding most query words of over two letters, up to eight."""
     q = queries.select("query_id", F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) > 2)).alias("ws"))
-    j = results.select("query_id", "concept_id").join(q, "query_id").join(docs.select("concept_id", "example_texts"), "concept_id")
+    j = docs.select("concept_id", "example_texts").join(broadcast_if_small(results.select("query_id", "concept_id")), "concept_id").join(q, "query_id")
     j = j.select("query_id", "concept_id", "ws", F.posexplode("example_texts").alias("pos", "example"))
     j = j.withColumn("hits", F.size(F.filter("ws", lambda w: F.contains(F.lower(F.col("example")), w))))
     return top_k(j, ["query_id", "concept_id"], [F.col("hits").desc(), F.col("pos")], most).where("hits > 0").select(

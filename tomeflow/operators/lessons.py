@@ -69,7 +69,8 @@ def sections(results: DataFrame, docs: DataFrame) -> DataFrame:
             F.size("prerequisites").alias("pre"), F.size("related_concepts").alias("rel"), F.size("next_topics").alias("nxt"),
             "n_proof", "n_exercise", F.col("concept_id").cast("string").alias("id"), F.lower("name").alias("name"),
             F.transform("aliases", F.lower).alias("aliases")).alias("d"))
-    r = results.join(d, "concept_id").groupBy("query_id").agg(
+    # Few results meet many documents: these are not shuffled.
+    r = d.join(broadcast_if_small(results.select("query_id", "rank", "concept_id")), "concept_id").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "concept_id", "d"))).alias("rs"))
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"), F.lit(0).alias("with_def"))
 
