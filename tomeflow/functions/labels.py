@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import cues, text
 from ..plans.scale import BROADCAST_ROWS, broadcast_if_small
@@ -38,58 +42,90 @@ def lookup(mapping: dict[str, str], key: Column, default: str | None = None) ->
 
 
 # --- queries -----------------------------------------------------------------------------------------
-def query_features(queries: DataFrame) -> DataFrame:
-    """Add is_comparison, is_definition, is_explanation, is_math, is_quoted, quoted, n_words."""
-    q = text.trim("query")
-    comparison = q.rlike(cues.COMPARISON)
-    return queries.select(
-        "*",
+# Queries may be whole documents. Java's engine tries every word of an alternation at every word of the text; Arrow's (RE2, as
+# in SQL) reads the text once for a pattern. So a query goes to Arrow once and comes back with a number for each pattern.
+_SEEN = list(dict.fromkeys([
+    cues.COMPARISON, cues.DEFINITION_LEAD, cues.EXPLANATION_LEAD, cues.MATH_SYMBOL, cues.MATH_TOKEN, cues.QUOTED, *[p for _, p in cues.INTENT_RULES],
+    cues.SOLVE_OVERRIDE, cues.WORKED_EXAMPLE, cues.TYPE_COMPARISON, cues.TYPE_CLASSIFICATION, *[p for _, _, p in cues.QUESTION_TYPE_RULES],
+    *[p for _, p in cues.GOAL_RULES], *[p for _, p in cues.DEPTH_RULES]]))
+_NAMED = {n: rf"\b{n}\b" for n, _ in cues.SUBJECT_NAMES}
+_SEEN_LOW = [*[p for _, p in cues.SCOPE_RULES], *_NAMED.values()]
+_COUNTED_LOW = list(cues.SUBJECT_KEYWORDS.values())
+_PLACE = {p: i for i, p in enumerate([*_SEEN, *_SEEN_LOW, *_COUNTED_LOW])}
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def cue_counts(query: pa.Array) -> pa.Array:
+    """One number per pattern: 1 where the query holds it, or for the last ones how often its lower-case form does. Null for null."""
+    low = pc.utf8_lower(query)
+    found = [pc.match_substring_regex(query, p) for p in _SEEN] + [pc.match_substring_regex(low, p) for p in _SEEN_LOW]
+    found += [pc.count_substring_regex(low, p) for p in _COUNTED_LOW]
+    numbers = [pc.fill_null(x.cast(pa.int32()), 0).to_numpy(zero_copy_only=False) for x in found]
+    ends = pa.array(np.arange(len(query) + 1) * len(found), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.stack(numbers, 1).ravel(), pa.int32()), mask=query.is_null())
+
+
+def _count(pattern: str) -> Column:
+    return F.get("_cues", F.lit(_PLACE[pattern]))
+
+
+def _has(pattern: str) -> Column:
+    return _count(pattern) > 0
+
+
+def _with_features(queries: DataFrame) -> DataFrame:
+    """The features of queries, and the numbers that rules read (_cues)."""
+    comparison = _has(cues.COMPARISON)
+    q = F.col("_q")
+    return queries.withColumn("_q", text.trim("query")).withColumn("_cues", cue_counts("_q")).select(
+        *queries.columns, "_cues",
         comparison.alias("is_comparison"),
-        (~comparison & q.rlike(cues.DEFINITION_LEAD)).alias("is_definition"),
-        (~comparison & q.rlike(cues.EXPLANATION_LEAD)).alias("is_explanation"),
-        (q.rlike(cues.MATH_SYMBOL) | q.rlike(cues.MATH_TOKEN)).alias("is_math"),
-        q.rlike(cues.QUOTED).alias("is_quoted"),
+        (~comparison & _has(cues.DEFINITION_LEAD)).alias("is_definition"),
+        (~comparison & _has(cues.EXPLANATION_LEAD)).alias("is_explanation"),
+        (_has(cues.MATH_SYMBOL) | _has(cues.MATH_TOKEN)).alias("is_math"),
+        _has(cues.QUOTED).alias("is_quoted"),
         F.regexp_extract_all(q, F.lit(cues.QUOTED), 1).alias("quoted"),
-        F.size(text.lookup_tokens(q)).alias("n_words"),
+        F.when(q.isNotNull(), F.size(text.lookup_tokens(q))).alias("n_words"),
     )
 
 
-def intent(query: Column, is_comparison: Column, is_explanation: Column) -> Column:
-    rules = [("comparison", is_comparison)]
-    rules += [(name, query.rlike(p)) for name, p in cues.INTENT_RULES]
-    return first_match([*rules, ("explanation", is_explanation)], "definition")
+def query_features(queries: DataFrame) -> DataFrame:
+    """Add is_comparison, is_definition, is_explanation, is_math, is_quoted, quoted, n_words."""
+    return _with_features(queries).drop("_cues")
+
+
+def _intent() -> Column:
+    rules = [("comparison", F.col("is_comparison"))]
+    rules += [(name, _has(p)) for name, p in cues.INTENT_RULES]
+    return first_match([*rules, ("explanation", F.col("is_explanation"))], "definition")
 
 
-def question_type(query: Column) -> Column:
+def _question_type() -> Column:
     """struct(type, rule)."""
-    q = text.trim(query)
     pair = lambda t, r: F.struct(F.lit(t).alias("type"), F.lit(r).alias("rule"))
-    solves = (q.rlike(cues.SOLVE_OVERRIDE) | q.rlike(cues.WORKED_EXAMPLE)) & ~q.rlike(cues.TYPE_COMPARISON) & ~q.rlike(cues.TYPE_CLASSIFICATION)
+    solves = (_has(cues.SOLVE_OVERRIDE) | _has(cues.WORKED_EXAMPLE)) & ~_has(cues.TYPE_COMPARISON) & ~_has(cues.TYPE_CLASSIFICATION)
     rules = [(pair("worked_example", "solve_override"), solves)]
-    rules += [(pair(t, r), q.rlike(p)) for t, r, p in cues.QUESTION_TYPE_RULES]
+    rules += [(pair(t, r), _has(p)) for t, r, p in cues.QUESTION_TYPE_RULES]
     return first_match(rules, pair("definition", "fallback"))
 
 
-def goal(query: Column, type_: Column) -> Column:
-    q = text.trim(query)
-    return first_match([(g, q.rlike(p)) for g, p in cues.GOAL_RULES], lookup(cues.GOAL_BY_TYPE, type_, "conceptual_understanding"))
+def _goal() -> Column:
+    return first_match([(g, _has(p)) for g, p in cues.GOAL_RULES], lookup(cues.GOAL_BY_TYPE, F.col("question_type"), "conceptual_understanding"))
 
 
-def depth(query: Column) -> Column:
-    return first_match([(d, query.rlike(p)) for d, p in cues.DEPTH_RULES], "medium")
+def _depth() -> Column:
+    return first_match([(d, _has(p)) for d, p in cues.DEPTH_RULES], "medium")
 
 
-def scope(query: Column, intent_: Column) -> Column:
-    q = F.lower(text.trim(query))
-    rules = [(s, q.rlike(p)) for s, p in cues.SCOPE_RULES]
-    return first_match([*rules, ("chapter_level", intent_ == "revision")], "single_concept")
+def _scope() -> Column:
+    rules = [(s, _has(p)) for s, p in cues.SCOPE_RULES]
+    return first_match([*rules, ("chapter_level", F.col("intent") == "revision")], "single_concept")
 
 
-def subject(query: Column) -> Column:
+def _subject() -> Column:
     """Named subject, else the one with most keyword hits; null without hits or on a tie."""
-    q = F.lower(query)
-    hits = {s: F.regexp_count(q, F.lit(p)) for s, p in cues.SUBJECT_KEYWORDS.items()}
-    rules = [(s, q.rlike(rf"\b{name}\b")) for name, s in cues.SUBJECT_NAMES]
+    hits = {s: _count(p) for s, p in cues.SUBJECT_KEYWORDS.items()}
+    rules = [(s, _has(_NAMED[name])) for name, s in cues.SUBJECT_NAMES]
     for s, n in hits.items():
         above = F.lit(True)
         for other, m in hits.items():
@@ -101,15 +137,14 @@ def subject(query: Column) -> Column:
 
 def profile(queries: DataFrame) -> DataFrame:
     """Add intent, question type and rule, goal, strategy, teaching goal, depth, scope and subject."""
-    q = F.col("query")
-    out = query_features(queries).withColumn("intent", intent(q, F.col("is_comparison"), F.col("is_explanation")))
-    out = out.withColumn("qt", question_type(q)).select("*", F.col("qt.type").alias("question_type"), F.col("qt.rule").alias("type_rule")).drop("qt")
-    out = out.withColumn("goal", goal(q, F.col("question_type")))
+    out = _with_features(queries).withColumn("intent", _intent())
+    out = out.withColumn("qt", _question_type()).select("*", F.col("qt.type").alias("question_type"), F.col("qt.rule").alias("type_rule")).drop("qt")
+    out = out.withColumn("goal", _goal())
     return out.select(
         "*", lookup(cues.STRATEGY_BY_GOAL, F.col("goal")).alias("strategy"),
         lookup(cues.TEACHING_GOAL_BY_INTENT, F.col("intent"), "introduce_concept").alias("teaching_goal"),
-        depth(q).alias("depth"), scope(q, F.col("intent")).alias("scope"), subject(q).alias("subject"),
-    )
+        _depth().alias("depth"), _scope().alias("scope"), _subject().alias("subject"),
+    ).drop("_cues")
 
 
 def exact_concepts(queries: DataFrame, docs: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
