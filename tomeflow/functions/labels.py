@@ -228,19 +228,32 @@ def cache_key(query: Column, subject_: Column) -> Column:
 
 
 # --- objects ---------------------------------------------------------------------------------------------
+# Types by own text, in the order in which they are tried.
+_OWN_TYPES = ["paragraph", *[name for name, _, _ in cues.OBJECT_RULES], "heading"]
+_NOT_A_HEADING = f"^(?:{'|'.join(cues.NOT_A_HEADING)})"
+
+
+@F.arrow_udf(IntegerType())
+def own_type_number(t: pa.Array) -> pa.Array:
+    """Place in ``_OWN_TYPES`` of the first rule that holds for a trimmed text, null when none does."""
+    size = pc.fill_null(pc.utf8_length(t), 0).to_numpy(zero_copy_only=False)
+    holds = lambda texts, p: pc.fill_null(pc.match_substring_regex(texts, p), False).to_numpy(zero_copy_only=False)
+    last = len(_OWN_TYPES) - 1
+    found = np.full(len(t), -1, np.int32)
+    titles = np.flatnonzero((size < cues.HEADING_MAX) & (holds(t, cues.HEADING) | holds(t, cues.CHAPTER_MARKER)))
+    rest = pc.replace_substring_regex(pc.utf8_lower(t.take(pa.array(titles))), "^[^ ]* ", "", max_replacements=1)
+    found[titles[~holds(rest, _NOT_A_HEADING)]] = last
+    for i in range(last - 1, 0, -1):
+        _, pattern, longest = cues.OBJECT_RULES[i - 1]
+        hit = holds(t, pattern)
+        found[hit & (size < longest) if longest else hit] = i
+    found[(size == 0) & t.is_valid().to_numpy(zero_copy_only=False)] = 0
+    return pa.array(found, pa.int32(), mask=found < 0)
+
+
 def own_type(txt: Column) -> Column:
     """Type an object has by its own text; null when its context must decide. Blank text is a paragraph."""
-    t = text.trim(txt)
-    rules = [("paragraph", t == "")]
-    for name, pattern, longest in cues.OBJECT_RULES:
-        rules.append((name, t.rlike(pattern) & (F.length(t) < longest) if longest else t.rlike(pattern)))
-    rest = F.regexp_replace(F.lower(t), r"^[^ ]* ", "")
-    not_heading = F.lit(False)
-    for w in cues.NOT_A_HEADING:
-        not_heading = not_heading | rest.startswith(w)
-    heading = (t.rlike(cues.HEADING) | t.rlike(cues.CHAPTER_MARKER)) & (F.length(t) < cues.HEADING_MAX) & ~not_heading
-    rules.append(("heading", heading))
-    return first_match(rules, F.lit(None).cast("string"))
+    return F.get(F.array(*[F.lit(t) for t in _OWN_TYPES]), own_type_number(text.trim(txt)))
 
 
 def defines(txt: Column) -> Column:

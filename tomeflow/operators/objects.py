@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cues, labels, text
-from ..plans.scale import carry
+from ..plans.scale import carry, cut_lineage
 
 ORDER = ["page", "reading_order"]
 PAGES_PER_BLOCK = 64
@@ -39,7 +39,8 @@ def _context(objects: DataFrame) -> DataFrame:
     opener and closer before an object says what is open there. A solution counts when it comes after the open
     example: nothing can have closed that example in between.
     """
-    typed = objects.withColumn("own_type", labels.own_type(F.col("text")))
+    # Written once: the scans of blocks read it several times, and own types cost more than reading them.
+    typed = cut_lineage(objects.withColumn("own_type", labels.own_type(F.col("text"))))
     t = F.col("own_type")
     at = F.struct("page", "reading_order")
     mark = lambda *names: F.when(t.isin(*names), F.struct(at.alias("at"), F.col("id").alias("id")))
