@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +24,6 @@ def first_match(rules: Iterable[tuple[object, Column]], default: object) -> Colu
     return lit(default) if out is None else out.otherwise(lit(default))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` worked out once. Long rule chains over a nested value would repeat it per rule."""
-    return F.transform(F.array(value), body)[0]
-
-
 def any_of(col: Column, phrases: Iterable[str]) -> Column:
     out = F.lit(False)
     for p in phrases:

@@ -109,8 +109,10 @@ def raw_names(objects: DataFrame) -> DataFrame:
 
 def resolve_names(raw: DataFrame) -> DataFrame:
     """Add norm (canonical name) and display; names that cannot be concepts are dropped."""
-    named = raw.withColumn("norm", text.canonical_name(F.col("raw"))).withColumn("display", text.display_name(F.col("raw")))
-    return named.where(text.accepts_name(F.col("raw"), F.col("norm"), F.col("chapter")) & (F.length("norm") >= 3))
+    # A name is worked out once, where it is judged, and shown only when it is kept: a filter over a column repeats the column.
+    fits = lambda n: text.accepts_name(F.col("raw"), n, F.col("chapter")) & (F.length(n) >= 3)
+    kept = F.filter(F.array(text.canonical_name(F.col("raw"))), fits)
+    return raw.select("*", F.inline(F.transform(kept, lambda n: F.struct(n.alias("norm"), text.display_name(F.col("raw")).alias("display")))))
 
 
 def build_concepts(resolved: DataFrame, scope: list[str]) -> DataFrame:
