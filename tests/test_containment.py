@@ -55,3 +55,10 @@ def test_few_results_meet_documents_without_a_shuffle_of_texts(spark):
 def test_metrics_read_the_stored_results(spark):
     plan = entry.queries()["mean_retrieval_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan
+
+
+def test_few_runs_pass_for_names_by_chance(spark):
+    names = spark.range(40_000).selectExpr("concat('name of length ', sha1(cast(id as string))) as name", "7 as n")
+    rows = spark.range(2_000).selectExpr("id as object_id", r"flatten(transform(sequence(1, 100), i -> array(sha1(concat(id, ':', i)), ' '))) as ps", "true as opens")
+    chance = rows.unionByName(rows.selectExpr("object_id", "reverse(ps) as ps", "false as opens"))
+    assert cn.held_runs(chance, names.unionByName(spark.createDataFrame([("one", 1)], "name string, n int"))).count() < 400
